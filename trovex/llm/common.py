@@ -29,9 +29,19 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(UPPER_TO_LOWER)
 
 
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Rows of one batch that goes to Python, for the jobs that follow."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts are long: keeps the batches that go to Python small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    batch_rows(spark, BATCH_ROWS)
+
+
+def small(df: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """A stored table of a few numbers a row: broadcast if it has at most bound rows, else left to be shuffled."""
+    return F.broadcast(df) if df.count() <= bound else df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -35,6 +35,12 @@ def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovex.llm.jaccard_join import Rule, joined
+
+    return joined(table(spark, sf_dir, "documents"), Rule(3, 90))
+
+
 def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovex.llm.token_counts import token_counts
 
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op6_weighted_hash_tree": op6_weighted_hash_tree,
     "op8_swap_packing": op8_swap_packing,
+    "op9_parity_sketch_join": op9_parity_sketch_join,
     "op10_trie_token_counts": op10_trie_token_counts,
 }
 

@@ -23,6 +23,12 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op2_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovex.llm.quality import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovex.llm.sharding import even_tree, sharded
 
@@ -49,6 +55,7 @@ def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
+    "op2_forest_quality": op2_forest_quality,
     "op6_weighted_hash_tree": op6_weighted_hash_tree,
     "op8_swap_packing": op8_swap_packing,
     "op9_parity_sketch_join": op9_parity_sketch_join,

@@ -35,6 +35,12 @@ def op6_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), even_tree(24), even_tree(25))
 
 
+def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovex.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovex.llm.packing import packed
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_forest_quality": op2_forest_quality,
     "op6_weighted_hash_tree": op6_weighted_hash_tree,
+    "op7_sainte_lague_mix": op7_sainte_lague_mix,
     "op8_swap_packing": op8_swap_packing,
     "op9_parity_sketch_join": op9_parity_sketch_join,
     "op10_trie_token_counts": op10_trie_token_counts,

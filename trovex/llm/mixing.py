@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights: list[float], share: float) -> DataFrame:
     """(source, source_size, target): one row for each source, so its windows see as many rows as there are sources.
 
     Where the sources are sorted by what they can give for their weight, those that reach their limit come first, and
-    the first level that the next source can meet holds for all others.
+    the first level that the next source can meet, which is the highest such, holds for all others.
     """
     by_name = W.orderBy(F.col("source").isNull(), "source")
     cycle = F.array(*[F.lit(float(x)) for x in weights])
@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, weights: list[float], share: float) -> DataFrame:
     done, todo = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.currentRow, W.unboundedFollowing)
     rows = rows.withColumn("left", share * F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(done), F.lit(0.0)))
     rows = rows.withColumn("level", F.col("left") / F.sum("weight").over(todo))
-    rows = rows.withColumn("level", F.min(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(everything))
+    rows = rows.withColumn("level", F.max(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(everything))
     return rows.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), "most")).alias("target"))
 
 

@@ -29,6 +29,12 @@ def op2_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pq_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovex.llm.vector_dedup import linked
+
+    return linked(table(spark, sf_dir, "embeddings"))
+
+
 def op6_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovex.llm.sharding import even_tree, sharded
 
@@ -62,6 +68,7 @@ def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_forest_quality": op2_forest_quality,
+    "op4_pq_vector_dedup": op4_pq_vector_dedup,
     "op6_weighted_hash_tree": op6_weighted_hash_tree,
     "op7_sainte_lague_mix": op7_sainte_lague_mix,
     "op8_swap_packing": op8_swap_packing,

@@ -29,6 +29,12 @@ def op2_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovex.llm.hmm import scored
+
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op4_pq_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovex.llm.vector_dedup import linked
 
@@ -68,6 +74,7 @@ def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_forest_quality": op2_forest_quality,
+    "op3_hidden_markov": op3_hidden_markov,
     "op4_pq_vector_dedup": op4_pq_vector_dedup,
     "op6_weighted_hash_tree": op6_weighted_hash_tree,
     "op7_sainte_lague_mix": op7_sainte_lague_mix,

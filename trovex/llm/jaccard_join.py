@@ -385,3 +385,18 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     named = stored(named.join(least, "label").select("node", "component_id"), "named")
     alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return sketched.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
+    """docs without all but one document of each group of linked ones: that with the smallest doc_id stays.
+
+    Where doc_ids repeat or are null, rows are told apart by a number that is stored with them.
+    """
+    names, key = docs.columns, "doc_id"
+    small_batches(docs.sparkSession)
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        key = "_row_number"
+        docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = joined(docs.select(F.col(key).alias("doc_id"), "text"), rule)
+    dropped = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)), "dropped")
+    return docs.join(small(dropped), key, "left_anti").select(*names)

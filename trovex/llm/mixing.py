@@ -180,16 +180,16 @@ def chosen_texts(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share:
     wanted = stored(one.groupBy(*key).agg(F.collect_list("spans").alias("copies")), "spans")
     small_batches(docs.sparkSession)
     names, kinds = docs.columns, docs.schema
-    own = docs.withColumn("text_hash", F.xxhash64("text"))
+    own = docs.withColumn("_mix_hash", F.xxhash64("text"))
     if not sizes.groupBy(*key).count().where("count > 1").isEmpty():
-        own = own.dropDuplicates(key)
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"w.{c}")) for c in key]
-    rows = own.alias("d").join(wanted.alias("w"), same[0] & same[1] & same[2]).select("d.*", F.col("w.copies").alias("_copies")).drop("text_hash")
+        own = own.dropDuplicates(["doc_id", "source", "_mix_hash"])
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"w.{k}")) for c, k in zip(("doc_id", "source", "_mix_hash"), key, strict=True)]
+    rows = own.alias("d").join(wanted.alias("w"), same[0] & same[1] & same[2]).select(*[F.col(f"d.{c}") for c in names], F.col("w.copies").alias("_mix_copies"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, texts = [], []
-            for i, (text, copies) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_copies").to_pylist(), strict=True)):
+            for i, (text, copies) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_mix_copies").to_pylist(), strict=True)):
                 words = [m.span() for m in WORD.finditer(text)]
                 for taken in copies:
                     for k in range(max(x["times"] for x in taken)):

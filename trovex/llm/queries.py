@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trovex.llm.common import scratch, table
+from trovex.llm.revisits import SQL as REVISITS_SQL
 
 
 def vocabulary(name: str) -> str:
@@ -41,6 +42,12 @@ def op4_pq_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "embeddings"))
 
 
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovex.llm.revisits import captures, digests, resolved
+
+    return digests(resolved(captures(table(spark, sf_dir, "pages"))))
+
+
 def op6_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovex.llm.sharding import even_tree, sharded
 
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_forest_quality": op2_forest_quality,
     "op3_hidden_markov": op3_hidden_markov,
     "op4_pq_vector_dedup": op4_pq_vector_dedup,
+    "op5_revisits": op5_revisits,
     "op6_weighted_hash_tree": op6_weighted_hash_tree,
     "op7_sainte_lague_mix": op7_sainte_lague_mix,
     "op8_swap_packing": op8_swap_packing,
@@ -84,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_revisits": REVISITS_SQL}

@@ -126,7 +126,7 @@ WITH records AS (
          || regexp_replace(regexp_replace(tail, '\?.*$', ''), '/+$', '')
          || coalesce('?' || nullif(array_to_string(list_sort(list_filter(
               string_split(CASE WHEN instr(tail, '?') > 0 THEN substr(tail, instr(tail, '?') + 1) ELSE '' END, '&'),
-              p -> p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&'), ''), '') AS canonical_url
+              lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&'), ''), '') AS canonical_url
   FROM parts
 ), ranked AS (
   SELECT r.record_id, r.canonical_url, r.ts, r.cache_control AS rc, r.content_length AS rl, r.date AS rd, r.etag AS re, r.last_modified AS rm,

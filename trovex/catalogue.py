@@ -1,10 +1,12 @@
-"""Every query of the reference's operators, by name."""
+"""Every query of the engine's operators, by name, with its SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from trovex.plans import records, scalars, searching, usage
+from trovex.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+for _module in (searching, usage, records, scalars):
+    QUERIES |= _module.PLANS.queries
+    SQL |= _module.PLANS.sql

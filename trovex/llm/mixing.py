@@ -144,6 +144,7 @@ def spans(place: DataFrame, stream: DataFrame, picks: DataFrame) -> DataFrame:
     # the block that holds word w is the last i with i * length div blocks <= w
     of = lambda w: F.expr(f"(({w} + 1) * blocks - 1) div length")
     rows = rows.withColumn("block", F.explode(F.sequence(of("start"), of("end - 1")))).drop("length", "blocks")
+    picks = picks.hint("merge")  # as many rows as blocks, however few streams they come from
     rows = rows.alias("d").join(picks.alias("c"), same("d", "c") & (F.col("d.block") == F.col("c.block")))
     low, high = F.greatest("c.low", "d.start") - F.col("d.start"), F.least("c.high", "d.end") - F.col("d.start")
     return rows.select("d.*", low.alias("low"), high.alias("high"), "c.times").where("low < high")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovex.llm.common import WORD, longs, mapped, small_batches, stored, strings
+from trovex.llm.common import WORD, drawn, longs, mapped, small_batches, stored, strings
 
 TREES, SAMPLE, SEED = 128, 256, 7
 USUAL, FALSE_SHARE, COST, BINS = 0.001, 0.02, 5, 2000
@@ -32,17 +32,7 @@ USUAL, FALSE_SHARE, COST, BINS = 0.001, 0.02, 5, 2000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
-#: Distinct words that a worker numbers.
-KEPT = 1 << 20
-
-
-class Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-_numbers = Numbers()
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def statistics(text: str) -> tuple[int, ...]:
@@ -63,19 +53,15 @@ def statistics(text: str) -> tuple[int, ...]:
 
 
 def repeat_words(words: list[str]) -> int:
-    """Words within 3-word windows that stand twice or more in the text."""
+    """Words within 3-word windows that stand twice or more in the text.
+
+    Windows are compared by 64-bit hashes, which hold within one text; they need no table of words.
+    """
     n = len(words)
     if n < 4:
         return 0
-    if len(_numbers) + n >= 2 * KEPT or len(_numbers) > KEPT:
-        _numbers.clear()
-    w = np.fromiter(map(_numbers.__getitem__, words), np.int64, n)
-    if len(_numbers) >= 2 * KEPT:  # one text with over two million distinct words: number it by itself
-        w = np.unique(w, return_inverse=True)[1]
-        pair = np.unique(w[:-1] * n + w[1:], return_inverse=True)[1]
-        key = pair[:-1] * n + w[2:]
-    else:
-        key = (w[:-2] << 42) | (w[1:-1] << 21) | w[2:]
+    w = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
+    key = (w[:-2] * FACTOR + w[1:-1]) * FACTOR + w[2:]
     order = np.sort(key)
     twice = np.unique(order[1:][order[1:] == order[:-1]])
     if not len(twice):
@@ -216,7 +202,7 @@ def fitted(stats: DataFrame, labels: DataFrame) -> Forest:
     good = labelled.where("quality = 1")
     ends = [F.percentile_approx(F.expr(e), F.array(F.lit(USUAL), F.lit(1 - USUAL)), 100_000) for e in FEATURES.values()]
     ranges = good.agg(*[x.alias(n) for x, n in zip(ends, FEATURES, strict=True)]).first()
-    draw = labelled.where("quality in (0, 1)").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(TREES * SAMPLE).select(*STATISTICS)
+    draw = drawn(labelled.where("quality in (0, 1)"), TREES * SAMPLE, F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").select(*STATISTICS)
     sample = np.array(draw.collect(), np.int64).reshape(-1, len(STATISTICS))
     size = min(SAMPLE, len(sample))
     if size < 2 or ranges[0] is None:

@@ -84,11 +84,14 @@ def improved(bins: list[list[int]], lengths: list[int], capacity: int, effort: i
     """Empties bins by moves and exchanges that each raise the sum of squared fills."""
     fill = {b: sum(lengths[i] for i in items) for b, items in enumerate(bins)}
     least = -(-sum(lengths) // capacity)
+    used, looked, stuck = len(bins), 0, set()
     under = sorted((b for b in fill if fill[b] < capacity), key=lambda b: (fill[b], b))
-    looked = 0
-    while len(under) > 1 and sum(bool(x) for x in bins) > least and looked < effort:
-        giver, changed = under[0], False
-        for b in sorted(under[1:], key=lambda b: (-fill[b], b)):
+    while len(under) > 1 and used > least and looked < effort:
+        giver = next((b for b in under if b not in stuck), None)
+        if giver is None:
+            break
+        changed = False
+        for b in sorted((b for b in under if (fill[b], b) > (fill[giver], giver)), key=lambda b: (-fill[b], b)):
             looked += 1
             if looked >= effort:
                 break
@@ -106,10 +109,13 @@ def improved(bins: list[list[int]], lengths: list[int], capacity: int, effort: i
                 fill[b] += moved
                 changed = True
                 if not bins[giver]:
+                    used -= 1
                     break
-        if not changed:
-            under.pop(0)  # nothing of this bin can go elsewhere
-        under = sorted((b for b in under if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
+        if changed:
+            stuck.clear()  # what had no place before may have one now
+            under = sorted((b for b in fill if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
+        else:
+            stuck.add(giver)
     return [x for x in bins if x]
 
 

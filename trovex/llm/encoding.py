@@ -24,7 +24,7 @@ ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_PIECES = re.compile(f"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 BYTE_PIECES = re.compile(f"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 #: Distinct pre-tokens that a worker keeps, about 150 bytes each.
-KEPT = 700_000
+KEPT = 400_000
 
 
 def byte_letters() -> dict[int, str]:

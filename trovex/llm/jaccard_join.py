@@ -38,7 +38,7 @@ BITS = 2048
 #: Members of one block of a part.
 BLOCK = 1024
 #: Word hashes that a worker keeps, about 130 bytes each.
-KEPT = 800_000
+KEPT = 300_000
 MIX1, MIX2, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,7 +185,7 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
                 for x in nodes:
                     fresh.append(x is not None and x not in seen)
                     seen.add(x)
-                if len(seen) > 2_000_000:
+                if len(seen) > 500_000:
                     seen.clear()  # a node that comes again is sent again
                 all_bands = [rule.bands(s) if s and f else [] for s, f in zip(sizes.tolist(), fresh, strict=True)]
                 keys, whose = [], []

@@ -3,7 +3,8 @@
 Each micro-batch of changes is appended to the table's delta under its batch number, so a batch that runs again writes
 the same files again.  Readers take the latest change of each file; a deleted file has none.  A rename is the delete of
 the old name and the insert of the new one, which the latest change alone expresses.  compact() writes the state as a
-new base of a version and points readers at it; they go on with the old one until then.
+new base of a version and points readers at it; they go on with the old one until then.  A journal comes in the order
+of seq: a change that arrives after a compaction has merged later ones counts only where the file is still there.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,22 @@ def test_jaccard_join_of_chains(spark):
     assert got == plain_components(rows, Rule(3, 90))
 
 
+def test_sketches_bound_the_difference():
+    """At every width, and between sets of other widths, sketches never differ in more bits than the sets do in elements."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 30_000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n, replace=False)) for n in (1, 900, 2048, 2049, 5000, 16_000)]
+    sets += [np.unique(np.concatenate([s[: len(s) - len(s) // 20], rng.choice(pool, len(s) // 20 + 1)])) for s in sets]
+    raw = [jaccard_join.bit_sketch(s) for s in sets]
+    rows = jaccard_join.BitRows(pa.array(raw, pa.binary()))
+    for i, a in enumerate(sets):
+        found = rows.apart(i, np.arange(len(sets)))
+        for j, b in enumerate(sets):
+            differ = len(np.setxor1d(a, b, assume_unique=True))
+            assert found[j] == jaccard_join.sketch_distance(raw[i], raw[j]) <= differ
+    assert jaccard_join.sketch_distance(raw[4], raw[5]) > 1000
+
+
 def test_one_of_each(docs, rows):
     rule = Rule(5, 80)
     kept = jaccard_join.one_of_each(docs, rule)

@@ -8,7 +8,8 @@ differs in at most d elements and m > d, hence it shares a part: the sketches jo
 nothing lost.  Empty parts are not joined on unless a set has so few others that nothing else is certain; m leaves
 room for the empty parts that are to be expected.
 
-Nodes that share a part form a star around its smallest node.  A bit sketch of the whole set, whose Hamming distance
+Nodes that share a part form a star around its smallest node; each node is first held against the one of these that
+it shares most parts with, so long sets, which have many parts, are not sent to many others.  A bit sketch of the whole set, whose Hamming distance
 is again at most the symmetric difference, drops what cannot link; the rest is verified on the whole sets.  Members of
 a part that verified links do not join yet are then compared with each other in blocks, until none is open.  Nothing
 emits all pairs of a group, and no cap drops any.
@@ -33,7 +34,7 @@ from trovex.llm.components import components
 
 #: Ratio of the largest to the smallest size in a band.
 BAND = 1.25
-#: Bits of the sketch of a whole set.
+#: Least bits of the sketch of a whole set; a larger set has a bit an element at least, else its sketch would tell nothing.
 BITS = 2048
 #: Members of one block of a part.
 BLOCK = 1024
@@ -253,13 +254,49 @@ def node_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
 
 def bit_sketch(own: np.ndarray) -> bytes:
-    """Each element toggles one bit."""
-    odd = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Each element toggles one bit of a power of two."""
+    bits = max(BITS, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def bit_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """The sketch of the same set with fewer bits: its halves' exclusive or."""
+    while len(words) > width:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+class BitRows:
+    """Sketches of the members of a block; two are compared at the width of the narrower."""
+
+    def __init__(self, column: pa.Array):
+        self.rows = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+        self.width = np.array([len(x) for x in self.rows], np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each member's place among those at least so wide, and these folded to the width."""
+        if width not in self.tables:
+            wide = self.width >= width
+            self.tables[width] = np.cumsum(wide) - 1, np.stack([folded(self.rows[i], width) for i in np.flatnonzero(wide)])
+        return self.tables[width]
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The Hamming distance of member i to others."""
+        low = np.minimum(self.width[others], self.width[i])
+        out = np.empty(len(others), np.int64)
+        for width in np.unique(low).tolist():
+            place, rows = self.table(width)
+            here = low == width
+            out[here] = np.bitwise_count(rows[place[others[here]]] ^ rows[place[i]]).sum(1)
+        return out
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    width = min(len(p), len(q))
+    return int(np.bitwise_count(folded(p, width) ^ folded(q, width)).sum())
 
 
 def possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -269,7 +306,7 @@ def possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = np.asarray(batch.column("size_a")) + np.asarray(batch.column("size_b"))
-        apart = np.bitwise_count(bit_rows(batch.column("bits_a")) ^ bit_rows(batch.column("bits_b"))).sum(1)
+        apart = np.array(list(map(sketch_distance, batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())), np.int64)
         return batch.select(["a", "b"]).filter(pa.array(apart * (100 + rule.percent) <= both * (100 - rule.percent)))
 
     rows = pairs.join(one, "a").join(two, "b")
@@ -311,7 +348,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rul
 
     def compare(k: tuple, group: pa.Table) -> tuple[list[tuple[int, int]], bool]:
         node, tag, size, block = (np.asarray(group.column(c)) for c in ("node", "label", "size", "block"))
-        bits = bit_rows(group.column("bits").combine_chunks())
+        bits = BitRows(group.column("bits").combine_chunks())
         left, right = (np.flatnonzero(block == x) for x in k[1:])
         best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         more = False
@@ -320,7 +357,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rul
             r = r[(tag[r] != tag[i]) & (100 * np.minimum(size[r], size[i]) >= rule.percent * np.maximum(size[r], size[i]))]
             if not len(r):
                 continue
-            apart = np.bitwise_count(bits[r] ^ bits[i]).sum(1)
+            apart = bits.apart(i, r)
             ok = apart * (100 + rule.percent) <= (size[r] + size[i]) * (100 - rule.percent)
             for j, far in zip(r[ok].tolist(), apart[ok].tolist(), strict=True):
                 a, b = sorted((int(node[i]), int(node[j])))
@@ -365,8 +402,10 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     sketched = stored(sketches(docs, rule), "sketches")
     classes = stored(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
     members = stored(shared_parts(sketched), "members")
-    stars = stored(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    near = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    near = members.select("node").union(members.select("pivot")).distinct()
+    shared = members.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n"))
+    closest = F.max(F.struct("n", (-F.col("pivot")).alias("order"), "pivot")).alias("best")
+    stars = stored(shared.groupBy("node").agg(closest).select(F.col("best.pivot").alias("a"), F.col("node").alias("b")), "stars")
     sets = stored(node_sets(docs, stored(classes.join(near, "node"), "wanted"), rule), "sets")
     known = stored(verified(stored(possible(stars, sets, rule), "possible"), sets, rule), "verified")
     labels = components(known.where("linked"))

@@ -9,7 +9,8 @@ nothing lost.  Empty parts are not joined on unless a set has so few others that
 room for the empty parts that are to be expected.
 
 Nodes that share a part form a star around its smallest node; each node is first held against the one of these that
-it shares most parts with, so long sets, which have many parts, are not sent to many others.  A bit sketch of the whole set, whose Hamming distance
+it shares most parts with, then against the others that it is not joined to yet, so long sets, which have many parts,
+are not sent to many others.  A bit sketch of the whole set, whose Hamming distance
 is again at most the symmetric difference, drops what cannot link; the rest is verified on the whole sets.  Members of
 a part that verified links do not join yet are then compared with each other in blocks, until none is open.  Nothing
 emits all pairs of a group, and no cap drops any.
@@ -409,6 +410,11 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     sets = stored(node_sets(docs, stored(classes.join(near, "node"), "wanted"), rule), "sets")
     known = stored(verified(stored(possible(stars, sets, rule), "possible"), sets, rule), "verified")
     labels = components(known.where("linked"))
+    one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    rest = shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).join(one, "a", "left").join(two, "b", "left")
+    rest = rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b").join(known, ["a", "b"], "left_anti")
+    known = stored(known.union(verified(stored(possible(rest, sets, rule), "possible"), sets, rule)), "verified")
+    labels = components(known.where("linked"))
     all_members = members.select("key", "node").union(members.select("key", F.col("pivot").alias("node")).distinct())
     each = 1
     while True:

@@ -40,7 +40,7 @@ BITS = 2048
 #: Members of one block of a part.
 BLOCK = 1024
 #: Word hashes that a worker keeps, about 130 bytes each.
-KEPT = 300_000
+KEPT = 100_000
 MIX1, MIX2, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -316,7 +316,8 @@ def possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, linked) of pairs, from their whole sets."""
+    """(a, b, linked) of stored pairs, from their whole sets; of these only the ones in a pair travel."""
+    sets = sets.join(small(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "node", "left_semi")
     one, two = (sets.select(F.col("node").alias(x), F.col("elements").alias(f"set_{x}")) for x in "ab")
     batch_rows(pairs.sparkSession, 500)
 

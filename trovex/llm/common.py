@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 UPPER_TO_LOWER = {c: c + 32 for c in range(65, 91)}
-#: Documents of one Arrow batch, so that a batch of long documents fits a Python worker.
+#: Documents and bytes of one Arrow batch, so that a batch of long documents fits a Python worker.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,7 @@ def lower_ascii(text: str) -> str:
 def batch_rows(spark: SparkSession, rows: int) -> None:
     """Rows of one batch that goes to Python, for the jobs that follow."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def small_batches(spark: SparkSession) -> None:

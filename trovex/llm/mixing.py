@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -191,7 +192,7 @@ def chosen_texts(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share:
         for batch in batches:
             at, texts = [], []
             for i, (text, copies) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_mix_copies").to_pylist(), strict=True)):
-                words = [m.span() for m in WORD.finditer(text)]
+                words = np.fromiter((x for m in WORD.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
                 for taken in copies:
                     for k in range(max(x["times"] for x in taken)):
                         at.append(i)
@@ -206,7 +207,7 @@ def chosen_texts(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share:
     return rows.mapInArrow(cut, kinds)
 
 
-def joined(text: str, words: list[tuple[int, int]], parts: list[tuple[int, int]]) -> str:
+def joined(text: str, words: np.ndarray, parts: list[tuple[int, int]]) -> str:
     """The text of runs of words, with the white space within each run; runs that meet are one."""
     runs: list[list[int]] = []
     for low, high in parts:
@@ -216,4 +217,4 @@ def joined(text: str, words: list[tuple[int, int]], parts: list[tuple[int, int]]
             runs.append([low, high])
     if runs == [[0, len(words)]]:
         return text
-    return "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs)
+    return "\n".join(text[words[a, 0] : words[b - 1, 1]] for a, b in runs)

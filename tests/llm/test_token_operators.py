@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -117,6 +118,34 @@ def test_swaps_empty_bins():
     assert len(packing.improved([list(b) for b in before], lengths, 10)) == 3
 
 
+def has_step(giver, taker, capacity):
+    """Whether lengths of giver can move to taker, which is no emptier: one for none, one or two, or two for none or one."""
+    room = capacity - sum(taker)
+    one, two = [(x,) for x in taker], list(itertools.combinations(taker, 2))
+    steps = [(n, t) for n in giver for t in [(), *one, *two]] + [(n + m, t) for n, m in itertools.combinations(giver, 2) for t in [(), *one]]
+    return room > 0 and any(0 < n - sum(t) <= room for n, t in steps)
+
+
+def steps_left(bins, givers, capacity):
+    return [(a, b) for a in givers for b in bins if b is not a and sum(a) <= sum(b) and has_step(a, b, capacity)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(20, 60), min_size=10, max_size=60))
+def test_swaps_end_where_no_step_is_left(lengths):
+    after = packing.improved(packing.best_fit(lengths, 100), lengths, 100)
+    bins = [[lengths[i] for i in b] for b in after]
+    assert len(bins) == math.ceil(sum(lengths) / 100) or not steps_left(bins, [b for b in bins if sum(b) < 100], 100)
+
+
+def test_swaps_end_where_no_step_is_left_with_many_underfull_bins():
+    lengths = np.random.default_rng(1).integers(300, 501, 8000).tolist()
+    after = packing.improved(packing.best_fit(lengths, 1024), lengths, 1024)
+    bins = sorted(([lengths[i] for i in b] for b in after), key=sum)
+    assert sorted(x for b in bins for x in b) == sorted(lengths)
+    assert not steps_left(bins, bins[:20] + bins[len(bins) // 2 : len(bins) // 2 + 20], 1024)
+
+
 def best_tokens(word, scores, byte):
     """Every way to cut a word, the plain way: (score, tokens) of the best."""
     text = "▁" + word

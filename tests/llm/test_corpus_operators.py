@@ -90,6 +90,22 @@ def test_language_model_beats_the_base(spark, sf_dir):
     assert row.score > row.base
 
 
+def test_language_model_learns_from_long_texts(spark):
+    """Two kinds of texts with words of their own, all long: states that know the kind halve the choice of words."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"{'ab'[i % 2]}{w}" for w in rng.integers(100, size=2500)) for i in range(40)]
+    got = hmm.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out").collect()
+    assert got
+    assert all(r.score > r.base_score + 0.2 * r.n_tokens for r in got)
+
+
+def test_language_model_starts_with_different_states():
+    unigram = np.full(hmm.OWN + hmm.BUCKETS, 1 / (hmm.OWN + hmm.BUCKETS))
+    for n in (0.0, 1e12):  # no texts, and so many that hashing deals every state the same
+        emit = hmm.started(np.full((len(unigram), hmm.STATES), n), unigram).emit
+        assert all(abs(emit[:, a] - emit[:, b]).sum() > 0.1 for a in range(hmm.STATES) for b in range(a))
+
+
 def test_forward_is_exact():
     """The scaled recursion against the sum over all paths, and Baum-Welch never lowers the likelihood."""
     rng = np.random.default_rng(0)

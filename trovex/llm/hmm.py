@@ -8,8 +8,11 @@ distribution over texts, with few parameters, whatever the size of the vocabular
 Word counts come from all training texts.  Words that make up at least one in HEAD of all tokens, hence at most HEAD
 words, go to every task; the others stay a table, which the rare words of each text are joined with.  Each round of
 Baum-Welch computes exact posteriors by scaled forward and backward recursion over whole texts, adds up the expected
-counts of each task, and sums them over the tasks.  Starting values come from rounds over a bounded sample.  The score
-of a text is the exact log10 likelihood from the scaled forward recursion.
+counts of each task, and sums them over the tasks.  Starting values come from all training texts as well: each is dealt
+to a state by a hash, and every state's emissions are drawn anew around the classes of its texts, as if it had START
+tokens, so that no two states start equal, however many or few texts there are.  Rounds go on until one raises the log
+likelihood (with the smoothing as its prior, which Baum-Welch never lowers) by at most LEAST_GAIN a training token.  The
+score of a text is the exact log10 likelihood from the scaled forward recursion.
 
 Words are known by 64-bit hashes.  Null and empty texts are one end token.  Null doc_ids are hashed as an empty text.
 Repeated rows are texts of their own.  Empty tables give empty results; other columns are ignored.
@@ -26,17 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovex.llm.common import WORD, batch_rows, binaries, drawn, longs, lower_ascii, small_batches, stored, strings
+from trovex.llm.common import WORD, batch_rows, binaries, longs, lower_ascii, small_batches, stored, strings
 
 STATES, OWN, BUCKETS, HEAD = 8, 8192, 1024, 1 << 21
-#: Rounds over the sample and over all texts; documents of the sample, and the most tokens that one of them has.
-FIRST_ROUNDS, ROUNDS, SAMPLE, SAMPLE_WORDS = 12, 2, 800, 2000
+#: Tokens as of which a state's first emissions are drawn; the gain of the last round, in natural logs a training token.
+START, LEAST_GAIN = 50_000, 0.001
 SMOOTHING, SEED = 200.0, 3
 #: Tokens of one batch of the recursions, and of the texts that are sorted by length together.
 BATCH, SORTED = 400_000, 2_500_000
 #: Distinct words that a worker keeps.
 KEPT = 600_000
 END = ""
+STATE_NAMES = [f"s{k}" for k in range(STATES)]
+SUMS_SCHEMA = "kind int, i int, " + ", ".join(f"{n} double" for n in STATE_NAMES)
 
 
 def hash_of(word: str) -> int:
@@ -184,6 +189,7 @@ class Sums:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    log: float = 0.0  # likelihood under the model that gave the counts
 
     @staticmethod
     def zero() -> Sums:
@@ -224,6 +230,7 @@ def posterior(model: Model, texts: list[np.ndarray], sums: Sums) -> None:
     classes, begins, live = by_time(texts)
     emitted = model.emit[classes]
     scale, alpha = forward(model, emitted.copy(), begins, live, keep=True)
+    sums.log += float(np.log(scale).sum())
     emitted /= scale[:, None]
     beta = np.ones((live[0], STATES))
     moves = np.zeros((STATES, STATES))
@@ -262,20 +269,18 @@ def model_of(sums: Sums, unigram: np.ndarray) -> Model:
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def started(sample: list[np.ndarray], unigram: np.ndarray) -> Model:
-    """The model after rounds over a sample, from texts dealt to states at random and states that last."""
-    rng = np.random.default_rng(SEED)
+def log_prior(model: Model, unigram: np.ndarray) -> float:
+    """The smoothing of model_of as a log prior."""
+    return float(np.log(model.start).sum() + np.log(model.move).sum() + SMOOTHING * (unigram @ np.log(model.emit)).sum())
+
+
+def started(dealt: np.ndarray, unigram: np.ndarray) -> Model:
+    """The first model, from the class counts of the texts dealt to each state: states that last, emissions drawn anew."""
+    emit = dealt + SMOOTHING * unigram[:, None]
     sums = Sums.zero()
-    for x in sample:
-        np.add.at(sums.emit[:, rng.integers(STATES)], x, 1.0)
+    sums.emit += np.random.default_rng(SEED).gamma(START * emit / emit.sum(0))
     sums.move += np.eye(STATES) * 100.0
-    model = model_of(sums, unigram)
-    for _ in range(FIRST_ROUNDS):
-        sums = Sums.zero()
-        for _, texts in batches_of(sample):
-            posterior(model, texts, sums)
-        model = model_of(sums, unigram)
-    return model
+    return model_of(sums, unigram)
 
 
 def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -295,9 +300,48 @@ def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np
         yield rows, texts
 
 
-def expected(texts: DataFrame, shared) -> DataFrame:
-    """Expected counts of all texts: (kind, i, one number for each state)."""
-    names = [f"s{k}" for k in range(STATES)]
+def rows_of(sums: Sums) -> pa.RecordBatch:
+    """(kind, i, one number for each state): 0 the start, 1 moves, 2 emissions, 3 the likelihood."""
+    used = np.flatnonzero(sums.emit.any(1))
+    kind = np.concatenate([[0], np.ones(STATES), np.full(len(used), 2), [3]]).astype(np.int32)
+    i = np.concatenate([[0], np.arange(STATES), used, [0]]).astype(np.int32)
+    log = np.zeros((1, STATES))
+    log[0, 0] = sums.log
+    x = np.concatenate([sums.start[None], sums.move, sums.emit[used], log])
+    return pa.record_batch([pa.array(kind), pa.array(i), *map(pa.array, np.ascontiguousarray(x.T))], ["kind", "i", *STATE_NAMES])
+
+
+def added(rows: DataFrame) -> Sums:
+    """The sums over all tasks of what rows_of gave in each."""
+    sums = Sums.zero()
+    for kind, i, *x in rows.groupBy("kind", "i").agg(*[F.sum(n).alias(n) for n in STATE_NAMES]).collect():  # a row for each class at most
+        if kind == 0:
+            sums.start[:] = x
+        elif kind == 1:
+            sums.move[i] = x
+        elif kind == 2:
+            sums.emit[i] = x
+        else:
+            sums.log = x[0]
+    return sums
+
+
+def dealt(texts: DataFrame) -> np.ndarray:
+    """Class counts of all texts, each dealt to one state by a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums.zero()
+        for batch in batches:
+            for state, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                np.add.at(sums.emit[:, state], np.frombuffer(raw.as_py(), "<u2"), 1.0)
+        yield rows_of(sums)
+
+    state = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "classes"), F.lit(STATES)).cast("int")
+    return added(texts.select(state.alias("state"), "classes").mapInArrow(run, SUMS_SCHEMA)).emit
+
+
+def expected(texts: DataFrame, shared) -> Sums:
+    """Expected counts of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, sums, any_text = shared.value, Sums.zero(), False
@@ -306,35 +350,24 @@ def expected(texts: DataFrame, shared) -> DataFrame:
                 posterior(model, part, sums)
                 any_text = True
         if any_text:
-            used = np.flatnonzero(sums.emit.any(1))
-            kind = np.concatenate([[0], np.ones(STATES), np.full(len(used), 2)]).astype(np.int32)
-            i = np.concatenate([[0], np.arange(STATES), used]).astype(np.int32)
-            x = np.concatenate([sums.start[None], sums.move, sums.emit[used]])
-            yield pa.record_batch([pa.array(kind), pa.array(i), *map(pa.array, np.ascontiguousarray(x.T))], ["kind", "i", *names])
+            yield rows_of(sums)
 
-    out = texts.select("row", "classes").mapInArrow(run, "kind int, i int, " + ", ".join(f"{n} double" for n in names))
-    return out.groupBy("kind", "i").agg(*[F.sum(n).alias(n) for n in names])
+    return added(texts.select("row", "classes").mapInArrow(run, SUMS_SCHEMA))
 
 
-def trained(texts: DataFrame, unigram: np.ndarray) -> Model:
-    """Baum-Welch over stored training texts."""
+def trained(texts: DataFrame, unigram: np.ndarray, tokens: int) -> Model:
+    """Baum-Welch over stored training texts with so many tokens."""
     context = texts.sparkSession.sparkContext
-    short = texts.where(F.col("n_tokens") <= SAMPLE_WORDS)
-    draw = drawn(short.select("doc_id", "row", "classes"), SAMPLE, F.xxhash64(F.lit(SEED), "doc_id", "classes"), "row").select("classes").collect()
-    model = started([np.frombuffer(bytes(x[0]), "<u2") for x in draw], unigram)
-    for _ in range(ROUNDS):
+    model, last = started(dealt(texts), unigram), -np.inf
+    while True:
         shared = context.broadcast(model)
-        sums = Sums.zero()
-        for kind, i, *x in expected(texts, shared).collect():  # a row for each class at most
-            if kind == 0:
-                sums.start[:] = x
-            elif kind == 1:
-                sums.move[i] = x
-            else:
-                sums.emit[i] = x
+        sums = expected(texts, shared)
+        now = sums.log + log_prior(model, unigram)
         model = model_of(sums, unigram)
         shared.unpersist()
-    return model
+        if now - last <= LEAST_GAIN * tokens:
+            return model
+        last = now
 
 
 def likelihoods(texts: DataFrame, shared) -> DataFrame:
@@ -366,7 +399,7 @@ def scored(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     c = F.coalesce("c", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.log10(c + 1.0)).alias("rare_logs"), F.sum((c > 0).cast("long")).alias("rare_known"))
     batch_rows(docs.sparkSession, 1000)
-    model = trained(texts.where("not held_out"), v.unigram)
+    model = trained(texts.where("not held_out"), v.unigram, v.tokens)
     chain = likelihoods(texts, context.broadcast(model))
     rows = texts.join(chain, "row").join(rare, "row", "left")
     logs = F.coalesce("rare_logs", F.lit(0.0))

@@ -72,6 +72,73 @@ def test_jaccard_join_of_chains(spark):
     assert got == plain_components(rows, Rule(3, 90))
 
 
+def just_under(n, words=175, changes=2, seed=7):
+    """Copies of one text with a few words changed each: most pairs stay just under 0.8 by shingles of five."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k in range(changes):
+            own[rng.randrange(words)] = f"x{i}y{k}"
+        rows.append((i + 1, " ".join(own)))
+    return rows
+
+
+def counted_components(rows, rule):
+    """As plain_components, by a matrix of the shingles that several texts have."""
+    sets = [shingles(r[1], rule.n) for r in rows]
+    several = {x: k for k, x in enumerate(x for x, c in Counter(x for s in sets for x in s).items() if c > 1)}
+    has = np.zeros((len(rows), len(several)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [several[x] for x in s if x in several]] = 1
+    shared, size = (has @ has.T).astype(int), np.array(list(map(len, sets)))
+    linked = np.argwhere(100 * shared >= rule.percent * (size[:, None] + size - shared))
+    groups = merged(len(rows), linked.tolist())
+    least = {}
+    for r, g in zip(rows, groups, strict=True):
+        least[g] = min(r[0], least.get(g, r[0]))
+    return Counter((r[0], int(n), least[g]) for r, n, g in zip(rows, size, groups, strict=True))
+
+
+def test_rows_grow_with_the_members_not_with_pairs(spark):
+    """2,000 near copies, most of whose two million pairs are just too far apart to link, and thousands of which the sketches let through."""
+    rule, rows = Rule(5, 80), just_under(2000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sketched = jaccard_join.stored(jaccard_join.sketches(df, rule), "sketches")
+    members = jaccard_join.stored(jaccard_join.shared_parts(sketched), "members")
+    blocks = members.select("key", "n").distinct().agg(F.sum(F.ceil(F.col("n") / jaccard_join.BLOCK))).first()[0]
+    assert blocks < members.count() / 10
+    assert jaccard_join.near(members, sketched, rule).count() <= 2 * members.count()
+    assert Counter(map(tuple, jaccard_join.joined(df, rule).collect())) == counted_components(rows, rule)
+
+
+def test_links_by_shared_counts():
+    """Every pair of sets, with elements of one, some or all; across two blocks and within one."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.choice(np.arange(1, 60, dtype=np.uint64), rng.integers(1, 50))) for _ in range(40)]
+    rule = Rule(3, 60)
+    want = np.array([[100 * len(np.intersect1d(a, b)) >= 60 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    assert (jaccard_join.links(sets, 40, rule) == want).all()
+    assert (jaccard_join.links(sets, 15, rule) == want[:15, 15:]).all()
+
+
+def test_blocks_of_few_elements(spark, docs, rows, monkeypatch):
+    """Clusters and parts cut into many blocks give the same components."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "ELEMENTS", 100)
+    assert Counter(map(tuple, jaccard_join.joined(docs, Rule(5, 80)).collect())) == plain_components(rows, Rule(5, 80))
+
+
+def test_half_of_all_rows_are_one_text_without_an_id(spark):
+    rows = [(None if i % 2 else i, "same words for every one of these" if i % 2 else f"text number {i} of its own kind") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, jaccard_join.joined(df, Rule(3, 90)).collect()))
+    assert got[None, 5, None] == 200
+    assert sum(got.values()) == 400
+    assert jaccard_join.one_of_each(df.withColumn("row", F.lit(1)).withColumn("_row", F.lit(2)), Rule(5, 80)).count() == 201
+
+
 def test_sketches_bound_the_difference():
     """At every width, and between sets of other widths, sketches never differ in more bits than the sets do in elements."""
     rng = np.random.default_rng(3)
@@ -90,12 +157,21 @@ def test_sketches_bound_the_difference():
 
 def test_one_of_each(docs, rows):
     rule = Rule(5, 80)
-    kept = jaccard_join.one_of_each(docs, rule)
-    assert kept.columns == docs.columns
+    kept = jaccard_join.one_of_each(docs.withColumn("_row_number", F.lit(1)), rule)
+    assert kept.columns == [*docs.columns, "_row_number"]
     sets = [shingles(r[1], rule.n) for r in rows]
     pairs = [(i, j) for i, a in enumerate(sets) for j in range(i) if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j])]
     groups = merged(len(rows), pairs)
+    told = Counter((r[0], r[1]) for r in rows)
     assert kept.count() == len(set(groups))
+    for r in kept.collect():
+        assert told[r.doc_id, r.text] > 0
+    # where ids differ and are not null, the smallest stays
+    own = [(r, g) for r, g in zip(rows, groups, strict=True)]
+    for g in set(groups):
+        ids = [r[0] for r, k in own if k == g]
+        if None not in ids and len(set(ids)) == len(ids) > 1 and all(sum(r[0] == i for r in rows) == 1 for i in ids):
+            assert {r.doc_id for r in kept.where(F.col("doc_id").isin(ids)).collect()} == {min(ids)}
 
 
 def test_nothing_to_join(no_docs):

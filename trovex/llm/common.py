@@ -30,15 +30,24 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(UPPER_TO_LOWER)
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Rows of one batch that goes to Python, for the jobs that follow."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded(spark: SparkSession) -> None:
+    """Bounds the bytes of the batches that go to Python, as texts are long; the only setting of the session that is changed, always to the same value."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts are long: keeps the batches that go to Python small."""
-    batch_rows(spark, BATCH_ROWS)
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def private(df: DataFrame, name: str) -> str:
+    """A name for a column of our own, which df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def small(df: DataFrame, bound: int = 1_000_000) -> DataFrame:
@@ -47,9 +56,11 @@ def small(df: DataFrame, bound: int = 1_000_000) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that driver and executors share; where it is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir that driver and executors share; where it is unset, in local mode, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.gettempdir()}/trovex-shared"
     return at.rstrip("/")
 
@@ -67,15 +78,10 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch that gives one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
-
-    return df.mapInArrow(run, schema)
+def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with a function of one batch, of at most so many rows, that gives one batch."""
+    bounded(df.sparkSession)
+    return df.mapInArrow(lambda batches: map(f, slices(batches, rows)), schema)
 
 
 def unsigned_draw(*parts: Column | str) -> Column:

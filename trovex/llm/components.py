@@ -1,11 +1,12 @@
-"""Connected components by repeated contraction, each round a stored table."""
+"""Connected components by repeated contraction, each round a stored table; spanning forests of one task's links."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovex.llm.common import stored
+from trovex.llm.common import small, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,5 +39,28 @@ def components(edges: DataFrame) -> DataFrame:
         later = labels.select(F.col("node").alias("to"), "label")
         labels = stored(move.join(later, "to", "left").select("node", F.coalesce("label", "to").alias("label")), "labels")
     least = labels.groupBy("label").agg(F.min("node").alias("least"))
-    least = least.select("label", F.least("label", "least").alias("least"))
-    return stored(labels.join(least, "label").select("node", F.col("least").alias("label")), "components")
+    least = stored(least.select("label", F.least("label", "least").alias("least")), "least")  # by itself, so that Spark may split the join of a large component
+    return stored(labels.join(small(least), "label").select("node", F.col("least").alias("label")), "components")
+
+
+def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left, right) that join the same rows and columns as a boolean matrix of links."""
+    rows, columns = links.any(1).nonzero()[0], links.any(0).nonzero()[0]
+    small = links[np.ix_(rows, columns)]
+    met, reached = np.zeros(len(rows), bool), np.zeros(len(columns), bool)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for r in range(len(rows)):
+        front = np.array([r]) if not met[r] else np.empty(0, np.int64)
+        met[front] = True
+        while len(front):
+            to = small[front] & ~reached
+            new = to.any(0).nonzero()[0]
+            left.append(rows[front[to[:, new].argmax(0)]] if len(new) else new)
+            right.append(columns[new])
+            reached[new] = True
+            back = small[:, new] & ~met[:, None]
+            front = back.any(1).nonzero()[0]
+            left.append(rows[front])
+            right.append(columns[new[back[front].argmax(1)]] if len(front) else front)
+            met[front] = True
+    return np.concatenate(left), np.concatenate(right)

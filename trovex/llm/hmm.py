@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovex.llm.common import WORD, batch_rows, binaries, longs, lower_ascii, small_batches, stored, strings
+from trovex.llm.common import BATCH_ROWS, WORD, binaries, bounded, longs, lower_ascii, slices, stored, strings
 
 STATES, OWN, BUCKETS, HEAD = 8, 8192, 1024, 1 << 21
 #: Tokens as of which a state's first emissions are drawn; the gain of the last round, in natural logs a training token.
@@ -74,7 +74,7 @@ def tokens_of(text: str) -> list[str]:
 
 def counted(docs: DataFrame) -> DataFrame:
     """(word, c): the hash and count of every token."""
-    small_batches(docs.sparkSession)
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = Codes(), np.zeros(0, np.int64)
@@ -82,7 +82,7 @@ def counted(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             return pa.record_batch([longs([hash_of(w) for w in codes]), longs(counts[: len(codes)])], ["word", "c"])
 
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             for text in strings(batch.column(0)):
                 words = tokens_of(text)
                 at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
@@ -138,13 +138,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 def encoded(docs: DataFrame, shared) -> DataFrame:
     """Classes and sums of every text; rare holds the hashes of the words outside the head."""
-    small_batches(docs.sparkSession)
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
         codes = Codes()
         word, kind, logs, norm = np.empty(0, np.int64), np.empty(0, np.uint16), np.empty(0), np.empty(0)
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             if len(codes) > KEPT:
                 codes = Codes()
                 word, kind, logs, norm = np.empty(0, np.int64), np.empty(0, np.uint16), np.empty(0), np.empty(0)
@@ -398,7 +398,6 @@ def scored(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     rare = texts.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.log10(c + 1.0)).alias("rare_logs"), F.sum((c > 0).cast("long")).alias("rare_known"))
-    batch_rows(docs.sparkSession, 1000)
     model = trained(texts.where("not held_out"), v.unigram, v.tokens)
     chain = likelihoods(texts, context.broadcast(model))
     rows = texts.join(chain, "row").join(rare, "row", "left")

@@ -8,21 +8,23 @@ differs in at most d elements and m > d, hence it shares a part: the sketches jo
 nothing lost.  Empty parts are not joined on unless a set has so few others that nothing else is certain; m leaves
 room for the empty parts that are to be expected.
 
-Nodes that share a part form a star around its smallest node; each node is first held against the one of these that
-it shares most parts with, then against the others that it is not joined to yet, so long sets, which have many parts,
-are not sent to many others.  A bit sketch of the whole set, whose Hamming distance
-is again at most the symmetric difference, drops what cannot link; the rest is verified on the whole sets.  Members of
-a part that verified links do not join yet are then compared with each other in blocks, until none is open.  Nothing
-emits all pairs of a group, and no cap drops any.
-
-Null and empty texts have an empty set and link with nothing.  Repeated rows are copies.  A null doc_id takes part;
-its component is the smallest doc_id that is not null.  Empty tables give empty results; other columns are ignored.
+Parts with the same members count once.  The members of a part are compared in blocks by a bit sketch of the whole set,
+whose Hamming distance is again at most the symmetric difference.  A block gives a forest of the pairs that may link,
+never all of them: as many rows as it has members.  The forests join into clusters, outside which nothing links, and
+each cluster is verified once, whatever the number of parts that its members share: in blocks, on whole sets, by the
+counts of shared elements of all its pairs.  A block again gives a forest, of verified links.  So rows grow with the
+members; comparisons within a cluster are of all pairs, dealt to as many tasks as it has pairs of blocks.
+
+Null and empty texts have an empty set and link with nothing.  Very long texts are taken whole: their sketches have a
+bit an element, and a block of a cluster holds as many sets as ELEMENTS allows.  Repeated rows are copies.  A null
+doc_id takes part; its component is the smallest doc_id that is not null.  Ties do not arise, as a component is named by
+its smallest doc_id.  Empty tables give empty results; other columns are ignored by joined() and kept by one_of_each().
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovex.llm.common import WORD, batch_rows, binaries, longs, lower_ascii, mapped, small, small_batches, stored, strings
-from trovex.llm.components import components
+from trovex.llm.common import WORD, binaries, bounded, longs, lower_ascii, private, slices, small, stored, strings
+from trovex.llm.components import components, forest
 
 #: Ratio of the largest to the smallest size in a band.
 BAND = 1.25
 #: Least bits of the sketch of a whole set; a larger set has a bit an element at least, else its sketch would tell nothing.
 BITS = 2048
-#: Members of one block of a part.
-BLOCK = 1024
+#: Members of one block of a part or cluster, and elements of the sets of one block of a cluster, about.
+BLOCK, ELEMENTS = 1024, 1 << 20
+#: Cells of the matrix of sets and elements that is held at a time.
+CELLS = 1 << 22
 #: Word hashes that a worker keeps, about 130 bytes each.
 KEPT = 100_000
 MIX1, MIX2, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -170,88 +174,196 @@ def part_keys(flat: np.ndarray, sizes: np.ndarray, rule: Rule, bands: np.ndarray
 
 
 def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n_shingles, node, keys): a node's keys stand at its first document in each task."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """(doc_id, text_hash, n_shingles, node, bits, keys): a node's bits and keys stand at its first document in each task."""
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         plans = {b: rule.parts(b) for b in range(80)}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                flat, sizes = shingle_sets(strings(part.column(1)), rule.n)
-                ends = np.cumsum(sizes)
-                nodes = [node_of(flat[e - s : e]) if s else None for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                fresh = []
-                for x in nodes:
-                    fresh.append(x is not None and x not in seen)
-                    seen.add(x)
-                if len(seen) > 500_000:
-                    seen.clear()  # a node that comes again is sent again
-                all_bands = [rule.bands(s) if s and f else [] for s, f in zip(sizes.tolist(), fresh, strict=True)]
-                keys, whose = [], []
-                for k in range(max(map(len, all_bands), default=0)):
-                    bands = np.array([b[k] if k < len(b) else -1 for b in all_bands], np.int64)
-                    x, w = part_keys(flat, sizes, rule, bands, plans)
-                    keys.append(x)
-                    whose.append(w)
-                key, own = np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *whose])
-                order = np.argsort(own, kind="stable")
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(sizes)))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order]))
-                yield pa.record_batch([part.column(0), longs(sizes), pa.array(nodes, pa.int64()), lists], ["doc_id", "n_shingles", "node", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+        for part in slices(batches, 250):
+            flat, sizes = shingle_sets(strings(part.column(2)), rule.n)
+            ends = np.cumsum(sizes)
+            sets = [flat[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            nodes = [node_of(x) if len(x) else None for x in sets]
+            fresh = []
+            for x in nodes:
+                fresh.append(x is not None and x not in seen)
+                seen.add(x)
+            if len(seen) > 500_000:
+                seen.clear()  # a node that comes again is sent again
+            all_bands = [rule.bands(len(x)) if f else [] for x, f in zip(sets, fresh, strict=True)]
+            keys, whose = [], []
+            for k in range(max(map(len, all_bands), default=0)):
+                bands = np.array([b[k] if k < len(b) else -1 for b in all_bands], np.int64)
+                x, w = part_keys(flat, sizes, rule, bands, plans)
+                keys.append(x)
+                whose.append(w)
+            key, own = np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *whose])
+            order = np.argsort(own, kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(sizes)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order]))
+            bits = binaries([bit_sketch(x) if f else None for x, f in zip(sets, fresh, strict=True)])
+            yield pa.record_batch([part.column(0), part.column(1), longs(sizes), pa.array(nodes, pa.int64()), bits, lists], ["doc_id", "text_hash", "n_shingles", "node", "bits", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, bits binary, keys array<long>")
 
 
 def shared_parts(sketched: DataFrame) -> DataFrame:
-    """(key, pivot, node): members of each key that more than one node has; pivot is the smallest."""
-    batch_rows(sketched.sparkSession, 100_000)
-    rows = sketched.where("size(keys) > 0").select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    """(key, node, n): the n members of each part that more than one node has; of parts with the same members, one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot, before = None, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
+    Counts by key come first, combined in each task before they travel, so a part that a third of all nodes have is no
+    task's alone.  Parts of two need no more; members of the others are looked up, in a join that Spark may split.
+    """
+    rows = sketched.where("size(keys) > 0").select(F.explode("keys").alias("key"), "node")
+    parts = stored(rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b"), "parts")
+    pairs = parts.where("n = 2").groupBy("a", "b").agg(F.min("key").alias("key"))
+    members = stored(rows.join(small(parts.where("n > 2").select("key")), "key").distinct(), "members")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    kinds = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks)
+    first = stored(kinds.groupBy("n", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "n"), "kinds")
+    two = pairs.select("key", F.explode(F.array("a", "b")).alias("node"), F.lit(2).cast("long").alias("n"))
+    return two.union(members.join(small(first), "key").select("key", "node", "n"))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], compare: Callable[[tuple[int, ...], pa.Table], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) that compare finds in each group of sorted rows."""
+    held: list[pa.RecordBatch] = []
+    current: tuple[int, ...] | None = None
+    found: list[tuple[int, int]] = []
+
+    def flush() -> pa.RecordBatch:
+        out = pa.record_batch([longs([x for x, _ in found]), longs([y for _, y in found])], ["a", "b"])
+        found.clear()
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(c)) for c in keys]
+        new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in columns], axis=0)]))
+        for s, e in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows], strict=True):
+            k = tuple(int(x[s]) for x in columns)
+            if k != current:
+                if held:
+                    found += compare(current, pa.Table.from_batches(held))
+                held.clear()
+                current = k
+                if len(found) > 10_000:
+                    yield flush()
+            held.append(batch.slice(s, e - s))
+    if held:
+        found += compare(current, pa.Table.from_batches(held))
+    if found:
+        yield flush()
+
+
+def in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """rows, which have a column blocks, for each pair of blocks i <= j of their key that takes them, those together and in order."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def near(members: DataFrame, sketched: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): for each block of a part's members, a forest of the pairs that sizes and bit sketches do not rule out."""
+    nodes = stored(members.select("node").distinct(), "nodes")
+    own = sketched.where("bits is not null").join(small(nodes), "node", "left_semi").select("node", F.col("n_shingles").alias("size"), "bits").dropDuplicates(["node"])
+    rows = in_blocks(members.join(own, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).drop("n"), "key")
+
+    def compare(k: tuple[int, ...], group: pa.Table) -> list[tuple[int, int]]:
+        node, size, block = (np.asarray(group.column(c)) for c in ("node", "size", "block"))
+        bits = BitRows(group.column("bits").combine_chunks())
+        left, right = (np.flatnonzero(block == x) for x in k[1:])
+        tree, found = np.arange(len(node)), []
+        for i in left.tolist():
+            r = right[tree[right] != tree[i]]
+            if k[1] == k[2]:
+                r = r[r > i]
+            r = r[100 * np.minimum(size[r], size[i]) >= rule.percent * np.maximum(size[r], size[i])]
+            if not len(r):
                 continue
-            k, v = (np.asarray(batch.column(i)) for i in (0, 1))
-            start = np.concatenate([[True], k[1:] != k[:-1]])
-            ahead = np.concatenate([[v[0]], v[:-1]])
-            if last is not None and k[0] == last:
-                start[0] = False
-                ahead[0] = before
-            heads = np.flatnonzero(start)
-            of = np.cumsum(start) - 1
-            first = np.where(of >= 0, v[heads][np.maximum(of, 0)] if len(heads) else pivot, pivot)
-            out = ~start & (v != ahead)
-            yield pa.record_batch([pa.array(k[out]), pa.array(first[out]), pa.array(v[out])], ["key", "pivot", "node"])
-            last, pivot, before = k[-1], first[-1], v[-1]
-
-    return rows.mapInArrow(run, "key long, pivot long, node long")
+            r = r[bits.apart(i, r) * (100 + rule.percent) <= (size[r] + size[i]) * (100 - rule.percent)]
+            for j in r.tolist():
+                if tree[i] != tree[j]:
+                    tree[tree == tree[j]] = tree[i]
+                    found.append((int(node[i]), int(node[j])))
+        return found
+
+    pairs = rows.mapInArrow(lambda batches: grouped(batches, ("key", "i", "j"), compare), "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(node, size, bits, elements) of the wanted (node, doc_id): a set's bit sketch and its sorted hashes."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").alias("d").join(small(wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+    """(node, label, blocks, elements) of the wanted (node, label, blocks, doc_id, text_hash): each set's sorted hashes."""
+    d = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).alias("d")
+    w = small(wanted).alias("w")
+    rows = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                flat, sizes = shingle_sets(strings(part.column(1)), rule.n)
-                ends = np.cumsum(sizes)
-                out = []
-                for e, s, node in zip(ends.tolist(), sizes.tolist(), part.column(0).to_pylist(), strict=True):
-                    own = flat[e - s : e]
-                    if s and node_of(own) == node:  # another text may have the same doc_id
-                        out.append((node, s, bit_sketch(own), own.tobytes()))
-                node, size, bits, raw = zip(*out, strict=True) if out else ((), (), (), ())
-                yield pa.record_batch([longs(node), longs(size), binaries(bits), binaries(raw)], ["node", "size", "bits", "elements"])
-
-    found = rows.select("w.node", "d.text").mapInArrow(run, "node long, size long, bits binary, elements binary")
-    return found.dropDuplicates(["node"])
+        seen: set[int] = set()  # repeated rows come once from a task
+        for part in slices(batches, 250):
+            flat, sizes = shingle_sets(strings(part.column(3)), rule.n)
+            ends, keep, raw = np.cumsum(sizes), [], []
+            for k, (e, s, node) in enumerate(zip(ends.tolist(), sizes.tolist(), part.column(0).to_pylist(), strict=True)):
+                own = flat[e - s : e]
+                if s and node not in seen and node_of(own) == node:  # texts whose hashes are equal may differ
+                    seen.add(node)
+                    keep.append(k)
+                    raw.append(own.tobytes())
+            kept = part.take(pa.array(keep, pa.int64()))
+            yield pa.record_batch([*kept.columns[:3], binaries(raw)], ["node", "label", "blocks", "elements"])
+
+    return rows.select("w.node", "w.label", "w.blocks", "d.text").mapInArrow(run, "node long, label long, blocks long, elements binary")
+
+
+def links(sets: list[np.ndarray], lefts: int, rule: Rule) -> np.ndarray:
+    """Whether each of the first lefts sets links with each of the others, or with each of all where lefts is their number.
+
+    Shared elements are counted by a product of the matrices that tell which set has which element; elements of one set
+    alone, or of all, need no column there.
+    """
+    n, size = len(sets), np.array(list(map(len, sets)), np.int64)
+    right = slice(0, n) if lefts == n else slice(lefts, n)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    count = np.diff(np.append(starts, len(flat)))
+    some = (count > 1) & (count < n)
+    column = np.repeat(np.cumsum(some) - 1, count)[np.repeat(some, count)]
+    owner = owner[np.repeat(some, count)]
+    shared = np.full((lefts, right.stop - right.start), int((count == n).sum()), np.int64)
+    width, columns = max(64, CELLS // n), int(some.sum())
+    for at in range(0, columns, width):
+        a, b = np.searchsorted(column, (at, at + width))
+        has = np.zeros((n, min(width, columns - at)), np.float32)
+        has[owner[a:b], column[a:b] - at] = 1
+        shared += (has[:lefts] @ has[right].T).astype(np.int64)
+    both = size[:lefts, None] + size[right]
+    return 100 * shared >= rule.percent * (both - shared)
+
+
+def verified(sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): for each pair of blocks of a cluster, a forest of its links."""
+
+    def compare(k: tuple[int, ...], group: pa.Table) -> list[tuple[int, int]]:
+        node, block = np.asarray(group.column("node")), np.asarray(group.column("block"))
+        node, once = np.unique(node, return_index=True)  # a node may come from several tasks
+        block, raw = block[once], group.column("elements").take(pa.array(once))
+        order = np.argsort(block, kind="stable")
+        node, raw = node[order], raw.take(pa.array(order))
+        lefts = int((block == k[1]).sum())
+        if lefts == len(node) and k[1] != k[2] or not lefts:
+            return []
+        found = links([np.frombuffer(x.as_buffer(), np.uint64) for x in raw], lefts, rule)
+        left, right = forest(found)
+        pairs = zip(node[left].tolist(), node[right + (0 if lefts == len(node) else lefts)].tolist(), strict=True)
+        return [(a, b) if a < b else (b, a) for a, b in pairs if a != b]
+
+    rows = in_blocks(sets, "label")
+    return rows.mapInArrow(lambda batches: grouped(batches, ("label", "i", "j"), compare), "a long, b long").distinct()
 
 
 def bit_sketch(own: np.ndarray) -> bytes:
@@ -300,135 +412,21 @@ def sketch_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(folded(p, width) ^ folded(q, width)).sum())
 
 
-def possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) that their sizes and bit sketches do not rule out."""
-    one, two = (sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    batch_rows(pairs.sparkSession, 5000)
-
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        both = np.asarray(batch.column("size_a")) + np.asarray(batch.column("size_b"))
-        apart = np.array(list(map(sketch_distance, batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())), np.int64)
-        return batch.select(["a", "b"]).filter(pa.array(apart * (100 + rule.percent) <= both * (100 - rule.percent)))
-
-    rows = pairs.join(one, "a").join(two, "b")
-    fits = (100 * F.least("size_a", "size_b") >= rule.percent * F.greatest("size_a", "size_b"))
-    return mapped(rows.where(fits).select("a", "b", "size_a", "size_b", "bits_a", "bits_b"), keep, "a long, b long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, linked) of stored pairs, from their whole sets; of these only the ones in a pair travel."""
-    sets = sets.join(small(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "node", "left_semi")
-    one, two = (sets.select(F.col("node").alias(x), F.col("elements").alias(f"set_{x}")) for x in "ab")
-    batch_rows(pairs.sparkSession, 500)
-
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * shared >= rule.percent * (len(p) + len(q) - shared))
-        return pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "linked"])
-
-    return mapped(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b"), check, "a long, b long, linked boolean")
-
-
-def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule, each: int) -> DataFrame:
-    """(a, b, more): possible pairs of members of one part under different labels, the closest few for each two labels.
-
-    more tells that there are others beside these; a later round, with fewer labels or a larger each, has them.
-    """
-    spark = members.sparkSession
-    label = F.coalesce("label", "node").alias("label")
-    rows = members.join(labels, "node", "left").select("key", "node", label)
-    mixed_keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high and n > 2")
-    rows = rows.join(mixed_keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
-    rows = rows.join(sets.select("node", "size", "bits"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    batch_rows(spark, 5000)
-
-    def compare(k: tuple, group: pa.Table) -> tuple[list[tuple[int, int]], bool]:
-        node, tag, size, block = (np.asarray(group.column(c)) for c in ("node", "label", "size", "block"))
-        bits = BitRows(group.column("bits").combine_chunks())
-        left, right = (np.flatnonzero(block == x) for x in k[1:])
-        best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        more = False
-        for i in left.tolist():
-            r = right[(node[right] > node[i]) | (k[1] != k[2])]
-            r = r[(tag[r] != tag[i]) & (100 * np.minimum(size[r], size[i]) >= rule.percent * np.maximum(size[r], size[i]))]
-            if not len(r):
-                continue
-            apart = bits.apart(i, r)
-            ok = apart * (100 + rule.percent) <= (size[r] + size[i]) * (100 - rule.percent)
-            for j, far in zip(r[ok].tolist(), apart[ok].tolist(), strict=True):
-                a, b = sorted((int(node[i]), int(node[j])))
-                found = best.setdefault(tuple(sorted((int(tag[i]), int(tag[j])))), [])
-                found.append((far, a, b))
-                if len(found) >= 64 * each:
-                    found.sort()
-                    del found[16 * each :]
-                    more = True
-        more |= any(len(found) > 16 * each for found in best.values())
-        return [x[1:] for found in best.values() for x in sorted(found)[: 16 * each]], more
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current: tuple | None = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                pairs, more = compare(current, pa.Table.from_batches(held))
-                yield pa.record_batch([longs([x for x, _ in pairs]), longs([y for _, y in pairs]), pa.array([more] * len(pairs), pa.bool_())], ["a", "b", "more"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [np.asarray(batch.column(c)) for c in ("key", "i", "j")]
-            new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
-            for s, e in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows], strict=True):
-                k = tuple(int(x[s]) for x in keys)
-                if k != current:
-                    yield from close()
-                    held.clear()
-                    current = k
-                held.append(batch.slice(s, e - s))
-        yield from close()
-
-    return rows.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
 def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    batch_rows(docs.sparkSession, 1000)
     sketched = stored(sketches(docs, rule), "sketches")
-    classes = stored(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-    members = stored(shared_parts(sketched), "members")
-    near = members.select("node").union(members.select("pivot")).distinct()
-    shared = members.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n"))
-    closest = F.max(F.struct("n", (-F.col("pivot")).alias("order"), "pivot")).alias("best")
-    stars = stored(shared.groupBy("node").agg(closest).select(F.col("best.pivot").alias("a"), F.col("node").alias("b")), "stars")
-    sets = stored(node_sets(docs, stored(classes.join(near, "node"), "wanted"), rule), "sets")
-    known = stored(verified(stored(possible(stars, sets, rule), "possible"), sets, rule), "verified")
-    labels = components(known.where("linked"))
-    one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    rest = shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).join(one, "a", "left").join(two, "b", "left")
-    rest = rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b").join(known, ["a", "b"], "left_anti")
-    known = stored(known.union(verified(stored(possible(rest, sets, rule), "possible"), sets, rule)), "verified")
-    labels = components(known.where("linked"))
-    all_members = members.select("key", "node").union(members.select("key", F.col("pivot").alias("node")).distinct())
-    each = 1
-    while True:
-        found = stored(open_pairs(all_members, labels, sets, rule, each), "open")
-        pairs = stored(found.join(known, ["a", "b"], "left_anti").select("a", "b"), "new")
-        if pairs.isEmpty() and found.where("more").isEmpty():
-            break
-        known = stored(known.union(verified(pairs, sets, rule)), "verified")
-        labels = components(known.where("linked"))
-        each *= 8
-    named = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = stored(named.join(least, "label").select("node", "component_id"), "named")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    classes = sketched.where("node is not null").groupBy("node").agg(least, F.first("n_shingles").alias("size"))
+    classes = stored(classes.select("node", "least.doc_id", "least.text_hash", "size"), "classes")
+    pairs = stored(near(shared_parts(sketched), sketched, rule), "near")
+    clusters = stored(components(pairs).join(classes, "node"), "clusters")
+    sizes = clusters.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / ELEMENTS)).alias("blocks"))
+    wanted = stored(clusters.join(small(stored(sizes, "cluster-sizes")), "label").select("node", "label", "blocks", "doc_id", "text_hash"), "wanted")
+    labels = components(stored(verified(node_sets(docs, wanted, rule), rule), "links"))
+    linked = stored(labels.join(classes.select("node", "doc_id"), "node"), "linked")
+    named = stored(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")), "names")
+    named = stored(linked.join(small(named), "label").select("node", "component_id"), "named")
+    named = stored(classes.select("node", "doc_id").join(small(named), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
     alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return sketched.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
 
@@ -436,13 +434,18 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
 def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     """docs without all but one document of each group of linked ones: that with the smallest doc_id stays.
 
-    Where doc_ids repeat or are null, rows are told apart by a number that is stored with them.
+    Where doc_ids repeat or are null, rows are told apart by a number that is stored with them; of rows with the same
+    doc_id any one stays, and one without a doc_id only where all are.
     """
-    names, key = docs.columns, "doc_id"
-    small_batches(docs.sparkSession)
-    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        key = "_row_number"
-        docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    found = joined(docs.select(F.col(key).alias("doc_id"), "text"), rule)
-    dropped = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)), "dropped")
-    return docs.join(small(dropped), key, "left_anti").select(*names)
+    names = docs.columns
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        found = joined(docs.select("doc_id", "text"), rule)
+        dropped = stored(found.where("component_id <> doc_id").select("doc_id"), "dropped")
+        return docs.join(small(dropped), "doc_id", "left_anti").select(*names)
+    key = private(docs, "row")
+    docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = joined(docs.select(F.col(key).alias("doc_id"), "text"), rule).select(F.col("doc_id").alias(key), "component_id")
+    ids = found.join(docs.select(key, F.col("doc_id").cast("long").alias("id")), key)
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(key).alias("row"))).alias("least")
+    kept = stored(ids.groupBy("component_id").agg(least).select(F.col("least.row").alias(key)), "kept")
+    return docs.join(small(kept), key, "left_semi").select(*names)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trovex.llm.common import WORD, WORD_SQL, small_batches, stored
+from trovex.llm.common import BATCH_ROWS, WORD, WORD_SQL, bounded, slices, stored
 
 #: Words of one block, about; each stream has the nearest whole number of them.
 BLOCK = 128
@@ -180,7 +180,7 @@ def chosen_texts(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share:
     key = ["doc_id", "source", "text_hash"]
     one = parts.groupBy(*key, "start").agg(F.sort_array(F.collect_list(F.struct("low", "high", "times"))).alias("spans"))  # the blocks of one document
     wanted = stored(one.groupBy(*key).agg(F.collect_list("spans").alias("copies")), "spans")
-    small_batches(docs.sparkSession)
+    bounded(docs.sparkSession)
     names, kinds = docs.columns, docs.schema
     own = docs.withColumn("_mix_hash", F.xxhash64("text"))
     if not sizes.groupBy(*key).count().where("count > 1").isEmpty():
@@ -189,7 +189,7 @@ def chosen_texts(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share:
     rows = own.alias("d").join(wanted.alias("w"), same[0] & same[1] & same[2]).select(*[F.col(f"d.{c}") for c in names], F.col("w.copies").alias("_mix_copies"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             at, texts = [], []
             for i, (text, copies) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_mix_copies").to_pylist(), strict=True)):
                 words = np.fromiter((x for m in WORD.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovex.llm.common import longs, mapped, small_batches, stored, strings
+from trovex.llm.common import longs, mapped, stored, strings
 from trovex.llm.encoding import crc_of, encoder
 
 #: Pieces of one block.
@@ -39,7 +39,6 @@ def cut(n: int, capacity: int) -> list[int]:
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's pieces."""
-    small_batches(docs.sparkSession)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         doc, piece, start, length, crc = [], [], [], [], []

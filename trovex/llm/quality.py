@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovex.llm.common import WORD, drawn, longs, mapped, small_batches, stored, strings
+from trovex.llm.common import BATCH_ROWS, WORD, bounded, drawn, longs, mapped, slices, stored, strings
 
 TREES, SAMPLE, SEED = 128, 256, 7
 USUAL, FALSE_SHARE, COST, BINS = 0.001, 0.02, 5, 2000
@@ -182,7 +182,6 @@ def of_texts(texts: list[str]) -> np.ndarray:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of every whole text."""
-    small_batches(docs.sparkSession)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         stats = of_texts(strings(batch.column(1)))
@@ -249,11 +248,10 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     forest = fitted(stored(measured(docs), "statistics"), labels)
-    small_batches(docs.sparkSession)
+    bounded(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(forest.kept(of_texts(strings(batch.column("text"))))))
+        for batch in slices(batches, BATCH_ROWS):
+            yield batch.filter(pa.array(forest.kept(of_texts(strings(batch.column("text"))))))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trovex.llm.common import binaries, longs, mapped, small_batches, strings
+from trovex.llm.common import binaries, longs, mapped, strings
 from trovex.llm.encoding import crc_of, encoder
 
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<IB")
@@ -83,7 +83,6 @@ def frame_at(view: memoryview, at: int) -> tuple[int, int | None, np.ndarray]:
 
 def encoded_frames(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """(doc_id, frame) in ascending order of doc_id; partition i holds lower ids than partition i + 1."""
-    small_batches(docs.sparkSession)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = encoder(vocabulary).encode(strings(batch.column(1)))

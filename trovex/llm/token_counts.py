@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovex.llm.common import WORD, longs, mapped, small_batches, strings
+from trovex.llm.common import WORD, longs, mapped, strings
 
 MARK = "▁"
 #: Terminal counts that a worker keeps, about 120 bytes each.
@@ -84,7 +84,6 @@ def trie(path: str) -> PieceTrie:
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every whole text."""
-    small_batches(docs.sparkSession)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, texts = trie(vocabulary), strings(batch.column(1))

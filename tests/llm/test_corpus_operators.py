@@ -55,12 +55,58 @@ def test_quality_without_labels(spark, docs, no_docs, labels):
 
 
 def test_forest_tells_odd_documents(spark, sf_dir):
-    """On labelled rows that the base rules pass, most bad ones that stand out go and nearly all good ones stay."""
+    """On labelled rows that neither trees nor threshold saw, nearly all bad ones go and nearly all good ones stay."""
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality.judged(docs, labels).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
-    kept = {r.quality: r.kept for r in rows}
-    assert kept[1] >= 0.98
-    assert kept[0] <= kept[1] - 0.1
+    kept = {r.quality: (r.kept, r.n) for r in quality.held_out_shares(docs, labels).collect()}
+    assert kept[1][1] > 500
+    assert kept[0][1] > 30
+    assert kept[1][0] >= 0.98
+    assert kept[0][0] <= 0.1
+
+
+def plain_path(x, rows, tree, node=0):
+    """Splits from the root to the leaf of x, and what the leaf's rows would add."""
+    if not tree.below[node]:
+        n = len(rows)
+        more = 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+        return more
+    f, s = tree.feature[node], tree.split[node]
+    side = x[f] >= s
+    return 1 + plain_path(x, [r for r in rows if (r[f] >= s) == side], tree, tree.below[node] + int(side))
+
+
+def test_path_lengths():
+    """Against a walk that carries the sample's rows along; trees are as deep as the logarithm of their sample at most."""
+    rng = np.random.default_rng(2)
+    sample = np.round(rng.normal(size=(64, 4)), 1)  # with ties
+    tree = quality.grown(sample, np.random.default_rng(3))
+    x = np.concatenate([sample, rng.normal(size=(50, 4)) * 3])
+    assert tree.paths(x) == pytest.approx([plain_path(row, list(sample), tree) for row in x])
+    assert tree.paths(np.array([[50.0] * 4])) < np.median(tree.paths(sample))
+    assert quality.grown(np.zeros((8, 4)), rng).paths(np.zeros((3, 4))) == pytest.approx([quality.added(8)] * 3)
+
+
+def test_threshold_is_the_best():
+    """Against trying every bin."""
+    rng = np.random.default_rng(4)
+    for shift in (0, 300, 900):
+        good, bad = (np.clip(rng.normal(m, 150, 400), 0, quality.BINS - 1).astype(int) for m in (700, 700 + shift))
+        counts = np.stack([np.bincount(bad, minlength=quality.BINS), np.bincount(good, minlength=quality.BINS)]).astype(float)
+        gains = {b: (bad >= b).mean() - quality.COST * (good >= b).mean() for b in range(quality.BINS) if (good >= b).mean() <= quality.FALSE_SHARE}
+        at = quality.threshold(counts)
+        if max(gains.values()) <= 0:
+            assert at == math.inf
+        else:
+            cut = min(b for b in gains if b / quality.BINS > at)
+            assert gains[cut] == pytest.approx(max(gains.values()))
+    assert quality.threshold(np.zeros((2, quality.BINS))) == math.inf
+
+
+def test_verdicts_come_from_scores(docs, labels):
+    """The forest's scores, computed the plain way from whole texts, on either side of one threshold."""
+    forest = quality.fitted(quality.labelled(quality.stored(quality.measured(docs), "statistics"), labels))
+    for r in quality.judged(docs, labels).collect():
+        assert r.kept == (not r.base_failed and r.score <= forest.threshold)
 
 
 def test_bounded_draw(spark):

@@ -1,21 +1,24 @@
-"""Quality rules: base rules, and an isolation forest on the statistics that the rules use.
+"""Quality rules: base rules, and an isolation forest on the statistics of such rules.
 
 Each tree of the forest splits a small sample at random statistics and values.  A document that few splits separate
-from the sample is unlike it; its score is 2 ** (-mean path length / expected path length), as usual.  The trees are
-fitted on a bounded sample of labelled rows (TREES * SAMPLE rows at most, by the hash of their doc_id).  What the trees
-split is how far a statistic lies outside the range that good rows keep to (all but USUAL at either end, from all rows
-labelled good), so the common spread of good documents does not look odd.  The threshold is calibrated on all labelled
-rows that pass the base rules: the one with most bad rows above it, less COST times the good ones, while at most
-FALSE_SHARE of the good ones lie above.  Statistics, scores and verdicts cover all rows.
-
-Null and empty texts have no words and fail the base rules.  Without labelled good rows, or where no threshold tells
-bad rows from good ones, only the base rules reject.  Labels that are null are ignored.  Repeated rows get the same
-verdict.  Empty tables give empty results; other columns pass through filtered() and are ignored elsewhere.
+from the sample is unlike it; its score is 2 ** (-mean path length / expected path length), as usual.  The trees split
+the statistics as they are: characters a word, symbols a word, the share of letters, the share of short words.  They are
+fitted on a bounded sample of labelled rows (TREES * SAMPLE rows at most, by the hash of their doc_id), good and bad
+alike.  Labels decide the threshold alone: of all scores, the one with most bad rows above it, less COST times the good
+ones, while at most FALSE_SHARE of the good ones lie above.  One labelled row in HELD, by the hash of its doc_id, takes
+part in neither, so that held_out_shares() can tell what the verdicts are worth.  Statistics, scores and verdicts cover
+all rows.
+
+Null and empty texts have no words and fail the base rules.  Very long texts are measured whole.  Without labelled rows
+of both kinds, or where no threshold tells them apart, only the base rules reject.  Labels that are null are ignored; a
+doc_id with several labels has the least.  Ties of the scores share a verdict, as do repeated rows.  Empty tables give
+empty results; other columns pass through filtered() and are ignored elsewhere.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,12 +29,15 @@ from pyspark.sql import functions as F
 
 from trovex.llm.common import BATCH_ROWS, WORD, bounded, drawn, longs, mapped, slices, stored, strings
 
-TREES, SAMPLE, SEED = 128, 256, 7
-USUAL, FALSE_SHARE, COST, BINS = 0.001, 0.02, 5, 2000
+TREES, SAMPLE, SEED, HELD = 128, 64, 7, 4
+FALSE_SHARE, COST, BINS = 0.02, 5, 2000
 #: Least words, and the largest share of repeated words in percent, of the base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
-STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Code points of a short word, at most.
+SHORT = 3
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_short"]
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,17 +45,15 @@ def statistics(text: str) -> tuple[int, ...]:
     """The statistics of a text, in the order of STATISTICS."""
     words = WORD.findall(text)
     seen: set[str] = set()
-    lines = repeated = 0
+    repeated = 0
     for line in text.split("\n"):
         if line in seen:
             repeated += 1
-            lines += 1
         elif WORD.search(line):
             seen.add(line)
-            lines += 1
-    upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    marks = sum(map(text.count, "!?.,;:"))
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), repeated, repeat_words(words), lines, upper, marks
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    letters = sum(map(len, LETTERS.findall(text)))
+    return len(words), int(sizes.sum()), sum(map(text.count, SYMBOLS)), repeated, repeat_words(words), letters, int((sizes <= SHORT).sum())
 
 
 def repeat_words(words: list[str]) -> int:
@@ -80,23 +84,11 @@ def base_failed(stats: np.ndarray) -> np.ndarray:
     return (n < LEAST_WORDS) | (100 * repeat > MOST_REPEATED * n)
 
 
-#: Names of what features() gives, with their SQL over the statistics.
-FEATURES = {
-    "chars_a_word": "word_chars / greatest(n_words, 1)",
-    "symbols_a_word": "n_symbols / greatest(n_words, 1)",
-    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
-    "repeated": "n_repeat_words / greatest(n_words, 1)",
-    "words_a_line": "n_words / greatest(n_lines, 1)",
-    "upper": "n_upper / greatest(word_chars, 1)",
-    "marks_a_word": "n_marks / greatest(n_words, 1)",
-}
-
-
 def features(stats: np.ndarray) -> np.ndarray:
-    """The statistics as shares, so that long and short texts compare."""
-    n, chars, symbols, dup, repeat, lines, upper, marks = stats.astype(float).T
-    n, chars, lines = np.maximum(n, 1), np.maximum(chars, 1), np.maximum(lines, 1)
-    return np.stack([chars / n, symbols / n, dup / lines, repeat / n, n / lines, upper / chars, marks / n], axis=1)
+    """The statistics that the trees split, as shares, so that long and short texts compare."""
+    n, chars, symbols, _, _, letters, short = stats.astype(float).T
+    words = np.maximum(n, 1)
+    return np.stack([chars / words, symbols / words, letters / np.maximum(chars, 1), short / words], axis=1)
 
 
 @dataclass
@@ -155,20 +147,12 @@ class Forest:
 
     trees: list[Tree]
     size: int
-    low: np.ndarray
-    high: np.ndarray
-    scale: np.ndarray
     threshold: float = math.inf
 
-    def outside(self, stats: np.ndarray) -> np.ndarray:
-        """How far the features lie outside the range of good rows, against its width."""
-        x = features(stats)
-        return np.maximum(0, np.maximum(x - self.high, self.low - x)) / self.scale
-
     def scores(self, stats: np.ndarray) -> np.ndarray:
         if not self.trees:
             return np.zeros(len(stats))
-        x = self.outside(stats)
+        x = features(stats)
         mean = np.mean([t.paths(x) for t in self.trees], axis=0)
         return 2.0 ** (-mean / max(added(self.size), 1e-9))
 
@@ -194,46 +178,59 @@ def stats_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([np.asarray(batch.column(c)) for c in STATISTICS], axis=1)
 
 
-def fitted(stats: DataFrame, labels: DataFrame) -> Forest:
-    """The forest for stored statistics and labels (doc_id, quality 0 or 1)."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = stored(stats.join(known, "doc_id").where(F.expr(f"n_words >= {LEAST_WORDS} and 100 * n_repeat_words <= {MOST_REPEATED} * n_words")), "labelled")
-    good = labelled.where("quality = 1")
-    ends = [F.percentile_approx(F.expr(e), F.array(F.lit(USUAL), F.lit(1 - USUAL)), 100_000) for e in FEATURES.values()]
-    ranges = good.agg(*[x.alias(n) for x, n in zip(ends, FEATURES, strict=True)]).first()
-    draw = drawn(labelled.where("quality in (0, 1)"), TREES * SAMPLE, F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").select(*STATISTICS)
-    sample = np.array(draw.collect(), np.int64).reshape(-1, len(STATISTICS))
-    size = min(SAMPLE, len(sample))
-    if size < 2 or ranges[0] is None:
-        return Forest([], 0, *np.zeros((3, len(FEATURES))))
-    low, high = np.array(list(ranges)).T
-    scale = np.maximum(high - low, features(sample).std(0))
-    scale[scale == 0] = 1.0
-    forest = Forest([], size, low, high, scale)
-    x, rng = forest.outside(sample), np.random.default_rng(SEED)
-    forest.trees = [grown(x[rng.choice(len(x), size, replace=False)], rng) for _ in range(TREES)]
+def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """The stored statistics, quality and fold of labelled rows that pass the base rules; fold 0 is held out."""
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    rows = stats.join(known, "doc_id").where(F.expr(f"n_words >= {LEAST_WORDS} and 100 * n_repeat_words <= {MOST_REPEATED} * n_words"))
+    return stored(rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HELD)).cast("int")), "labelled")
+
+
+def threshold(counts: np.ndarray) -> float:
+    """The score above which documents go, from the bad (row 0) and good (row 1) rows in each bin of scores."""
+    above = counts[:, ::-1].cumsum(1)[:, ::-1]  # with a score in this bin or above
+    bad, good = above / np.maximum(counts.sum(1, keepdims=True), 1)
+    gain = np.where(good <= FALSE_SHARE, bad - COST * good, -1.0)
+    best = int(gain.argmax())
+    return float(np.nextafter(best / BINS, 0.0)) if gain[best] > 0 else math.inf
+
+
+def fitted(rows: DataFrame) -> Forest:
+    """The forest for the stored rows of labelled()."""
+    rows = rows.where("fold <> 0")
+    draw = drawn(rows, TREES * SAMPLE, F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").select(*STATISTICS)
+    sample = features(np.array(draw.collect(), np.int64).reshape(-1, len(STATISTICS)))
+    size, rng = min(SAMPLE, len(sample)), np.random.default_rng(SEED)
+    if size < 2:
+        return Forest([], 0)
+    forest = Forest([grown(sample[rng.choice(len(sample), size, replace=False)], rng) for _ in range(TREES)], size)
 
     def binned(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = np.minimum((forest.scores(stats_of(batch)) * BINS).astype(np.int64), BINS - 1)
         return pa.record_batch([batch.column("quality"), longs(at)], ["quality", "bin"])
 
-    rows = mapped(labelled.select(F.col("quality").cast("int"), *STATISTICS), binned, "quality int, bin long")
     counts = np.zeros((2, BINS))
-    for quality, at, n in rows.where("quality in (0, 1)").groupBy("quality", "bin").count().collect():  # 2 * BINS rows at most
+    for quality, at, n in mapped(rows.select("quality", *STATISTICS), binned, "quality int, bin long").groupBy("quality", "bin").count().collect():  # 2 * BINS rows at most
         counts[quality, at] += n
-    above = counts[:, ::-1].cumsum(1)[:, ::-1]  # with a score in this bin or above
-    bad, good = above / np.maximum(counts.sum(1, keepdims=True), 1)
-    gain = np.where(good <= FALSE_SHARE, bad - COST * good, -1.0)
-    best = int(gain.argmax())
-    if gain[best] > 0:
-        forest.threshold = np.nextafter(best / BINS, 0.0)
+    forest.threshold = threshold(counts)
     return forest
 
 
+def held_out_shares(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(quality, n, kept): of the labelled rows that neither trees nor threshold saw and that pass the base rules, how many there are and what share is kept."""
+    rows = labelled(stored(measured(docs), "statistics"), labels)
+    forest = fitted(rows)
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column("quality"), pa.array(forest.kept(stats_of(batch)))], ["quality", "kept"])
+
+    verdicts = mapped(rows.where("fold = 0").select("quality", *STATISTICS), judge, "quality int, kept boolean")
+    return verdicts.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("kept").cast("double")).alias("kept"))
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document's statistics, score and verdict."""
     stats = stored(measured(docs), "statistics")
-    forest = fitted(stats, labels)
+    forest = fitted(labelled(stats, labels))
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = stats_of(batch)
@@ -246,8 +243,11 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    forest = fitted(stored(measured(docs), "statistics"), labels)
+    """The documents that the rules keep, with all their columns.
+
+    Verdicts are computed anew where the texts are read, which costs less than to shuffle whole texts to their verdicts.
+    """
+    forest = fitted(labelled(stored(measured(docs), "statistics"), labels))
     bounded(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

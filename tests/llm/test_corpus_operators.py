@@ -168,13 +168,12 @@ def test_forward_is_exact():
         return a.sum()
 
     classes, begins, live = hmm.by_time(texts)
-    scale, _ = hmm.forward(model, emit[classes], begins, live, keep=False)
+    scale = hmm.forward(model, emit[classes], begins, live)
     whose = np.arange(len(scale)) - np.repeat(begins[:-1], live)
     assert np.bincount(whose, np.log10(scale), 3) == pytest.approx([math.log10(plain(x)) for x in texts])
 
     def likelihood(m):
-        s, _ = hmm.forward(m, m.emit[classes], begins, live, keep=False)
-        return np.log(s).sum()
+        return np.log(hmm.forward(m, m.emit[classes], begins, live)).sum()
 
     before = likelihood(model)
     for _ in range(5):
@@ -184,10 +183,53 @@ def test_forward_is_exact():
         assert sums.start.sum() == pytest.approx(3)
         model = hmm.Model(sums.start / sums.start.sum(), sums.move / np.maximum(sums.move.sum(1, keepdims=True), 1e-300), sums.emit / np.maximum(sums.emit.sum(0), 1e-300))
         after = likelihood(model)
-        assert after >= before - 1e-9
+        assert after >= before - 1e-6
         before = after
 
 
+def plain_counts(model, texts):
+    """Expected counts by forward and backward probabilities of each text, without scaling."""
+    sums = hmm.Sums.zero()
+    for x in texts:
+        a = [model.start * model.emit[x[0]]]
+        for c in x[1:]:
+            a.append((a[-1] @ model.move) * model.emit[c])
+        b = [np.ones(hmm.STATES)]
+        for c in x[:0:-1]:
+            b.insert(0, model.move @ (model.emit[c] * b[0]))
+        total = a[-1].sum()
+        sums.log += math.log(total)
+        for t, c in enumerate(x):
+            sums.emit[c] += a[t] * b[t] / total
+            if t:
+                sums.move += np.outer(a[t - 1], model.emit[c] * b[t]) * model.move / total
+        sums.start += a[0] * b[0] / total
+    return sums
+
+
+def same_counts(got, want):
+    assert got.log == pytest.approx(want.log, rel=1e-5)
+    assert got.start == pytest.approx(want.start, rel=1e-4, abs=1e-4)
+    assert got.move == pytest.approx(want.move, rel=1e-4, abs=1e-3)
+    assert got.emit == pytest.approx(want.emit, rel=1e-4, abs=1e-3)
+
+
+def test_counts_of_many_partitions_are_plain_baum_welch(spark):
+    """Counts summed over the tasks of seven partitions, against one plain run over all texts."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 30, n) for n in [*rng.integers(1, 40, 60), 1, 2, 3, 4, 5, 8, 9, 40, 40]]
+    emit = np.zeros((hmm.OWN + hmm.BUCKETS, hmm.STATES))
+    emit[:30] = rng.dirichlet(np.full(30, 0.2), hmm.STATES).T + 1e-6
+    model = hmm.Model(rng.dirichlet(np.ones(hmm.STATES)), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES), emit)
+    want = plain_counts(model, texts)
+    rows = [(i, bytearray(x.astype("<u2").tobytes())) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "row long, classes binary").repartition(7)
+    same_counts(hmm.expected(df, spark.sparkContext.broadcast(model)), want)
+    one = hmm.Sums.zero()
+    hmm.posterior(model, sorted(texts, key=lambda x: -len(x)), one)
+    same_counts(one, want)
+
+
 def test_no_language(no_docs):
     assert hmm.scored(no_docs).count() == 0
 

@@ -7,15 +7,18 @@ distribution over texts, with few parameters, whatever the size of the vocabular
 
 Word counts come from all training texts.  Words that make up at least one in HEAD of all tokens, hence at most HEAD
 words, go to every task; the others stay a table, which the rare words of each text are joined with.  Each round of
-Baum-Welch computes exact posteriors by scaled forward and backward recursion over whole texts, adds up the expected
-counts of each task, and sums them over the tasks.  Starting values come from all training texts as well: each is dealt
-to a state by a hash, and every state's emissions are drawn anew around the classes of its texts, as if it had START
-tokens, so that no two states start equal, however many or few texts there are.  Rounds go on until one raises the log
-likelihood (with the smoothing as its prior, which Baum-Welch never lowers) by at most LEAST_GAIN a training token.  The
-score of a text is the exact log10 likelihood from the scaled forward recursion.
-
-Words are known by 64-bit hashes.  Null and empty texts are one end token.  Null doc_ids are hashed as an empty text.
-Repeated rows are texts of their own.  Empty tables give empty results; other columns are ignored.
+Baum-Welch computes posteriors by scaled forward and backward recursion over whole texts, adds up the expected counts of
+each task, and sums them over the tasks.  Starting values come from all training texts as well: each is dealt to a state
+by a hash, and every state's emissions are drawn anew around the classes of its texts, as if it had START tokens, so
+that no two states start equal, however many or few texts there are.  The first pass over the texts is stepwise: a part
+of them (one in PARTS) at a time, whose counts move a running average, with a new model after each part.  Then come full
+rounds, until one raises the log likelihood (with the smoothing as its prior, which Baum-Welch never lowers) by at most
+LEAST_GAIN a training token.  The score of a text is the exact log10 likelihood from the scaled forward recursion, in
+double precision; training counts are added up in double precision from recursions in single precision.
+
+Words are known by 64-bit hashes.  Null and empty texts are one end token.  Very long texts are recursed over whole.
+Null doc_ids are hashed as an empty text.  Repeated rows are texts of their own.  Words with equal counts are ordered by
+their hash.  Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ STATES, OWN, BUCKETS, HEAD = 8, 8192, 1024, 1 << 21
 #: Tokens as of which a state's first emissions are drawn; the gain of the last round, in natural logs a training token.
 START, LEAST_GAIN = 50_000, 0.001
 SMOOTHING, SEED = 200.0, 3
+#: Parts of the texts in the stepwise pass, and how fast the weight of a new part falls; steps between two scalings in training.
+PARTS, FALL, EVERY = 16, 0.6, 4
 #: Tokens of one batch of the recursions, and of the texts that are sorted by length together.
 BATCH, SORTED = 400_000, 2_500_000
 #: Distinct words that a worker keeps.
@@ -174,7 +179,8 @@ def encoded(docs: DataFrame, shared) -> DataFrame:
             yield pa.record_batch([batch.column(0), *columns, batch.column(2)], ["doc_id", "n_tokens", "n_known", "base", "tied", "classes", "rare", "held_out"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, tied double, classes binary, rare array<long>, held_out boolean")
-    return out.withColumn("row", F.monotonically_increasing_id())
+    out = out.withColumn("row", F.monotonically_increasing_id())
+    return out.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int"))
 
 
 @dataclass
@@ -198,18 +204,16 @@ class Sums:
 
 def by_time(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts, longest first, step by step: all classes at step 0, then at step 1, ...; where a step begins; its texts."""
-    lens = np.array([len(x) for x in texts])
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    table = np.zeros((len(texts), lens[0]), np.int32)
+    table[np.arange(lens[0]) < lens[:, None]] = np.concatenate(texts)
     live = len(lens) - np.searchsorted(lens[::-1], np.arange(lens[0]), "right")
-    begins = np.concatenate([[0], np.cumsum(live)])
-    flat = np.concatenate(texts)
-    t = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
-    out = np.empty(len(flat), np.int64)
-    out[begins[t] + np.repeat(np.arange(len(lens)), lens)] = flat
-    return out, begins, live
+    flat = np.ascontiguousarray(table.T)[np.arange(len(lens)) < live[:, None]]
+    return flat, np.concatenate([[0], np.cumsum(live)]), live
 
 
-def forward(model: Model, emitted: np.ndarray, begins: np.ndarray, live: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Scales of every step and text, and (keep) the scaled forward values, written over emitted."""
+def forward(model: Model, emitted: np.ndarray, begins: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Scales of every step and text: their logarithms add up to the likelihood."""
     scale = np.empty(len(emitted))
     a = emitted[: live[0]] * model.start
     for t in range(len(live)):
@@ -220,32 +224,52 @@ def forward(model: Model, emitted: np.ndarray, begins: np.ndarray, live: np.ndar
         total = a.sum(1)
         a /= total[:, None]
         scale[s : s + n] = total
-        if keep:
-            emitted[s : s + n] = a
-    return scale, emitted
+    return scale
 
 
 def posterior(model: Model, texts: list[np.ndarray], sums: Sums) -> None:
-    """Adds the expected counts of texts, longest first."""
+    """Adds the expected counts of texts, longest first.
+
+    Emissions are taken against the largest of their class, so single precision holds for EVERY steps without scaling.
+    """
     classes, begins, live = by_time(texts)
-    emitted = model.emit[classes]
-    scale, alpha = forward(model, emitted.copy(), begins, live, keep=True)
-    sums.log += float(np.log(scale).sum())
-    emitted /= scale[:, None]
-    beta = np.ones((live[0], STATES))
+    largest = np.maximum(model.emit.max(1), 1e-300)
+    emitted = (model.emit / largest[:, None]).astype(np.float32)[classes]
+    alpha, beta = np.empty_like(emitted), np.empty_like(emitted)
+    move, ones = model.move.astype(np.float32), np.ones(STATES, np.float32)
+    back = move.T.copy()
+    at, ns = begins.tolist(), live.tolist()
+    np.multiply(emitted[: ns[0]], model.start.astype(np.float32), out=alpha[: ns[0]])
+    for t in range(1, len(ns)):
+        s, n, p = at[t], ns[t], at[t - 1]
+        a = alpha[s : s + n]
+        np.matmul(alpha[p : p + n], move, out=a)
+        a *= emitted[s : s + n]
+        if t % EVERY == 0:
+            total = a @ ones
+            sums.log += float(np.log(total, dtype=np.float64).sum())
+            a /= total[:, None]
+            emitted[s : s + n] /= total[:, None]
+    ends = begins[np.searchsorted(-live, -np.arange(1, ns[0] + 1), "right") - 1] + np.arange(ns[0])  # each text's last step
+    left = alpha[ends].sum(1)
+    sums.log += float(np.log(left, dtype=np.float64).sum() + np.log(largest) @ np.bincount(classes, minlength=len(largest)))
+    beta[ends] = (1 / left)[:, None]
+    for t in range(len(ns) - 1, 0, -1):
+        s, n, p = at[t], ns[t], at[t - 1]
+        w = emitted[s : s + n]
+        w *= beta[s : s + n]
+        np.matmul(w, back, out=beta[p : p + n])
     moves = np.zeros((STATES, STATES))
-    back = model.move.T.copy()
-    for t in range(len(live) - 1, 0, -1):
-        s, n, p = begins[t], live[t], begins[t - 1]
-        w = emitted[s : s + n] * beta[:n]
-        moves += alpha[p : p + n].T @ w
-        alpha[s : s + n] *= beta[:n]
-        beta[:n] = w @ back
-    alpha[: live[0]] *= beta[: live[0]]
+    changes = [1, *(np.flatnonzero(np.diff(live)[1:]) + 2).tolist(), len(ns)]  # steps with as many texts follow each other in the arrays
+    for t, u in zip(changes, changes[1:], strict=False):
+        if t < u:
+            moves += alpha[at[t - 1] : at[t - 1] + ns[t]].T @ emitted[at[t] : at[t + 1]]
+            moves += alpha[at[t] : at[u - 1]].T @ emitted[at[t + 1] : at[u]]
+    alpha *= beta
     sums.move += moves * model.move
-    sums.start += alpha[: live[0]].sum(0)
-    for k in range(STATES):
-        sums.emit[:, k] += np.bincount(classes, alpha[:, k], len(sums.emit))
+    sums.start += alpha[: ns[0]].sum(0, dtype=np.float64)
+    for k, own in enumerate(np.ascontiguousarray(alpha.T)):
+        sums.emit[:, k] += np.bincount(classes, own, len(sums.emit))
 
 
 def batches_of(texts: list[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -356,15 +380,28 @@ def expected(texts: DataFrame, shared) -> Sums:
 
 
 def trained(texts: DataFrame, unigram: np.ndarray, tokens: int) -> Model:
-    """Baum-Welch over stored training texts with so many tokens."""
+    """Baum-Welch over stored training texts with so many tokens: a stepwise pass, then full rounds."""
     context = texts.sparkSession.sparkContext
-    model, last = started(dealt(texts), unigram), -np.inf
-    while True:
+
+    def counts(model: Model, own: DataFrame) -> Sums:
         shared = context.broadcast(model)
-        sums = expected(texts, shared)
+        sums = expected(own, shared)
+        shared.unpersist()
+        return sums
+
+    model, mean, seen = started(dealt(texts), unigram), Sums.zero(), 0
+    for part in range(PARTS):
+        sums = counts(model, texts.where(F.col("part") == part))
+        if sums.start.any():
+            weight = (seen + 2) ** -FALL if seen else 1.0
+            mean = Sums(*[(1 - weight) * a + weight * PARTS * b for a, b in ((mean.start, sums.start), (mean.move, sums.move), (mean.emit, sums.emit))])
+            model = model_of(mean, unigram)
+            seen += 1
+    last = -np.inf
+    while True:
+        sums = counts(model, texts)
         now = sums.log + log_prior(model, unigram)
         model = model_of(sums, unigram)
-        shared.unpersist()
         if now - last <= LEAST_GAIN * tokens:
             return model
         last = now
@@ -379,7 +416,7 @@ def likelihoods(texts: DataFrame, shared) -> DataFrame:
             out = np.empty(len(own))
             for part, sorted_texts in batches_of(own):
                 classes, begins, live = by_time(sorted_texts)
-                scale, _ = forward(model, model.emit[classes], begins, live, keep=False)
+                scale = forward(model, model.emit[classes], begins, live)
                 whose = np.arange(len(scale)) - np.repeat(begins[:-1], live)
                 out[part] = np.bincount(whose, np.log10(scale), len(part))
             yield pa.record_batch([longs(rows), pa.array(out)], ["row", "chain"])
@@ -394,7 +431,7 @@ def scored(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     docs = docs.select("doc_id", "text", (fold == held_fold).alias("held_out"))
     counts = stored(counted(docs.where("not held_out")), "counts")
     v = vocabulary(counts)
-    texts = stored(encoded(docs, context.broadcast(v)), "texts")
+    texts = stored(encoded(docs, context.broadcast(v)), "texts", ("part",))  # by part, so that the stepwise pass reads each text once
     rare = texts.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.log10(c + 1.0)).alias("rare_logs"), F.sum((c > 0).cast("long")).alias("rare_known"))

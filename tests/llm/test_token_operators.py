@@ -175,5 +175,31 @@ def test_trie_counts(docs, rows):
     assert Counter(map(tuple, got)) == want
 
 
+def test_each_prefix_is_scored_once(monkeypatch):
+    """Over several batches of words: one step for each distinct prefix; and long words agree with the plain table."""
+    trie = token_counts.PieceTrie(token_counts.trie(PIECES).scores)
+    steps = []
+    plain = token_counts.PieceTrie.step
+    monkeypatch.setattr(token_counts.PieceTrie, "step", lambda self, text, end, *rest: steps.append(text[:end]) or plain(self, text, end, *rest))
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abeinrst"), rng.integers(1, 9))) for _ in range(600)]
+    for at in range(0, 600, 100):
+        trie.add(set(words[at : at + 100]))
+    prefixes = {("▁" + w)[:k] for w in words for k in range(1, len(w) + 2)}
+    assert len(steps) == len(set(steps))
+    assert set(steps) == prefixes
+    assert len(trie.best) == len(prefixes) + 1
+    assert trie.counts == {w: best_tokens(w, trie.scores, trie.byte) for w in words}
+    long = "internationalisation中" * 40
+    assert trie.count(long) == best_tokens(long, trie.scores, trie.byte)
+    assert len(trie.best) <= len(prefixes) + 1 + token_counts.LONG
+
+
+def test_full_tries_start_anew(docs, monkeypatch):
+    want = Counter(map(tuple, token_counts.token_counts(docs, PIECES).collect()))
+    monkeypatch.setattr(token_counts, "KEPT", 50)
+    assert Counter(map(tuple, token_counts.token_counts(docs, PIECES).collect())) == want
+
+
 def test_no_counts(no_docs):
     assert token_counts.token_counts(no_docs, PIECES).count() == 0

@@ -1,17 +1,23 @@
 """Tokens of each text under a unigram model, by dynamic programming over a trie of distinct pre-tokens.
 
 A pre-token is a word with the word mark before it.  The best segmentation of a string's first i characters depends on
-these characters only, so pre-tokens that share a prefix share its scores: a task walks the trie of its distinct
-pre-tokens in sorted order, keeps the scores along the current path, computes them once for each new node, and stores
-the count of tokens at each terminal node.  Characters outside the vocabulary count one token for each UTF-8 byte.
+these characters only, so pre-tokens that share a prefix share its scores.  A task keeps a trie of the distinct
+pre-tokens that it has met: each node has the best score of its prefix and the tokens of that segmentation, computed
+once, when the node is new, from the nodes above it; a word's count is that of its terminal node.  Beyond KEPT nodes
+the trie starts anew.  Characters outside the vocabulary count one token for each UTF-8 byte.
 
-The pieces are those of a public vocabulary; their scores fall with the logarithm of their rank.  Among segmentations
-of equal score the one with fewer tokens counts.  Null and empty texts have no tokens.  Repeated rows count alike.
+The pieces are those of a public vocabulary.  It has merges and no unigram scores, and tokenizers are not trained here,
+so the scores are a stand-in: they fall with the logarithm of a piece's rank.  Any other scores can be given.
+
+Among segmentations of equal score the one with fewer tokens counts.  Null and empty texts have no tokens.  Very long
+texts are counted whole; of a very long word the first LONG characters become nodes, the rest is computed along them.
+Repeated rows count alike.  Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,46 +26,64 @@ from pyspark.sql import functions as F
 from trovex.llm.common import WORD, longs, mapped, strings
 
 MARK = "▁"
-#: Terminal counts that a worker keeps, about 120 bytes each.
-KEPT = 1_000_000
+#: Nodes that a worker keeps, about 200 bytes each; characters of a word that become nodes.
+KEPT, LONG = 1_000_000, 200
 
 
 class PieceTrie:
-    """Terminal counts of pre-tokens under unigram scores."""
+    """A trie of pre-tokens with the best score and the token count of each prefix under unigram scores."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         #: A score for each byte of a character without a piece.
         self.byte = min(scores.values(), default=0.0) - 10.0
-        self.counts: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.children: dict[int, int] = {}  # node and character -> node
+        self.best, self.tokens = array("d", [0.0]), array("l", [0])
+        self.counts: dict[str, int] = {}  # tokens at the terminal nodes of whole words
+
+    def step(self, text: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
+        """Score and tokens of text[:end], from those of all shorter prefixes."""
+        scores, c = self.scores, text[end - 1]
+        top, n = -math.inf, 0
+        if c not in scores:
+            size = len(c.encode("utf-8", "surrogatepass"))
+            top, n = best[end - 1] + size * self.byte, tokens[end - 1] + size
+        for start in range(max(0, end - self.longest), end):
+            s = scores.get(text[start:end])
+            if s is not None:
+                s += best[start]
+                if s > top or s == top and tokens[start] + 1 < n:
+                    top, n = s, tokens[start] + 1
+        return top, n
+
+    def count(self, word: str) -> int:
+        """The tokens of a word; prefixes that the trie has are not computed again."""
+        text, node = MARK + word, 0
+        best, tokens = [0.0], [0]
+        for end in range(1, min(len(text), LONG) + 1):
+            edge = node << 21 | ord(text[end - 1])
+            node = self.children.get(edge, 0)
+            if not node:
+                node = self.children[edge] = len(self.best)
+                top, n = self.step(text, end, best, tokens)
+                self.best.append(top)
+                self.tokens.append(n)
+            best.append(self.best[node])
+            tokens.append(self.tokens[node])
+        for end in range(LONG + 1, len(text) + 1):
+            top, n = self.step(text, end, best, tokens)
+            best.append(top)
+            tokens.append(n)
+        return tokens[-1]
 
     def add(self, words: set[str]) -> None:
-        """Stores the terminal counts of words that it does not hold yet."""
-        path, best, tokens = "", [0.0], [0]
-        scores, longest = self.scores, self.longest
-        for word in sorted(words.difference(self.counts)):
-            text = MARK + word
-            shared, most = 0, min(len(path), len(text))
-            while shared < most and path[shared] == text[shared]:
-                shared += 1
-            del best[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                c = text[end - 1]
-                top, n = (-math.inf, 0)
-                if c not in scores:
-                    size = len(c.encode("utf-8", "surrogatepass"))
-                    top, n = best[end - 1] + size * self.byte, tokens[end - 1] + size
-                for start in range(max(0, end - longest), end):
-                    s = scores.get(text[start:end])
-                    if s is not None:
-                        s += best[start]
-                        if s > top or s == top and tokens[start] + 1 < n:
-                            top, n = s, tokens[start] + 1
-                best.append(top)
-                tokens.append(n)
-            self.counts[word] = tokens[-1]
-            path = text
+        """Stores the counts of words that it does not hold yet."""
+        for word in words.difference(self.counts):
+            self.counts[word] = self.count(word)
 
 
 def ranked_scores(path: str) -> dict[str, float]:
@@ -87,8 +111,8 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, texts = trie(vocabulary), strings(batch.column(1))
-        if len(own.counts) > KEPT:
-            own.counts.clear()
+        if len(own.best) + len(own.counts) > KEPT:
+            own.clear()
         seen: set[str] = set()
         for text in texts:
             seen.update(WORD.findall(text))

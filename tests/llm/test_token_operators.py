@@ -183,13 +183,13 @@ def test_each_prefix_is_scored_once(monkeypatch):
     monkeypatch.setattr(token_counts.PieceTrie, "step", lambda self, text, end, *rest: steps.append(text[:end]) or plain(self, text, end, *rest))
     rng = np.random.default_rng(8)
     words = ["".join(rng.choice(list("abeinrst"), rng.integers(1, 9))) for _ in range(600)]
-    for at in range(0, 600, 100):
-        trie.add(set(words[at : at + 100]))
+    for word in words + words[:300]:
+        assert trie[word] == trie[word]
     prefixes = {("▁" + w)[:k] for w in words for k in range(1, len(w) + 2)}
     assert len(steps) == len(set(steps))
     assert set(steps) == prefixes
     assert len(trie.best) == len(prefixes) + 1
-    assert trie.counts == {w: best_tokens(w, trie.scores, trie.byte) for w in words}
+    assert trie == {w: best_tokens(w, trie.scores, trie.byte) for w in words}
     long = "internationalisation中" * 40
     assert trie.count(long) == best_tokens(long, trie.scores, trie.byte)
     assert len(trie.best) <= len(prefixes) + 1 + token_counts.LONG

@@ -26,24 +26,32 @@ from pyspark.sql import functions as F
 from trovex.llm.common import WORD, longs, mapped, strings
 
 MARK = "▁"
-#: Nodes that a worker keeps, about 200 bytes each; characters of a word that become nodes.
-KEPT, LONG = 1_000_000, 200
+#: Nodes and words that a worker keeps, about 130 and 110 bytes each; characters of a word that become nodes.
+KEPT, KEPT_WORDS, LONG = 2_000_000, 1_000_000, 200
 
 
-class PieceTrie:
-    """A trie of pre-tokens with the best score and the token count of each prefix under unigram scores."""
+class PieceTrie(dict):
+    """A trie of pre-tokens with the best score and the token count of each prefix under unigram scores.
+
+    As a dictionary it has the tokens at the terminal node of each whole word, which is counted when it is asked for.
+    """
 
     def __init__(self, scores: dict[str, float]):
+        super().__init__()
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: The longest piece by its last three characters; pieces with other endings are shorter than three.
+        self.longest: dict[str, int] = {}
+        for piece in scores:
+            if len(piece) > 2:
+                self.longest[piece[-3:]] = max(len(piece), self.longest.get(piece[-3:], 0))
         #: A score for each byte of a character without a piece.
         self.byte = min(scores.values(), default=0.0) - 10.0
-        self.clear()
+        self.start_anew()
 
-    def clear(self) -> None:
+    def start_anew(self) -> None:
+        self.clear()
         self.children: dict[int, int] = {}  # node and character -> node
         self.best, self.tokens = array("d", [0.0]), array("l", [0])
-        self.counts: dict[str, int] = {}  # tokens at the terminal nodes of whole words
 
     def step(self, text: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
         """Score and tokens of text[:end], from those of all shorter prefixes."""
@@ -52,7 +60,7 @@ class PieceTrie:
         if c not in scores:
             size = len(c.encode("utf-8", "surrogatepass"))
             top, n = best[end - 1] + size * self.byte, tokens[end - 1] + size
-        for start in range(max(0, end - self.longest), end):
+        for start in range(max(0, end - self.longest.get(text[max(0, end - 3) : end], 2)), end):
             s = scores.get(text[start:end])
             if s is not None:
                 s += best[start]
@@ -80,10 +88,9 @@ class PieceTrie:
             tokens.append(n)
         return tokens[-1]
 
-    def add(self, words: set[str]) -> None:
-        """Stores the counts of words that it does not hold yet."""
-        for word in words.difference(self.counts):
-            self.counts[word] = self.count(word)
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self.count(word)
+        return n
 
 
 def ranked_scores(path: str) -> dict[str, float]:
@@ -111,17 +118,13 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, texts = trie(vocabulary), strings(batch.column(1))
-        if len(own.best) + len(own.counts) > KEPT:
-            own.clear()
-        seen: set[str] = set()
-        for text in texts:
-            seen.update(WORD.findall(text))
-        own.add(seen)
+        if len(own.best) > KEPT or len(own) > KEPT_WORDS:
+            own.start_anew()
         words, tokens = [], []
         for text in texts:
             found = WORD.findall(text)
             words.append(len(found))
-            tokens.append(sum(map(own.counts.__getitem__, found)))
+            tokens.append(sum(map(own.__getitem__, found)))
         return pa.record_batch([batch.column(0), longs(words), longs(tokens)], ["doc_id", "n_words", "n_tokens"])
 
     return mapped(docs.select(F.col("doc_id").cast("long"), "text"), count, "doc_id long, n_words long, n_tokens long")

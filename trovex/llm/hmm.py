@@ -23,6 +23,7 @@ their hash.  Empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,8 @@ SMOOTHING, SEED = 200.0, 3
 PARTS, FALL, EVERY = 16, 0.6, 4
 #: Tokens of one batch of the recursions, and of the texts that are sorted by length together.
 BATCH, SORTED = 400_000, 2_500_000
+#: Tokens of one task of a round, at least where there are so many: what a task adds up is a table of fixed size.
+TASK = 4_000_000
 #: Distinct words that a worker keeps.
 KEPT = 600_000
 END = ""
@@ -350,6 +353,11 @@ def added(rows: DataFrame) -> Sums:
     return sums
 
 
+def in_tasks(texts: DataFrame, tokens: float) -> DataFrame:
+    """texts, which have so many tokens, in no more tasks than one for TASK tokens, so that the sums to gather follow the input at any size."""
+    return texts.coalesce(max(1, math.ceil(tokens / TASK)))
+
+
 def dealt(texts: DataFrame) -> np.ndarray:
     """Class counts of all texts, each dealt to one state by a hash."""
 
@@ -383,15 +391,15 @@ def trained(texts: DataFrame, unigram: np.ndarray, tokens: int) -> Model:
     """Baum-Welch over stored training texts with so many tokens: a stepwise pass, then full rounds."""
     context = texts.sparkSession.sparkContext
 
-    def counts(model: Model, own: DataFrame) -> Sums:
+    def counts(model: Model, own: DataFrame, parts: int) -> Sums:
         shared = context.broadcast(model)
-        sums = expected(own, shared)
+        sums = expected(in_tasks(own, tokens / parts), shared)
         shared.unpersist()
         return sums
 
-    model, mean, seen = started(dealt(texts), unigram), Sums.zero(), 0
+    model, mean, seen = started(dealt(in_tasks(texts, tokens)), unigram), Sums.zero(), 0
     for part in range(PARTS):
-        sums = counts(model, texts.where(F.col("part") == part))
+        sums = counts(model, texts.where(F.col("part") == part), PARTS)
         if sums.start.any():
             weight = (seen + 2) ** -FALL if seen else 1.0
             mean = Sums(*[(1 - weight) * a + weight * PARTS * b for a, b in ((mean.start, sums.start), (mean.move, sums.move), (mean.emit, sums.emit))])
@@ -399,7 +407,7 @@ def trained(texts: DataFrame, unigram: np.ndarray, tokens: int) -> Model:
             seen += 1
     last = -np.inf
     while True:
-        sums = counts(model, texts)
+        sums = counts(model, texts, 1)
         now = sums.log + log_prior(model, unigram)
         model = model_of(sums, unigram)
         if now - last <= LEAST_GAIN * tokens:

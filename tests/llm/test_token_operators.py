@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -13,10 +14,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trovex.llm import packing, records, token_counts
-from trovex.llm.encoding import encoder
-from trovex.llm.queries import vocabulary
+from trovex.llm.encoding import encoder, found
 
-WORDS, BYTES, PIECES = (vocabulary(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+WORDS, BYTES, PIECES = (found(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
 def library_ids(path, texts):
@@ -37,6 +37,27 @@ def test_ids_are_the_librarys(path, texts):
     assert [x.tolist() for x in encoder(path).encode(texts)] == library_ids(path, texts)
 
 
+def test_a_third_vocabulary_goes_to_the_library(tmp_path):
+    """The byte vocabulary with another pre-tokenizer, which our patterns do not fit."""
+    stated = json.loads(open(BYTES).read())
+    stated["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(stated))
+    texts = ["word and  more", "", "don't 123"]
+    assert [x.tolist() for x in encoder(str(path)).encode(texts)] == library_ids(str(path), texts)
+    assert encoder(BYTES).pieces is not None
+    assert encoder(WORDS).lowered
+
+
+def test_files_follow_the_bytes(spark, docs, rows, tmp_path, monkeypatch):
+    size = sum(len((r[1] or "").encode()) for r in rows)
+    monkeypatch.setattr(records, "FILE_BYTES", size // 9)
+    path = str(tmp_path / "records")
+    records.write_records(docs, path, WORDS, end_id=1)
+    assert 7 <= len(list((tmp_path / "records" / "data").glob("part-*"))) <= 11
+    assert records.read_digests(spark, path).count() == len(rows)
+
+
 def test_records(spark, docs, rows, tmp_path):
     path = str(tmp_path / "records")
     records.write_records(docs, path, WORDS, end_id=1)

@@ -1,12 +1,14 @@
 """Token ids of whole texts, each distinct pre-token encoded once for each worker.
 
 The ids are those of the tokenizers library.  Most pre-tokens of a corpus repeat, so a worker keeps the ids of those
-it has met and gathers a text's ids from that table.  Texts outside Latin-1, or with the string of a special token,
-go to the library whole, since its normaliser may join or fold characters there.
+it has met and gathers a text's ids from that table.  That holds for the two public vocabularies whose normaliser and
+pre-tokens are stated below; any other vocabulary encodes whole texts by the library.  So do texts outside Latin-1, or
+with the string of a special token, since the normaliser may join or fold characters there.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,6 +25,15 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_PIECES = re.compile(f"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 BYTE_PIECES = re.compile(f"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+# Normaliser and pre-tokenizer of the two public vocabularies, as their files state them.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+BYTE_RULES = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 #: Distinct pre-tokens that a worker keeps, about 150 bytes each.
 KEPT = 400_000
 
@@ -42,8 +53,14 @@ class Ids(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.lowered = "<|startoftext|>" in self.whole.get_vocab()
-        self.pieces = WORD_PIECES if self.lowered else BYTE_PIECES
+        with open(path, encoding="utf-8") as file:
+            stated = json.load(file)
+        rules = {k: stated.get(k) for k in BYTE_RULES}
+        self.lowered = rules == WORD_RULES
+        #: None where each text goes to the library whole.
+        self.pieces = WORD_PIECES if self.lowered else BYTE_PIECES if rules == BYTE_RULES else None
+        if stated.get("truncation") or stated.get("padding"):
+            self.pieces = None
         self.model = self.whole.model
         self.letters = byte_letters()
         self.clear_all()
@@ -73,7 +90,7 @@ class Ids(dict):
             self.clear_all()
         places: list[np.ndarray | None] = []
         for text in texts:
-            if "<|" in text or not fits_latin1(text):
+            if self.pieces is None or "<|" in text or not fits_latin1(text):
                 places.append(None)
                 continue
             found = self.pieces.findall(text.lower() if self.lowered else text)
@@ -107,11 +124,20 @@ def fits_latin1(text: str) -> bool:
 _encoders: dict[str, Ids] = {}
 
 
-def encoder(path: str) -> Ids:
-    """This worker's encoder of a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Ids(path)
-    return _encoders[path]
+def encoder(name: str) -> Ids:
+    """This worker's encoder of a vocabulary: the path of a file, or the name of a public one, which is found where the worker runs."""
+    if name not in _encoders:
+        _encoders[name] = Ids(found(name))
+    return _encoders[name]
+
+
+def found(name: str) -> str:
+    """The path of a vocabulary file."""
+    if os.path.dirname(name):
+        return name
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def crc_of(ids: np.ndarray) -> int:

@@ -10,17 +10,11 @@ from trovex.llm.common import scratch, table
 from trovex.llm.revisits import SQL as REVISITS_SQL
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovex.llm.records import read_digests, write_records
 
     path = scratch(spark, "records")
-    write_records(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    write_records(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", end_id=1)
     return read_digests(spark, path)
 
 
@@ -63,7 +57,7 @@ def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovex.llm.packing import packed
 
-    return packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packed(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2, capacity=1024)
 
 
 def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +69,7 @@ def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovex.llm.token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trovex.llm.common import WORD, longs, mapped, strings
+from trovex.llm.encoding import found
 
 MARK = "▁"
 #: Nodes and words that a worker keeps, about 130 and 110 bytes each; characters of a word that become nodes.
@@ -107,9 +108,9 @@ _tries: dict[str, PieceTrie] = {}
 
 
 def trie(path: str) -> PieceTrie:
-    """This worker's trie of a vocabulary file."""
+    """This worker's trie of a vocabulary: the path of a file, or the name of a public one."""
     if path not in _tries:
-        _tries[path] = PieceTrie(ranked_scores(path))
+        _tries[path] = PieceTrie(ranked_scores(found(path)))
     return _tries[path]
 
 

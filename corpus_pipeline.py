@@ -15,7 +15,6 @@ from trovex.llm.jaccard_join import Rule, one_of_each
 from trovex.llm.mixing import chosen_texts
 from trovex.llm.packing import packed
 from trovex.llm.quality import filtered
-from trovex.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents and their places in sequences of 1024 tokens."""
-    return packed(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packed(docs, "byte_bpe_50k.json", end_id=2, capacity=1024)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

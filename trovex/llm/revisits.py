@@ -6,12 +6,13 @@ revisit, disagreement leaves it a mismatch, and where neither side names the sam
 without an earlier response is an orphan.  A resolved revisit has the headers of its response, with those that a
 not-modified answer may update taken from the revisit.
 
-The span of time is cut into equal parts, and each URL's records are ordered in each part by themselves; what a part
-ends with is carried to the later parts in a small table.  So a URL with a third of all records is many tasks.
+Records are dealt to parts of about equal numbers by ranges of (ts, record_id), so a burst, or one moment with many
+records, is cut as well.  Each URL's records are ordered in each part by themselves; what a part ends with is carried to
+the later parts in a small table.  So a URL with a third of all records is many tasks.
 
 Earlier means a smaller ts or, at the same ts, a smaller record_id.  Records without a url, ts or record_id resolve
-with nothing.  Null headers count as none; names of headers are lower case.  Repeated rows resolve alike.  Empty tables
-give empty results; other columns are ignored.
+with nothing.  Null headers count as none; names of headers are lower case.  Very long headers and urls are kept whole.
+Repeated rows resolve alike.  Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Records of one part of the time, about.
+from trovex.llm.common import stored
+
+#: Records of one part, about.
 PART = 20_000
 # What RFC 9110 has a 304 response send, as the response that it stands for would; and usual trackers.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -50,10 +53,9 @@ def resolved(records: DataFrame) -> DataFrame:
     """
     own = F.coalesce("headers", F.create_map().cast("map<string,string>"))
     rows = records.select("record_id", canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long"), "kind", own.alias("headers"), "digest")
-    low, high, n = rows.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
-    parts = max(1, -(-n // PART))
-    part = F.floor((F.col("ts") - F.lit(low or 0)) * parts / F.lit((high or 0) - (low or 0) + 1))
-    rows = rows.withColumn("part", part.cast("long"))
+    parts = max(1, -(-rows.count() // PART))
+    ranges = rows.repartitionByRange(parts, "ts", "record_id").withColumn("part", F.spark_partition_id().cast("long"))
+    rows = stored(ranges, "records")  # a part is where a row was, so it is kept
     order = F.struct("ts", "record_id")
     full = F.when(F.col("kind") == "response", F.struct(F.col("ts").alias("full_ts"), F.col("record_id").alias("refers_to"), F.col("headers").alias("full_headers"), F.col("digest").alias("full_digest")))
     earlier = W.partitionBy("canonical_url", "part").orderBy("ts", "record_id").rowsBetween(W.unboundedPreceding, -1)

@@ -263,6 +263,35 @@ def test_revisit_cases(spark):
     assert revisits.resolved(df.limit(0)).count() == 0
 
 
+def plain_state(rows, r):
+    """The latest earlier response of the same url in a plain walk, and what its validators say."""
+    full = max(((x[2], x[0], x) for x in rows if x[3] == "response" and x[1] == r[1] and (x[2], x[0]) < (r[2], r[0])), default=None)
+    if full is None:
+        return "orphan", None
+    a, b = r[4] or {}, full[2][4] or {}
+    for x, y in ((a.get("etag"), b.get("etag")), (a.get("last-modified"), b.get("last-modified")), (r[5], full[2][5])):
+        if x is not None and y is not None:
+            return "resolved" if x == y else "mismatch", full[1]
+    return "unchecked", full[1]
+
+
+def test_bursts_are_cut(spark, monkeypatch):
+    """Half of all records are one url in one second, one ts lies far off; every kind of state occurs."""
+    monkeypatch.setattr(revisits, "PART", 50)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        url, ts = ("a.example/x", 1000) if i % 2 else (f"b.example/{i % 7}", int(rng.integers(0, 2000)))
+        headers = {} if rng.random() < 0.3 else {"etag": str(rng.integers(3))} if rng.random() < 0.7 else {"last-modified": str(rng.integers(2))}
+        rows.append((i, url, ts, "response" if rng.random() < 0.4 else "revisit", headers, None if rng.random() < 0.5 else f"h{rng.integers(3)}"))
+    rows.append((600, "a.example/x", 10**15, "revisit", {}, None))
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, headers map<string,string>, digest string")
+    got = {r.record_id: (r.state, r.refers_to) for r in revisits.resolved(df).collect()}
+    want = {r[0]: plain_state(rows, r) for r in rows if r[3] == "revisit"}
+    assert got == want
+    assert {s for s, _ in want.values()} == {"orphan", "resolved", "mismatch", "unchecked"}
+
+
 def test_shards(docs, rows, no_docs):
     got = sharding.sharded(docs, sharding.even_tree(24), sharding.even_tree(25)).collect()
     want = Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
@@ -340,6 +369,25 @@ def test_mixed_texts_are_what_is_taken(docs):
     assert +got == +plan
 
 
+def test_null_ids_do_not_share_a_shard(spark):
+    """Half of all rows have no doc_id."""
+    df = spark.createDataFrame([(None if i % 2 else i, f"a{i} b c d e f", "one") for i in range(6000)], "doc_id long, text string, source string")
+    sizes = mixing.stored(mixing.sized(df), "sizes")
+    counts = [r["count"] for r in mixing.placed(sizes, 1).groupBy("shard").count().collect()]
+    assert max(counts) < 1.2 * mixing.SHARD
+    assert Counter(map(tuple, mixing.mixed(df).collect())) == Counter(map(tuple, mixing.mixed(df).collect()))
+
+
+def test_mixed_texts_keep_clashing_columns_and_each_copys_own(spark):
+    rows = [(i % 30, "one two three four five", "s", f"own{i}", 1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_hash string, _mix_copies int, text_hash int")
+    got = mixing.chosen_texts(df.withColumn("copy", F.lit(5)).withColumn("spans", F.lit(6)))
+    assert got.columns == [*df.columns, "copy", "spans"]
+    marks = {r._mix_hash for r in got.collect()}
+    assert marks <= {f"own{i}" for i in range(60)}
+    assert len(marks) > 30  # both copies of a row give words
+
+
 def test_quotas_are_sainte_lague():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -1,16 +1,17 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Targets: the sources share a total by their weights; no target passes MOST times its source's size, and what is over
-goes to the others by weight.  Documents are dealt to shards by the hash of their doc_id.  In a shard, each source's
+goes to the others by weight.  Documents are dealt to shards by the hash of their doc_id and text.  In a shard, each source's
 documents, in seeded order, make one stream, cut into blocks of equal length.  The blocks that a shard gives out are
 apportioned to its sources by the highest quotients of what they should give over 1, 3, 5, ...; each source's quota is
 met with whole passes over its stream and, for the rest, with blocks drawn by seeded hashes.  A document gives the
 words that its chosen blocks cover.
 
 Documents are cut at block edges, so a document may give a part of its words, and in a second pass another part.
-Null texts and texts without words have size 0 and give nothing.  A null source is a source, the last one.  Repeated
-rows are documents of their own.  Empty tables give empty results; other columns are ignored by mixed() and pass
-through chosen_texts().
+Null texts and texts without words have size 0 and give nothing.  Very long texts give blocks like others, from several
+places.  A null source is a source, the last one.  Ties of the quotients go to the earlier source.  Repeated rows are
+documents of their own, each with its other columns; which of them gives which words is not said.  Empty tables give
+empty results; other columns are ignored by mixed() and pass through chosen_texts().
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trovex.llm.common import BATCH_ROWS, WORD, WORD_SQL, bounded, slices, stored
+from trovex.llm.common import BATCH_ROWS, WORD, WORD_SQL, bounded, private, slices, stored
 
 #: Words of one block, about; each stream has the nearest whole number of them.
 BLOCK = 128
@@ -107,7 +108,7 @@ def quotas(votes: list[float], seats: int, most: list[int]) -> list[int]:
 def placed(sizes: DataFrame, seed: int) -> DataFrame:
     """Adds shard, start and end: the place of each document with words in the stream of its source and shard."""
     shards = max(1, -(-sizes.count() // SHARD))
-    rows = sizes.where("size > 0").withColumn("shard", hashed("doc_id", F.lit(f"shard{seed}")) % shards)
+    rows = sizes.where("size > 0").withColumn("shard", hashed("doc_id", "text_hash", F.lit(f"shard{seed}")) % shards)
     order = W.partitionBy("source", "shard").orderBy(hashed("doc_id", F.lit(f"order{seed}")), "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("end", F.sum("size").over(order))
     return rows.withColumn("start", F.col("end") - F.col("size"))
@@ -179,24 +180,27 @@ def chosen_texts(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share:
     sizes, _, parts = plan(docs, list(weights), share, seed)
     key = ["doc_id", "source", "text_hash"]
     one = parts.groupBy(*key, "start").agg(F.sort_array(F.collect_list(F.struct("low", "high", "times"))).alias("spans"))  # the blocks of one document
-    wanted = stored(one.groupBy(*key).agg(F.collect_list("spans").alias("copies")), "spans")
     bounded(docs.sparkSession)
     names, kinds = docs.columns, docs.schema
-    own = docs.withColumn("_mix_hash", F.xxhash64("text"))
-    if not sizes.groupBy(*key).count().where("count > 1").isEmpty():
-        own = own.dropDuplicates(["doc_id", "source", "_mix_hash"])
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"w.{k}")) for c, k in zip(("doc_id", "source", "_mix_hash"), key, strict=True)]
-    rows = own.alias("d").join(wanted.alias("w"), same[0] & same[1] & same[2]).select(*[F.col(f"d.{c}") for c in names], F.col("w.copies").alias("_mix_copies"))
+    mark, copy, taken_words = private(docs, "text_hash"), private(docs, "copy"), private(docs, "spans")
+    own = docs.withColumn(mark, F.xxhash64("text"))
+    if sizes.groupBy(*key).count().where("count > 1").isEmpty():
+        own, one = own.withColumn(copy, F.lit(1)), one.withColumn("copy", F.lit(1))
+    else:  # equal rows are numbered on both sides
+        own = own.withColumn(copy, F.row_number().over(W.partitionBy("doc_id", "source", mark).orderBy(mark)))
+        one = one.withColumn("copy", F.row_number().over(W.partitionBy(*key).orderBy("start")))
+    wanted = stored(one, "spans")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"w.{k}")) for c, k in zip(("doc_id", "source", mark, copy), (*key, "copy"), strict=True)]
+    rows = own.alias("d").join(wanted.alias("w"), same[0] & same[1] & same[2] & same[3]).select(*[F.col(f"d.{c}") for c in names], F.col("w.spans").alias(taken_words))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, BATCH_ROWS):
             at, texts = [], []
-            for i, (text, copies) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_mix_copies").to_pylist(), strict=True)):
+            for i, (text, taken) in enumerate(zip(batch.column("text").to_pylist(), batch.column(taken_words).to_pylist(), strict=True)):
                 words = np.fromiter((x for m in WORD.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
-                for taken in copies:
-                    for k in range(max(x["times"] for x in taken)):
-                        at.append(i)
-                        texts.append(joined(text, words, [(x["low"], x["high"]) for x in taken if x["times"] > k]))
+                for k in range(max(x["times"] for x in taken)):
+                    at.append(i)
+                    texts.append(joined(text, words, [(x["low"], x["high"]) for x in taken if x["times"] > k]))
             out = batch.select(names).take(pa.array(at, pa.int64()))
             for name, values in (("text", texts), ("n_chars", list(map(len, texts)))):
                 if name in names:

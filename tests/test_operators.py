@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trovex.catalogue import QUERIES
-from trovex.operators import hierarchy, index, logs, ranking, usage
+from trovex.operators import hierarchy, index, logs, ranking, rules, usage
 from trovex.sources.entities import audit, changes
 from trovex.streaming import cdc, dedup
 
@@ -98,15 +98,54 @@ def test_sources_that_fail_are_left_out(spark):
     sources = ranking.Sources()
     sources.register("good", lambda q: good)
     sources.register("bad", lambda q: good.select("nothing"))
-    assert sources.search("x").count() == 1
+    failed = {}
+    assert sources.search("x", failed=failed).count() == 1
+    assert list(failed) == ["bad"]
+    with pytest.raises(Exception, match="nothing"):
+        sources.search("x")
     with pytest.raises(ValueError, match="no source"):
-        sources.search("x", disabled=("good",))
+        sources.search("x", disabled=("good",), failed={})
 
 
-def test_lookups_are_bounded(spark):
-    counts = spark.createDataFrame([("a", 1)], "query string, count long")
-    with pytest.raises(ValueError, match="more than"):
-        usage.exact_or_fuzzy(spark.range(5).select(F.col("id").cast("string").alias("text")), counts, bound=3)
+def test_lookups_in_blocks(spark):
+    counts = spark.createDataFrame([("a1", 4), ("b2x", 7), ("2", 3)], "query string, count long")
+    wanted = spark.range(5).select(F.col("id").cast("string").alias("text"))
+    want = {"0": 0, "1": 4, "2": 3, "3": 0, "4": 0}
+    assert {r.text: r.usage for r in usage.exact_or_fuzzy(wanted, counts, bound=1).collect()} == want
+    assert {r.text: r.usage for r in usage.exact_or_fuzzy(wanted, counts).collect()} == want
+
+
+def test_fuzzy_texts_are_values(spark):
+    counts = spark.createDataFrame([("a'b", 4), ("c", 7), ("x\\y", 2)], "query string, count long")
+    assert usage.fuzzy_max(counts, "a'b").first().usage == 4
+    assert usage.fuzzy_max(counts, "' OR true OR '").first().usage == 0
+    assert usage.fuzzy_max(counts, "\\' OR true OR '").first().usage == 0
+    assert usage.fuzzy_max(counts, "x\\").first().usage == 2
+    assert usage.fuzzy_max(counts, "c\\").first().usage == 7
+
+
+def test_deep_trees_are_opened_whole(spark):
+    tree = {"type": "url", "name": "leaf", "url": "u"}
+    for i in range(12, 0, -1):
+        tree = {"type": "folder", "name": f"f{i}", "children": [tree]}
+    rows = hierarchy.flattened(spark.createDataFrame([(1, json.dumps(tree))], "id int, tree string"), "id", "tree").collect()
+    assert [(r.title, r.folder) for r in rows] == [("leaf", "/".join(f"f{i}" for i in range(1, 13)))]
+    assert hierarchy.flattened(spark.createDataFrame([], "id int, tree string"), "id", "tree").count() == 0
+
+
+def test_a_read_that_fails_is_no_empty_table(spark, tmp_path):
+    assert cdc.versions(spark, str(tmp_path)).count() == 0
+    (tmp_path / "versions").mkdir()
+    (tmp_path / "versions" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):  # noqa: B017  whatever the reader raises
+        cdc.versions(spark, str(tmp_path)).collect()
+
+
+def test_time_range(spark):
+    rows = spark.createDataFrame([("23:00",), ("03:00",), ("12:00",), (None,)], "now string").select(F.create_map(F.lit("now"), "now").alias("v"))
+    holds = lambda a, b: [r[0] for r in rows.select(rules.condition({"type": "TimeRange", "start": a, "end": b}, F.col("v"))).collect()]
+    assert holds("22:00", "04:00") == [True, True, False, False]
+    assert holds("09:00", "17:00") == [False, False, True, False]
 
 
 def test_stream_of_changes(spark, sf_dir, tmp_path):

@@ -33,16 +33,17 @@ def paths(edges: DataFrame, root: int = 0, deepest: int = DEEPEST) -> DataFrame:
 NODE = "type string, name string, url string, children array<string>"
 
 
-def flattened(trees: DataFrame, key: str, json: str, deepest: int = 6) -> DataFrame:
+def flattened(trees: DataFrame, key: str, json: str) -> DataFrame:
     """(key, title, url, folder) of every leaf with a url; folder names the folders above it, joined by /.
 
     Each level opens the folders of the one before.  Nodes are read with one schema, their children as JSON text, so a
-    tree of any shape fits; folders below deepest are not opened.
+    tree of any shape fits.  A level is written to the shared folder, and the last is the one without folders to open.
     """
-    node = trees.select(key, F.from_json(json, NODE).alias("n"), F.lit("").alias("folder"))
+    node = stored(trees.select(key, F.from_json(json, NODE).alias("n"), F.lit("").alias("folder")), "level")
     out = []
-    for _ in range(deepest + 1):
+    while not node.isEmpty():
         out.append(node.where("n.url is not null").select(key, F.col("n.name").alias("title"), F.col("n.url").alias("url"), "folder"))
         inner = F.when(F.col("folder") == "", F.col("n.name")).otherwise(F.concat("folder", F.lit("/"), "n.name"))
-        node = node.where("n.children is not null").select(key, F.explode("n.children").alias("child"), inner.alias("folder")).select(key, F.from_json("child", NODE).alias("n"), "folder")
-    return reduce(DataFrame.union, out)
+        below = node.where("n.children is not null").select(key, F.explode("n.children").alias("child"), inner.alias("folder"))
+        node = stored(below.select(key, F.from_json("child", NODE).alias("n"), "folder"), "level")
+    return reduce(DataFrame.union, out) if out else node.select(key, F.col("n.name").alias("title"), F.col("n.url").alias("url"), "folder")

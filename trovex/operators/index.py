@@ -45,7 +45,7 @@ def search_and(posts: DataFrame, query: str) -> DataFrame:
     grams = query_grams(query)
     if not grams:
         return posts.select("file_id").limit(0)
-    hits = posts.where(F.col("gram").isin(grams)).distinct()
+    hits = posts.where(F.col("gram").isin(grams))  # a posting occurs once
     return hits.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(grams)).select("file_id")
 
 

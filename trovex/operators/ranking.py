@@ -45,16 +45,22 @@ class Sources:
     def register(self, name: str, source: Callable[[str], DataFrame]) -> None:
         self.known[name] = source
 
-    def search(self, query: str, disabled: tuple[str, ...] = ()) -> DataFrame:
-        """The union of what the sources return; those that fail to plan are left out, as are disabled ones."""
+    def search(self, query: str, disabled: tuple[str, ...] = (), failed: dict[str, Exception] | None = None) -> DataFrame:
+        """The union of what the sources return, without disabled ones.
+
+        A source that fails to plan ends the search, unless a dictionary failed is given: then the source is left out,
+        and its error is in failed by its name.
+        """
         parts = []
         for name, source in self.known.items():
             if name in disabled:
                 continue
             try:
                 parts.append(source(query).select(*RESULT))
-            except Exception as error:  # noqa: BLE001  one source must not end a search
-                print(f"source {name} failed: {error}")
+            except Exception as error:  # noqa: BLE001  the caller decides
+                if failed is None:
+                    raise
+                failed[name] = error
         if not parts:
             raise ValueError("no source can answer")
         return reduce(DataFrame.unionByName, parts)

@@ -20,9 +20,12 @@ FILE_TYPES = {
 # The beginnings of permissions.
 PERMISSIONS = ["network:", "filesystem:read:", "filesystem:write:", "clipboard:read", "clipboard:write", "system:info", "system:execute", "database:read", "database:write"]
 # The first words that send a query to one source.
-TRIGGERS = {"bm": "bookmarks", "his": "history", "ps": "process", "kill": "process", "git": "git", "trans": "translator", "tr": "translator"}
+TRIGGERS = {
+    "bm": "bookmarks", "his": "history", "ps": "process", "kill": "process", "git": "git", "project": "git", "trans": "translator", "tr": "translator", "翻译": "translator",
+    "json": "devtools", "base64": "devtools", "md5": "devtools", "hash": "devtools", "sha256": "devtools", "url": "devtools", "?": "web",
+}
 # The keywords of the settings page.
-KEYWORDS = ["settings", "setting", "config", "preferences"]
+KEYWORDS = ["settings", "setting", "config", "preferences", "设置", "配置"]
 
 
 def ignored(path: Column, marks: list[str] | None = None) -> Column:
@@ -62,12 +65,17 @@ def allowed(requests: DataFrame, grants: DataFrame) -> DataFrame:
     grants: plugin_id, kind, arg.  A path is allowed below a granted one, whether to read or write; a domain where it
     equals a granted one or all are; what else, where its kind and argument are granted.
     """
-    r, g = requests.alias("r"), grants.alias("g")
-    path = F.col("r.kind").isin("read", "write") & F.col("g.kind").isin("read", "write") & ((F.col("r.arg") == F.col("g.arg")) | F.startswith("r.arg", F.concat(F.rtrim("g.arg", F.lit("/")), F.lit("/"))))
-    network = (F.col("r.kind") == "network") & (F.col("g.kind") == "network") & ((F.col("g.arg") == "*") | (F.col("g.arg") == F.col("r.arg")))
-    other = ~F.col("r.kind").isin("read", "write", "network") & (F.col("r.kind") == F.col("g.kind")) & F.col("r.arg").eqNullSafe(F.col("g.arg"))
-    fits = r.join(g, (F.col("r.plugin_id") == F.col("g.plugin_id")) & (path | network | other), "left_semi").select("request_id").withColumn("allowed", F.lit(True))
-    return requests.join(fits.distinct(), "request_id", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    kind, arg = F.col("kind"), F.col("arg")
+
+    def fits(g: Column) -> Column:
+        path = kind.isin("read", "write") & g["kind"].isin("read", "write") & ((arg == g["arg"]) | F.startswith(arg, F.concat(F.rtrim(g["arg"], F.lit("/")), F.lit("/"))))
+        network = (kind == "network") & (g["kind"] == "network") & ((g["arg"] == "*") | (g["arg"] == arg))
+        other = ~kind.isin("read", "write", "network") & (kind == g["kind"]) & arg.eqNullSafe(g["arg"])
+        return F.coalesce(path | network | other, F.lit(False))
+
+    held = grants.groupBy("plugin_id").agg(F.collect_set(F.struct("kind", "arg")).alias("_grants"))  # the grants of one plugin
+    rows = requests.join(held, "plugin_id", "left")
+    return rows.select(*[F.col(c) for c in requests.columns], F.coalesce(F.exists("_grants", fits), F.lit(False)).alias("allowed"))
 
 
 def keyword_any(keywords: Column, query: Column) -> Column:
@@ -93,7 +101,8 @@ def condition(spec: dict, variables: Column) -> Column:
     """A workflow's condition on a map of variables, as a column.
 
     {"type": "VariableEquals", "name", "value"}, {"type": "VariableContains", "name", "substring"}, {"type": "And" or
-    "Or", "conditions"}, {"type": "Not", "condition"}.  Other types hold.
+    "Or", "conditions"}, {"type": "Not", "condition"}, {"type": "TimeRange", "start", "end"} on the variable now ("HH:MM",
+with a range past midnight where end is before start).  Other types hold.
     """
     kind = spec.get("type")
     if kind == "VariableEquals":
@@ -105,6 +114,10 @@ def condition(spec: dict, variables: Column) -> Column:
         for c in spec["conditions"]:
             out = out & condition(c, variables) if kind == "And" else out | condition(c, variables)
         return out
+    if kind == "TimeRange":
+        at, start, end = variables["now"], spec["start"], spec["end"]
+        inside = (at >= start) & (at <= end) if start <= end else (at >= start) | (at <= end)
+        return F.coalesce(inside, F.lit(False))
     if kind == "Not":
         return ~condition(spec["condition"], variables)
     return F.lit(True)

@@ -6,11 +6,14 @@ in place.  Lists are top-k by count and last use, with the key as the last tie b
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trovex.functions.times import time_band
+from trovex.sources.shared import stored
 
 
 def counters(log: DataFrame, *keys: str, latest: tuple[str, ...] = (), ts: str = "ts") -> DataFrame:
@@ -33,29 +36,34 @@ def retained(counts: DataFrame, now: Column, days: int = 90) -> DataFrame:
     return counts.where(F.col("last_used") >= now - F.make_dt_interval(F.lit(days)))
 
 
+def alike(a: str, b: str) -> Column:
+    """Whether column a is like %b%, or b like %a%, whatever the case."""
+    plain = lambda c: r"replace({c}, '\\', '\\\\')".format(c=c)
+    return F.expr(f"{a} ILIKE concat('%', {plain(b)}, '%') OR {b} ILIKE concat('%', {plain(a)}, '%')")
+
+
 def fuzzy_max(counts: DataFrame, text: str) -> DataFrame:
     """One row: the greatest count of queries that are like text, or that text is like, 0 without one.
 
-    % and _ in either are wild, as in LIKE.
+    % and _ in either are wild, as in LIKE; a backslash is itself.
     """
-    q = F.col("query")
-    like = q.ilike(f"%{text}%") | F.expr("lower({t}) LIKE lower(concat('%', query, '%'))".replace("{t}", "'" + text.replace("'", "\\'") + "'"))
-    return counts.where(like).agg(F.coalesce(F.max("count"), F.lit(0)).cast("long").alias("usage"))
+    named = counts.withColumn("_text", F.lit(text))
+    return named.where(alike("query", "_text")).agg(F.coalesce(F.max("count"), F.lit(0)).cast("long").alias("usage"))
 
 
 def exact_or_fuzzy(wanted: DataFrame, counts: DataFrame, bound: int = 10_000) -> DataFrame:
     """(text, usage): the count of the query that equals text, else the greatest count of a query alike.
 
-    wanted holds the results of one search, bound rows at most; more raise ValueError, since what has no equal is held
-    against every query.
+    Texts without an equal are held against every query, in blocks of about bound texts, so what is broadcast stays
+    small however many there are.
     """
-    if wanted.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} texts to look up")
     asked = wanted.select("text").distinct()
-    exact = asked.join(counts.select(F.col("query").alias("text"), F.col("count").alias("usage")), "text", "left")
+    exact = stored(asked.join(counts.select(F.col("query").alias("text"), F.col("count").alias("usage")), "text", "left"), "asked")
     rest = exact.where("usage is null").select("text")
-    alike = counts.join(F.broadcast(rest), F.expr("query ILIKE concat('%', text, '%') OR text ILIKE concat('%', query, '%')"))
-    best = alike.groupBy("text").agg(F.max("count").alias("usage"))
+    blocks = max(1, -(-rest.count() // bound))
+    parts = [rest.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) for b in range(blocks)]
+    like = reduce(DataFrame.union, [counts.join(F.broadcast(p), alike("query", "text")).select("text", "count") for p in parts])
+    best = like.groupBy("text").agg(F.max("count").alias("usage"))
     found = rest.join(best, "text", "left").select("text", F.coalesce("usage", F.lit(0)).alias("usage"))
     return exact.where("usage is not null").unionByName(found)
 

@@ -180,13 +180,14 @@ CONDITION = {
     "conditions": [
         {"type": "And", "conditions": [{"type": "VariableEquals", "name": "type", "value": "click"}, {"type": "Not", "condition": {"type": "VariableContains", "name": "k", "substring": "7"}}]},
         {"type": "VariableEquals", "name": "k", "value": "42"},
+        {"type": "TimeRange", "start": "22:30", "end": "04:15"},
     ],
 }
 
 
-@PLANS.query("SELECT event_id, (event_type = 'click' AND NOT contains(props->>'$.k', '7')) OR (props->>'$.k') = '42' AS holds FROM events")
+@PLANS.query("SELECT event_id, (event_type = 'click' AND NOT contains(props->>'$.k', '7')) OR (props->>'$.k') = '42' OR strftime(ts, '%H:%M') >= '22:30' OR strftime(ts, '%H:%M') <= '04:15' AS holds FROM events")
 def workflow_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    variables = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
+    variables = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"), F.lit("now"), F.date_format("ts", "HH:mm"))
     return table(spark, sf_dir, "events").select("event_id", rules.condition(CONDITION, variables).alias("holds"))
 
 
@@ -196,22 +197,23 @@ def keyword_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), rules.keyword_any(words, F.element_at(F.split("p_name", " "), 2)).alias("matches"))
 
 
-TYPED = ["set", "Config", "my settings page", "x", "", "pref", "tting", "nothing"]
+TYPED = ["set", "Config", "my settings page", "x", "", "pref", "tting", "nothing", "设", "打开配置"]
 
 
 @PLANS.query(with_(values("typed", "query", [(x,) for x in TYPED])) + """SELECT query, score FROM (SELECT query, CAST(CASE WHEN query = '' THEN NULL
-  WHEN len(list_filter(['settings', 'setting', 'config', 'preferences'], lambda k: starts_with(k, lower(query)))) > 0 THEN 100
-  WHEN len(list_filter(['settings', 'setting', 'config', 'preferences'], lambda k: contains(k, lower(query)) OR contains(lower(query), k))) > 0 THEN 80 END AS BIGINT) AS score FROM typed) WHERE score IS NOT NULL""")
+  WHEN len(list_filter(['settings', 'setting', 'config', 'preferences', '设置', '配置'], lambda k: starts_with(k, lower(query)))) > 0 THEN 100
+  WHEN len(list_filter(['settings', 'setting', 'config', 'preferences', '设置', '配置'], lambda k: contains(k, lower(query)) OR contains(lower(query), k))) > 0 THEN 80 END AS BIGINT) AS score FROM typed) WHERE score IS NOT NULL""")
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inline(spark, [(x,) for x in TYPED], "query string")
     return rows.select("query", rules.keyword_score(F.col("query")).alias("score")).where("score is not null")
 
 
-ROUTED = ["bm rust", "his today", "ps chrome", "kill chrome", "git repo", "trans hello", "rust", "tr hello world", "unknown word"]
+ROUTED = ["bm rust", "his today", "ps chrome", "kill chrome", "git repo", "trans hello", "rust", "tr hello world", "unknown word", "project one", "json {}", "sha256 x", "翻译 hello", "? query"]
 
 
 @PLANS.query(with_(values("typed", "query", [(x,) for x in ROUTED])) + """SELECT query, coalesce(source, 'all') AS source, CASE WHEN source IS NULL THEN query ELSE trim(substr(query, instr(query, ' ') + 1)) END AS rest FROM (
-  SELECT query, CASE WHEN instr(query, ' ') > 0 THEN CASE split_part(query, ' ', 1) WHEN 'bm' THEN 'bookmarks' WHEN 'his' THEN 'history' WHEN 'ps' THEN 'process' WHEN 'kill' THEN 'process' WHEN 'git' THEN 'git'
+  SELECT query, CASE WHEN instr(query, ' ') > 0 THEN CASE split_part(query, ' ', 1) WHEN 'bm' THEN 'bookmarks' WHEN 'his' THEN 'history' WHEN 'ps' THEN 'process' WHEN 'kill' THEN 'process' WHEN 'git' THEN 'git' WHEN 'project' THEN 'git' WHEN '翻译' THEN 'translator' WHEN '?' THEN 'web'
+    WHEN 'json' THEN 'devtools' WHEN 'base64' THEN 'devtools' WHEN 'md5' THEN 'devtools' WHEN 'hash' THEN 'devtools' WHEN 'sha256' THEN 'devtools' WHEN 'url' THEN 'devtools'
     WHEN 'trans' THEN 'translator' WHEN 'tr' THEN 'translator' END END AS source FROM typed)""")
 def trigger_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.routed(inline(spark, [(x,) for x in ROUTED], "query string")).select("query", "source", "rest")

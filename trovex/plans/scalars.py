@@ -90,7 +90,7 @@ PAIR_SQL = "pairs AS (SELECT DISTINCT (p_size % 7) || '.5 ' || from_unit || ' to
 
 @PLANS.query(with_(UNIT_SQL, PAIR_SQL) + "SELECT text, value, from_unit, to_unit, round(value * factor + shift, 6) AS result FROM pairs")
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "part").select((F.col("p_size") % 7).cast("string").alias("n"))
+    sizes = table(spark, sf_dir, "part").select((F.col("p_size") % 7).cast("string").alias("n")).distinct()
     names = F.array(*[F.lit(f".5 {a} to {b}") for a, b, _, _ in numbers.UNITS])
     texts = sizes.select("n", F.explode(names).alias("unit")).select(F.concat("n", "unit").alias("text")).distinct()
     return numbers.conversions(texts).select("text", "value", "from_unit", "to_unit", F.round("result", 6).alias("result"))
@@ -98,7 +98,7 @@ def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.query(with_(INLINE_SQL) + "SELECT DISTINCT (p_size % 7) || from_unit AS text, to_unit, round(CAST(p_size % 7 AS DOUBLE) * CAST(factor AS DOUBLE) + CAST(shift AS DOUBLE), 6) AS result FROM part, units")
 def unit_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "part").select((F.col("p_size") % 7).cast("string").alias("n"))
+    sizes = table(spark, sf_dir, "part").select((F.col("p_size") % 7).cast("string").alias("n")).distinct()
     names = F.array(*map(F.lit, dict.fromkeys(x[0] for x in numbers.INLINE)))
     texts = sizes.select("n", F.explode(names).alias("unit")).select(F.concat("n", "unit").alias("text")).distinct()
     return numbers.inline_conversions(texts).select("text", "to_unit", F.round("result", 6).alias("result"))
@@ -134,7 +134,11 @@ def regex_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Keyword, name and address of search engines, in order.
-ENGINES = [(0, "g", "Google", "https://www.google.com/search?q={query}"), (1, "b", "Bing", "https://www.bing.com/search?q={query}"), (2, "gh", "GitHub", "https://github.com/search?q={query}"), (3, "so", "Stack Overflow", "https://stackoverflow.com/search?q={query}")]
+ENGINES = [
+    (0, "g", "Google", "https://www.google.com/search?q={query}"), (1, "b", "Bing", "https://www.bing.com/search?q={query}"), (2, "bd", "Baidu", "https://www.baidu.com/s?wd={query}"),
+    (3, "gh", "GitHub", "https://github.com/search?q={query}"), (4, "so", "Stack Overflow", "https://stackoverflow.com/search?q={query}"), (5, "yt", "YouTube", "https://www.youtube.com/results?search_query={query}"),
+    (6, "wiki", "Wikipedia", "https://en.wikipedia.org/wiki/Special:Search?search={query}"), (7, "tb", "淘宝", "https://s.taobao.com/search?q={query}"), (8, "zh", "知乎", "https://www.zhihu.com/search?q={query}"),
+]
 
 
 @PLANS.query(with_(values("engines", "place, keyword, name, template", ENGINES)) + "SELECT place, 90 - place AS score, replace(template, '{query}', url_encode('rust lang')) AS url FROM engines")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trovex.functions import text as T
 from trovex.operators import hierarchy, index, ranking, rules, usage
 from trovex.plans.registry import Plans
+from trovex.sources.shared import scratch
 from trovex.sources.entities import BROWSING, CLICKS, EDGES, FILES, NOW_SQL, browsing, clicks, edges, files, now, table, with_
 
 PLANS = Plans()
@@ -52,6 +53,42 @@ def trigram_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.lookup(f, index.search_and(index.postings(f), QUERY)).select("file_id", "name")
 
 
+@PLANS.query(with_(FILES, GRAMS, AND_SQL.format(rows="gram_rows")) + "SELECT f.file_id, name FROM files f JOIN hits h ON f.file_id = h.file_id WHERE contains(lower(name), 'small')")
+def stored_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the index once, sorted by gram, and searches what is stored: only row groups with the query's grams are read."""
+    f, path = files(spark, sf_dir), scratch(spark, "index")
+    index.write_index(index.postings(f), path)
+    return index.search_exact(f, index.read_index(spark, path), QUERY).select("file_id", "name")
+
+
+# The sign shown for a file by its extension.
+ICONS = {
+    "📄": ["txt", "md", "log"], "📕": ["pdf"], "📘": ["doc", "docx"], "📊": ["xls", "xlsx", "ppt", "pptx"], "📦": ["zip", "rar", "7z"], "🖼️": ["jpg", "jpeg", "png", "gif", "bmp"],
+    "🎵": ["mp3", "wav", "flac"], "🎬": ["mp4", "avi", "mkv"], "⚙️": ["exe", "msi"], "💻": ["js", "ts", "py", "rs", "go", "java"],
+}
+
+
+@PLANS.query(with_(FILES) + "SELECT file_id, CASE WHEN ends_with(name, '.exe') THEN '⚙️' ELSE '📄' END AS icon FROM files")
+def icon_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    icon = F.when(F.lit(False), "")
+    for sign, ends in ICONS.items():
+        icon = icon.when(T.extension(F.col("name")).isin(ends), sign)
+    return files(spark, sf_dir).select("file_id", icon.otherwise("📄").alias("icon"))
+
+
+@PLANS.query(with_(FILES) + "SELECT file_id, name FROM (SELECT file_id, name, path FROM files ORDER BY path, file_id LIMIT 20) ORDER BY lower(name), file_id")
+def take20_then_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty by path, in the order of their titles."""
+    return files(spark, sf_dir).orderBy("path", "file_id").limit(20).orderBy(F.lower("name"), "file_id").select("file_id", "name")
+
+
+@PLANS.query(with_(CLICKS) + "SELECT result_id, score FROM (SELECT result_id, CAST(round(sum(length(title)) / 10.0) AS BIGINT) AS score FROM clicks GROUP BY result_id) WHERE score > 20 ORDER BY score DESC, result_id LIMIT 20")
+def score_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the results that score above 20, the first twenty."""
+    rows = clicks(spark, sf_dir).groupBy("result_id").agg(F.round(F.sum(F.length("title")) / 10.0).cast("long").alias("score"))
+    return rows.where("score > 20").orderBy(F.desc("score"), "result_id").limit(20)
+
+
 @PLANS.query(with_(FILES, GRAMS, AND_SQL.format(rows="gram_rows")) + "SELECT file_id FROM hits WHERE file_id % 10 < 8 OR file_id % 20 <> 9")
 def trigram_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, delta = split(spark, sf_dir)
@@ -211,12 +248,12 @@ def tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, number = table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
     leaf = lambda word: F.concat(F.lit('{"type":"url","name":"' + word + " "), number, F.lit('","url":"'), "url", F.lit('"}'))
     tree = F.concat(F.lit('{"type":"folder","name":"F'), (F.col("page_id") % 10).cast("string"), F.lit('","children":['), leaf("Page"), F.lit(',{"type":"folder","name":"Sub","children":['), leaf("Copy"), F.lit("]}]}"))
-    return hierarchy.flattened(p.select("page_id", tree.alias("tree")), "page_id", "tree", deepest=3)
+    return hierarchy.flattened(p.select("page_id", tree.alias("tree")), "page_id", "tree")
 
 
 # ---- the ranked search -------------------------------------------------------------------------------------------
 
-RANKED = "ex"
+RANKED = "in"
 
 
 def sources(spark: SparkSession, sf_dir: str) -> ranking.Sources:
@@ -231,7 +268,7 @@ def sources(spark: SparkSession, sf_dir: str) -> ranking.Sources:
         return p.select(F.col("page_id").cast("string").alias("id"), "title", F.col("url").alias("subtitle"), F.floor(F.col("visit_count") / 10).cast("long").alias("score"), F.lit("browser-history").alias("plugin_id"))
 
     def of_customers(query: str) -> DataFrame:
-        c = table(spark, sf_dir, "customer").where(T.contains(F.col("c_mktsegment"), "build"))
+        c = table(spark, sf_dir, "customer").where(T.contains(F.col("c_mktsegment"), query))
         return c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("subtitle"), F.lit(10).cast("long").alias("score"), F.lit("app-search").alias("plugin_id"))
 
     out = ranking.Sources()
@@ -241,11 +278,11 @@ def sources(spark: SparkSession, sf_dir: str) -> ranking.Sources:
     return out
 
 
-UNION = """results AS (
+UNION = f"""results AS (
   SELECT CAST(file_id AS VARCHAR) AS id, name AS title, path AS subtitle, CAST(CASE WHEN ends_with(path, '.exe') THEN 100 WHEN ends_with(path, '.lnk') THEN 90 WHEN ends_with(path, '.bat') THEN 80 ELSE 50 END AS BIGINT) AS score, 'file-search' AS plugin_id
-  FROM files WHERE contains(lower(name), 'ex')
-  UNION ALL SELECT CAST(page_id AS VARCHAR), title, url, visit_count // 10, 'browser-history' FROM browsing WHERE contains(lower(url), 'ex')
-  UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, c_mktsegment, 10, 'app-search' FROM customer WHERE contains(lower(c_mktsegment), 'build'))"""
+  FROM files WHERE contains(lower(name), '{RANKED}')
+  UNION ALL SELECT CAST(page_id AS VARCHAR), title, url, visit_count // 10, 'browser-history' FROM browsing WHERE contains(lower(url), '{RANKED}')
+  UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, c_mktsegment, 10, 'app-search' FROM customer WHERE contains(lower(c_mktsegment), '{RANKED}'))"""
 USAGE = """usage AS (SELECT result_id AS id, count, last_used FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY last_used DESC, plugin_id DESC) AS k
   FROM (SELECT result_id, plugin_id, count(*) AS count, max(ts) AS last_used FROM clicks GROUP BY ALL)) WHERE k = 1)"""
 RUNS = "runs AS (SELECT result_id AS id FROM (SELECT result_id, plugin_id, max(ts) AS last FROM clicks GROUP BY ALL ORDER BY last DESC, result_id, plugin_id LIMIT 50) GROUP BY 1)"
@@ -281,9 +318,9 @@ def rank_last_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(spark, sf_dir).where("last_used is not null").select("id", "plugin_id", "last_used")
 
 
-TEXT_SCORE = f"""least(100.0, CASE WHEN lower(title) = 'ex' THEN 100 WHEN starts_with(lower(title), 'ex') THEN 80 WHEN contains(lower(title), 'ex') THEN 60 ELSE 0 END
-  + CASE WHEN contains(lower(subtitle), 'ex') THEN 20 ELSE 0 END + CASE WHEN {initials_sql('title', 'ex')} THEN 40 ELSE 0 END
-  + {continuity_sql('title', 'ex')} * 30.0 + CAST(score AS DOUBLE) * CAST(0.1 AS DOUBLE))"""
+TEXT_SCORE = f"""least(100.0, CASE WHEN lower(title) = '{RANKED}' THEN 100 WHEN starts_with(lower(title), '{RANKED}') THEN 80 WHEN contains(lower(title), '{RANKED}') THEN 60 ELSE 0 END
+  + CASE WHEN contains(lower(subtitle), '{RANKED}') THEN 20 ELSE 0 END + CASE WHEN {initials_sql('title', RANKED)} THEN 40 ELSE 0 END
+  + {continuity_sql('title', RANKED)} * 30.0 + CAST(score AS DOUBLE) * CAST(0.1 AS DOUBLE))"""
 RECENCY = """CASE WHEN {t} IS NULL THEN NULL WHEN {now} - {t} < INTERVAL 5 MINUTE THEN 100.0 WHEN {now} - {t} < INTERVAL 1 HOUR THEN 80.0 WHEN {now} - {t} < INTERVAL 24 HOUR THEN 60.0
   WHEN {now} - {t} < INTERVAL 168 HOUR THEN 40.0 WHEN {now} - {t} < INTERVAL 720 HOUR THEN 20.0 ELSE 10.0 END"""
 KIND = """CASE WHEN plugin_id = 'file-search' THEN CASE WHEN ends_with(subtitle, '.exe') THEN 30.0 WHEN ends_with(subtitle, '.lnk') THEN 25.0 ELSE 15.0 END

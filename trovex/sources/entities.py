@@ -101,7 +101,8 @@ CLIPBOARD = """clipboard AS (SELECT conv_id * 1000 + turn AS id, role AS content
 def browsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, title, url, visit_count, last_visit): pages with the events of their number."""
     pages, e = table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")
-    visits = e.groupBy((F.col("event_id") % 1000).alias("page_id")).agg(F.count(F.lit(1)).alias("visit_count"), F.max("ts").alias("last_visit"))
+    n = max(1, pages.count())
+    visits = e.groupBy((F.col("event_id") % n).alias("page_id")).agg(F.count(F.lit(1)).alias("visit_count"), F.max("ts").alias("last_visit"))
     rows = pages.select("page_id", "url").join(visits, "page_id", "left")
     title = F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit(" of "), F.substring_index(F.regexp_replace("url", "^https?://", ""), "/", 1))
     return rows.select("page_id", title.alias("title"), "url", F.coalesce("visit_count", F.lit(0)).alias("visit_count"), "last_visit")
@@ -109,7 +110,7 @@ def browsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BROWSING = """browsing AS (SELECT p.page_id, 'Page ' || p.page_id || ' of ' || split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS title, url,
   coalesce(visit_count, 0) AS visit_count, last_visit
-  FROM pages p LEFT JOIN (SELECT event_id % 1000 AS page_id, count(*) AS visit_count, max(ts) AS last_visit FROM events GROUP BY 1) v ON p.page_id = v.page_id)"""
+  FROM pages p LEFT JOIN (SELECT event_id % (SELECT count(*) FROM pages) AS page_id, count(*) AS visit_count, max(ts) AS last_visit FROM events GROUP BY 1) v ON p.page_id = v.page_id)"""
 
 # The kind of audit entry that each type of event stands for.
 KINDS = {"view": "PermissionCheck", "click": "FileAccess", "signup": "NetworkAccess", "purchase": "ProgramExecution", "error": "Violation"}

@@ -10,6 +10,7 @@ of seq: a change that arrives after a compaction has merged later ones counts on
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -42,7 +43,9 @@ def versions(spark: SparkSession, table: str) -> DataFrame:
     """(version, merged): base versions and the last batch that each has merged."""
     try:
         return spark.read.schema("version long, merged long").parquet(f"{table}/versions")
-    except Exception:  # noqa: BLE001  there is none yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise  # a read that fails is not a table without versions
         return spark.createDataFrame([], "version long, merged long")
 
 

@@ -168,3 +168,22 @@ def test_index_search(spark, names, query):
     half = files.where("file_id % 2 = 0")
     merged = index.with_delta(index.postings(half), index.postings(files.where("file_id % 2 = 1")))
     assert {tuple(r) for r in merged.collect()} == {(r.gram, r.file_id) for r in posts.collect()}
+
+
+def test_units_agree_with_the_sizes_of_units():
+    """Factors against each unit's size in its base unit, so that a wrong entry shows though query and SQL share the table."""
+    sizes = {
+        "m": 1, "km": 1000, "cm": 0.01, "mm": 0.001, "mi": 1609.344, "miles": 1609.344, "ft": 0.3048, "feet": 0.3048, "in": 0.0254, "inch": 0.0254,
+        "kg": 1, "g": 0.001, "mg": 1e-6, "lb": 0.45359237, "lbs": 0.45359237, "oz": 0.028349523, "sqm": 1, "sqft": 0.09290304,
+        "l": 1, "liter": 1, "gal": 3.785411784, "gallon": 3.785411784, "ml": 0.001, "floz": 0.0295735296, "kmh": 1, "mph": 1.609344,
+        "b": 1, "kb": 2**10, "mb": 2**20, "gb": 2**30, "tb": 2**40, "s": 1, "sec": 1, "min": 60, "h": 3600, "hour": 3600, "day": 86400,
+    }
+    kelvin = {"c": (1, 273.15), "celsius": (1, 273.15), "f": (5 / 9, 273.15 - 160 / 9), "fahrenheit": (5 / 9, 273.15 - 160 / 9), "k": (1, 0), "kelvin": (1, 0)}
+    for source, target, factor, shift in numbers.UNITS + numbers.INLINE:
+        if source in kelvin:
+            (a, b), (c, d) = kelvin[source], kelvin[target]
+            assert (factor, shift) == pytest.approx((a / c, (b - d) / c), abs=1e-9)
+        elif (source, target) in (("ms", "kmh"), ("kmh", "ms")):
+            assert factor == pytest.approx(3.6 if source == "ms" else 1 / 3.6)
+        else:
+            assert shift == 0 and factor == pytest.approx(sizes[source] / sizes[target], rel=1e-5), (source, target)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import random
+import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from trovex.catalogue import QUERIES
 from trovex.operators import hierarchy, index, logs, ranking, rules, usage
+from trovex.sources import files
 from trovex.sources.entities import audit, changes
 from trovex.streaming import cdc, dedup
 
@@ -179,3 +182,91 @@ def test_stream_dedup(spark, log, tmp_path):
     spark.createDataFrame(rows[200:], schema).coalesce(1).write.mode("append").parquet(source)
     stream.writeStream.format("parquet").options(**out).trigger(availableNow=True).start().awaitTermination()
     assert {(r.g, r.seq) for r in spark.read.parquet(out["path"]).collect()} == walked(rows)
+
+
+def test_hot_groups_are_cut(spark):
+    """A group that holds most rows is many windows; results are those of a plain walk."""
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, None]), t, i, rng.choice(["a", "b", None])) for i, t in enumerate(rng.choice([None, *range(40)]) for _ in range(500))]
+    df = spark.createDataFrame(rows, "g int, ts int, event_id int, v string")
+    before, want = {}, set()
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    for g, _, i, v in sorted(rows, key=key):
+        if before.get(g, ()) != (v,):
+            want.add(i)
+        before[g] = (v,)
+    assert {r.event_id for r in logs.consecutive_dropped(df, "g", ["ts", "event_id"], "v", F.floor(F.col("ts") / 7)).collect()} == want
+
+    timed = [(g, t, i) for g, t, i, _ in rows if t is not None]
+    log = spark.createDataFrame(timed, "g int, s int, event_id int").select("g", F.timestamp_seconds("s").alias("ts"), "event_id")
+    groups, last = {}, set()
+    for g, t, i in sorted(timed, key=lambda r: r[1:]):
+        groups.setdefault(g, []).append((t, i))
+    for walk in groups.values():
+        last |= {a[1] for a, b in zip(walk, [*walk[1:], (10**9, 0)], strict=True) if b[0] - a[0] > 1.5}
+    got = {r.event_id for r in logs.settled(log, "g", ["ts", "event_id"], 1.5, F.floor(F.unix_seconds("ts") / 7)).collect()}
+    assert got == last
+
+
+def test_files_as_tables(spark, tmp_path):
+    (tmp_path / "history.json").write_text(json.dumps([{"query": "a", "frequency": 2}, {"query": "b\n", "frequency": None}]))
+    rows = files.json_array(spark, str(tmp_path / "history.json"), "query string, frequency long").collect()
+    assert [tuple(r) for r in rows] == [("a", 2), ("b\n", None)]
+    assert files.json_array(spark, str(tmp_path / "none.json"), "query string").count() == 0
+    flows = tmp_path / "flows"
+    (flows / "deeper").mkdir(parents=True)
+    (flows / "one.json").write_text(json.dumps({"id": "1", "name": "first"}, indent=1))
+    (flows / "bad.json").write_text("{no")
+    (flows / "note.txt").write_text('{"id": "2"}')
+    assert [tuple(r) for r in files.json_folder(spark, str(flows), "id string, name string").collect()] == [("1", "first")]
+    for name in ("a.lnk", "B.LNK", "c.exe", "deeper/d.e.lnk", ".lnk", "lnk"):
+        (flows / name).write_bytes(b"xyz")
+    assert {(r.name, r.size) for r in files.listing(spark, str(flows), ".lnk").collect()} == {("a", 3), ("B", 3), ("d.e", 3)}
+    assert files.listing(spark, str(tmp_path / "none"), "lnk").count() == 0
+
+
+def test_snapshots(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(len(built))
+
+    at = datetime(2024, 1, 1)
+    take = lambda version, hours: files.snapshot(spark, str(tmp_path), version, at + timedelta(hours=hours), build).count()
+    assert [take(1, 0), take(1, 24), take(1, 25), take(1, 26), take(2, 26), take(1, 26)] == [1, 1, 2, 2, 3, 2]
+
+
+def test_compaction_is_due_by_size(spark, tmp_path):
+    table = str(tmp_path / "t")
+    spark.createDataFrame([(1, 1, 0x100, "a", None)], cdc.CHANGE).write.parquet(f"{table}/delta/batch=0")
+    assert cdc.compact_if_due(spark, table) is None
+    assert cdc.compact_if_due(spark, table, threshold_mb=0) == 1
+    assert not cdc.due(spark, table, threshold_mb=1)
+
+
+def test_idle_state_is_dropped(spark, tmp_path):
+    source, out = str(tmp_path / "in"), {"path": str(tmp_path / "out"), "checkpointLocation": str(tmp_path / "mark")}
+    schema = "g int, seq int, v string"
+
+    def send(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = dedup.clipboard_texts(spark.readStream.schema(schema).parquet(source), "v")
+        stream = dedup.last_n_dedup(stream, "g", ["seq"], "v", idle_seconds=1)
+        stream.writeStream.format("parquet").options(**out).trigger(availableNow=True).start().awaitTermination()
+        time.sleep(2)
+
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        send([(1, 1, "a"), (1, 2, "a"), (1, 3, ""), (1, 4, None), (1, 5, "x" * 100_000)])
+        send([(2, 6, "b")])  # the state of group 1 goes
+        send([(1, 7, "a")])
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert sorted((r.g, r.seq) for r in spark.read.parquet(out["path"]).collect()) == [(1, 1), (1, 7), (2, 6)]
+
+
+def test_delete_by_key(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (3, "b")], "id int, v string")
+    assert {r.id for r in logs.without(rows, spark.createDataFrame([(3,), (None,), (9,)], "id int")).collect()} == {1, 2}
+    assert {r.id for r in logs.without(rows, spark.createDataFrame([("a",), (None,)], "v string")).collect()} == {2, 3}

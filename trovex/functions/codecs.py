@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +40,13 @@ def json_minified(text: Column) -> Column:
 
 def json_status(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNull(), "error").otherwise("ok")
+
+
+def json_pretty(text: Column) -> Column:
+    """Two spaces a level, members in the order of their names; null where text is no JSON."""
+
+    @F.pandas_udf("string")
+    def pretty(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else json.dumps(json.loads(x), indent=2, sort_keys=True, ensure_ascii=False))
+
+    return pretty(json_minified(text))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import math
+import operator
 import re
 
 import pandas as pd
@@ -121,53 +123,22 @@ def literal_value(expr: str) -> float | None:
     return None if math.isnan(value) else value
 
 
+OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}
+
+
 def exact_value(expr: str) -> float | None:
-    """The usual rules, with signs and brackets; null where there is no value."""
-    tokens = re.findall(r"\d+\.?\d*|\.\d+|[-+*/()]", expr)
-    if "".join(tokens) != re.sub(r"\s", "", expr):
-        return None
-    numbers: list[float] = []
-    waiting: list[str] = []
-    rank = {"+": 1, "-": 1, "*": 2, "/": 2, "neg": 3, "pos": 3}
-
-    def apply() -> None:
-        op = waiting.pop()
-        b = numbers.pop()
-        if op in ("neg", "pos"):
-            numbers.append(-b if op == "neg" else b)
-            return
-        a = numbers.pop()
-        numbers.append(a + b if op == "+" else a - b if op == "-" else a * b if op == "*" else a / b)
-
-    before = "("
+    """The usual rules, with signs and brackets; null where there is no value, or where it is nested too deep to be read."""
+
+    def value(node: ast.expr) -> float:
+        if isinstance(node, ast.Constant):
+            return float(node.value)
+        inner = [node.left, node.right] if isinstance(node, ast.BinOp) else [node.operand] if isinstance(node, ast.UnaryOp) else []
+        return OPERATORS[type(getattr(node, "op", None))](*map(value, inner))
+
+    numbers = re.sub(r"\d+\.?\d*|\.\d+", lambda m: repr(float(m[0])), re.sub(r"\s", " ", expr).strip())
     try:
-        for t in tokens:
-            if t[0].isdigit() or t[0] == ".":
-                if before not in rank and before != "(":
-                    return None
-                numbers.append(float(t))
-            elif t == "(":
-                if before not in rank and before != "(":
-                    return None
-                waiting.append(t)
-            elif t == ")":
-                while waiting[-1] != "(":
-                    apply()
-                waiting.pop()
-            else:
-                sign = before in rank or before == "("
-                if sign and t not in "+-":
-                    return None
-                name = {"-": "neg", "+": "pos"}[t] if sign else t
-                while not sign and waiting and waiting[-1] != "(" and rank[waiting[-1]] >= rank[name]:
-                    apply()
-                waiting.append(name)
-            before = t
-        while waiting:
-            apply()
-        (value,) = numbers
-        return value
-    except (IndexError, ZeroDivisionError, ValueError, KeyError):
+        return value(ast.parse(numbers, mode="eval").body)
+    except (SyntaxError, KeyError, ZeroDivisionError, RecursionError, MemoryError):
         return None
 
 

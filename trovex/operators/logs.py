@@ -22,11 +22,25 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def consecutive_dropped(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Without the rows whose value is that of the row before in their group."""
-    before = F.lag(value).over(W.partitionBy(group).orderBy(*order))
-    place = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    return rows.withColumn("_before", before).withColumn("_place", place).where(~F.col("_before").eqNullSafe(F.col(value)) | (F.col("_place") == 1)).drop("_before", "_place")
+def _beside(rows: DataFrame, group: str, order: list[str], kept: str, part: Column, back: bool) -> DataFrame:
+    """rows with _near: struct(kept) of the row before (back) or after in their group, null without one.
+
+    part rises with the order and cuts a group, so that one large group is many windows.  Each part also gets the row
+    next to it from the part before or after, of which the outer window sees one row a part.
+    """
+    cut = rows.withColumn("_part", part)
+    ends = cut.groupBy(group, "_part").agg((F.max_by if back else F.min_by)(F.struct(kept), F.struct(*order)).alias("_kept"))
+    step = F.lag if back else F.lead
+    ends = ends.withColumn("_kept", step("_kept").over(W.partitionBy(group).orderBy("_part"))).where("_kept is not null")
+    both = cut.withColumns({"_kept": F.struct(kept), "_end": F.lit(False)}).unionByName(ends.withColumn("_end", F.lit(True)), allowMissingColumns=True)
+    near = step("_kept").over(W.partitionBy(group, "_part").orderBy(F.desc("_end") if back else F.asc("_end"), *order))
+    return both.withColumn("_near", near).where(~F.col("_end")).drop("_part", "_kept", "_end")
+
+
+def consecutive_dropped(rows: DataFrame, group: str, order: list[str], value: str, part: Column) -> DataFrame:
+    """Without the rows whose value is that of the row before in their group; part as in _beside, the hour for example."""
+    near = _beside(rows, group, order, value, part, back=True)
+    return near.where(F.col("_near").isNull() | ~F.col(f"_near.{value}").eqNullSafe(F.col(value))).drop("_near")
 
 
 def newest(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
@@ -149,9 +163,21 @@ def sampled_hash(width: Column, height: Column, data: Column) -> Column:
     return F.md5(F.concat_ws("|", width.cast("string"), height.cast("string"), F.substring(data, 1, 1000)))
 
 
-def settled(log: DataFrame, group: str, ts: str, gap_seconds: float) -> DataFrame:
-    """The rows after which nothing follows within a gap: what a debounced input sends."""
-    after = F.lead(ts).over(W.partitionBy(group).orderBy(ts, "event_id"))
-    gone = F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
-    return log.withColumn("_gone", gone).where(F.col("_gone").isNull() | (F.col("_gone") > gap_seconds * 1_000_000)).drop("_gone")
+def settled(log: DataFrame, group: str, order: list[str], gap_seconds: float, part: Column) -> DataFrame:
+    """The rows after which nothing follows within a gap: what a debounced input sends.  order begins with the time."""
+    ts = order[0]
+    near = _beside(log, group, order, ts, part, back=False)
+    gone = F.unix_micros(F.col(f"_near.{ts}").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
+    return near.where(gone.isNull() | (gone > gap_seconds * 1_000_000)).drop("_near")
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows without those that the keys name, by the columns of keys: a delete by id or by key.  A null key names no row."""
+    return rows.join(keys.distinct(), keys.columns, "left_anti")
+
 
+def drive_status(sizes: DataFrame) -> DataFrame:
+    """(drive, size_mb, estimated_files, drives, total_files) of sizes (drive, bytes): a file is taken to need 100 bytes."""
+    each = sizes.groupBy("drive").agg(F.sum("bytes").alias("b")).select("drive", F.expr("b div 1048576").alias("size_mb"), F.expr("b div 100").alias("estimated_files"))
+    total = each.agg(F.count(F.lit(1)).alias("drives"), F.coalesce(F.sum("estimated_files"), F.lit(0)).alias("total_files"))
+    return each.crossJoin(F.broadcast(total))  # one row

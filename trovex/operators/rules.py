@@ -102,7 +102,8 @@ def condition(spec: dict, variables: Column) -> Column:
 
     {"type": "VariableEquals", "name", "value"}, {"type": "VariableContains", "name", "substring"}, {"type": "And" or
     "Or", "conditions"}, {"type": "Not", "condition"}, {"type": "TimeRange", "start", "end"} on the variable now ("HH:MM",
-with a range past midnight where end is before start).  Other types hold.
+    with a range past midnight where end is before start).  What cannot be told holds: other types, and a TimeRange where
+    the variables have no now.
     """
     kind = spec.get("type")
     if kind == "VariableEquals":
@@ -117,7 +118,7 @@ with a range past midnight where end is before start).  Other types hold.
     if kind == "TimeRange":
         at, start, end = variables["now"], spec["start"], spec["end"]
         inside = (at >= start) & (at <= end) if start <= end else (at >= start) | (at <= end)
-        return F.coalesce(inside, F.lit(False))
+        return F.coalesce(inside, F.lit(False)) | ~F.map_contains_key(variables, "now")
     if kind == "Not":
         return ~condition(spec["condition"], variables)
     return F.lit(True)

@@ -63,7 +63,7 @@ def tags_split(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE k = 1 OR before IS DISTINCT FROM event_type""")
 def dedup_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    return logs.consecutive_dropped(e, "user_id", ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type")
+    return logs.consecutive_dropped(e, "user_id", ["ts", "event_id"], "event_type", F.date_trunc("hour", "ts")).select("event_id", "user_id", "event_type")
 
 
 @PLANS.query()

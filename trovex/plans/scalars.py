@@ -48,6 +48,22 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), codecs.json_status(F.col("props")).alias("status"), codecs.json_minified(F.col("props")).alias("minified"))
 
 
+@PLANS.query("SELECT event_id, replace(CAST(json_pretty(props) AS VARCHAR), '    ', '  ') AS pretty FROM events UNION ALL SELECT -1, NULL")
+def json_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "props").union(inline(spark, [(-1, "{broken")], "event_id long, props string"))
+    return rows.select("event_id", codecs.json_pretty(F.col("props")).alias("pretty"))
+
+
+UUID4 = "[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
+
+
+@PLANS.query(f"SELECT count(*) AS n, count(DISTINCT id) AS n_distinct, bool_and(regexp_full_match(id, '{UUID4}')) AS sound FROM (SELECT CAST(uuid() AS VARCHAR) AS id FROM events)")
+def uuid_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random identifiers have no fixed value: how many there are, how many differ, and whether all have the form."""
+    ids = table(spark, sf_dir, "events").select(F.uuid().alias("id"))
+    return ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_distinct"), F.bool_and(F.rlike("id", F.lit(f"^{UUID4}$"))).alias("sound"))
+
+
 SUMS = ["1+2*3", "10/4", "7", "2*3/4-1", "(1+2)*3", "-5+3", "1/0", "abc", "(4)", "1.5 + 2.25", ""]
 
 

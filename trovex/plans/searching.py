@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovex.functions import text as T
-from trovex.operators import hierarchy, index, ranking, rules, usage
+from trovex.operators import hierarchy, index, logs, ranking, rules, usage
 from trovex.plans.registry import Plans
 from trovex.sources.shared import scratch
 from trovex.sources.entities import BROWSING, CLICKS, EDGES, FILES, NOW_SQL, browsing, clicks, edges, files, now, table, with_
@@ -89,6 +89,12 @@ def score_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("score > 20").orderBy(F.desc("score"), "result_id").limit(20)
 
 
+@PLANS.query(with_(FILES) + """SELECT drive, size_mb, estimated_files, count(*) OVER () AS drives, CAST(sum(estimated_files) OVER () AS BIGINT) AS total_files FROM (
+  SELECT drive, CAST(sum(size * 1000) // 1048576 AS BIGINT) AS size_mb, CAST(sum(size * 1000) // 100 AS BIGINT) AS estimated_files FROM files GROUP BY drive)""")
+def status_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.drive_status(files(spark, sf_dir).select("drive", (F.col("size") * 1000).alias("bytes")))
+
+
 @PLANS.query(with_(FILES, GRAMS, AND_SQL.format(rows="gram_rows")) + "SELECT file_id FROM hits WHERE file_id % 10 < 8 OR file_id % 20 <> 9")
 def trigram_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, delta = split(spark, sf_dir)

@@ -189,4 +189,12 @@ def bookmark_search(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM searches s JOIN events e ON s.event_id = e.event_id) WHERE after IS NULL OR after - ts > INTERVAL 6 HOUR""")
 def debounce_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.concat("event_type", F.lit("-"), F.get_json_object("props", "$.k")).alias("query"))
-    return logs.settled(log, "user_id", "ts", 6 * 3600).select("event_id", "user_id", "query")
+    return logs.settled(log, "user_id", ["ts", "event_id"], 6 * 3600, F.date_trunc("hour", "ts")).select("event_id", "user_id", "query")
+
+
+@PLANS.query(with_(SEARCHES) + "SELECT event_id, query FROM searches WHERE query NOT IN (SELECT query FROM searches GROUP BY query HAVING count(*) >= 10)")
+def delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log without the queries that came ten times or more."""
+    log = searches(spark, sf_dir)
+    many = log.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").select("query")
+    return logs.without(log, many).select("event_id", "query")

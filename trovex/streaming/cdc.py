@@ -9,14 +9,16 @@ of seq: a change that arrives after a compaction has merged later ones counts on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 CREATE, DELETE, RENAME = 0x100, 0x200, 0x1000
 STATE = "frn long, name string, seq long"
 CHANGE = "seq long, frn long, reason int, name string, ts timestamp_ntz"
+#: Megabytes of a delta at which it is merged.
+MERGE_MB = 50
 
 
 def latest_state(changes: DataFrame) -> DataFrame:
@@ -67,3 +69,18 @@ def compact(spark: SparkSession, table: str) -> int:
     state.write.parquet(f"{table}/base-{version + 1}")
     spark.createDataFrame([(version + 1, merged if batches is None else batches)], "version long, merged long").coalesce(1).write.mode("append").parquet(f"{table}/versions")
     return version + 1
+
+
+def due(spark: SparkSession, table: str, threshold_mb: int = MERGE_MB) -> bool:
+    """Whether the delta's files that no base has merged yet reach a size; their names and sizes alone are read."""
+    last = versions(spark, table).agg(F.max(F.struct("version", "merged")).alias("v")).first()
+    merged = last.v.merged if last and last.v else -1
+    batch = F.regexp_extract("path", r"/batch=(\d+)/", 1).try_cast("long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{table}/delta")
+    size = files.where(batch > merged).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return size // (1 << 20) >= threshold_mb
+
+
+def compact_if_due(spark: SparkSession, table: str, threshold_mb: int = MERGE_MB) -> int | None:
+    """compact() where it is due: the new version, else null.  Batches that a base has merged stay, and are not read."""
+    return compact(spark, table) if due(spark, table, threshold_mb) else None

@@ -326,13 +326,15 @@ def links(sets: list[np.ndarray], lefts: int, rule: Rule) -> np.ndarray:
     """
     n, size = len(sets), np.array(list(map(len, sets)), np.int64)
     right = slice(0, n) if lefts == n else slice(lefts, n)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), size)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
+    del order
     starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     count = np.diff(np.append(starts, len(flat)))
+    del flat, starts
     some = (count > 1) & (count < n)
-    column = np.repeat(np.cumsum(some) - 1, count)[np.repeat(some, count)]
+    column = np.repeat(np.arange(some.sum(), dtype=np.int32), count[some])
     owner = owner[np.repeat(some, count)]
     shared = np.full((lefts, right.stop - right.start), int((count == n).sum()), np.int64)
     width, columns = max(64, CELLS // n), int(some.sum())
@@ -351,9 +353,9 @@ def verified(sets: DataFrame, rule: Rule) -> DataFrame:
     def compare(k: tuple[int, ...], group: pa.Table) -> list[tuple[int, int]]:
         node, block = np.asarray(group.column("node")), np.asarray(group.column("block"))
         node, once = np.unique(node, return_index=True)  # a node may come from several tasks
-        block, raw = block[once], group.column("elements").take(pa.array(once))
+        block = block[once]
         order = np.argsort(block, kind="stable")
-        node, raw = node[order], raw.take(pa.array(order))
+        node, raw = node[order], group.column("elements").take(pa.array(once[order]))
         lefts = int((block == k[1]).sum())
         if lefts == len(node) and k[1] != k[2] or not lefts:
             return []

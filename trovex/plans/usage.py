@@ -141,9 +141,14 @@ def suggest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("relevance"), "query").limit(10).select("query", F.round("relevance", 6).alias("relevance"))
 
 
-@PLANS.query()
+@PLANS.query("""WITH RECURSIVE log AS (SELECT user_id, event_type || '-' || (props->>'$.k') AS query, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  walk AS (SELECT user_id, k, [{'q': query, 'n': CAST(1 AS BIGINT)}] AS items FROM log WHERE k = 1 UNION ALL
+    SELECT l.user_id, l.k, CASE WHEN list_contains(list_transform(w.items, lambda x: x.q), l.query) THEN list_transform(w.items, lambda x: {'q': x.q, 'n': x.n + CAST(x.q = l.query AS BIGINT)})
+      ELSE list_prepend({'q': l.query, 'n': CAST(1 AS BIGINT)}, w.items)[:20] END FROM walk w JOIN log l ON l.user_id = w.user_id AND l.k = w.k + 1),
+  ends AS (SELECT user_id, unnest(items) AS item, generate_subscripts(items, 1) AS i FROM (SELECT user_id, arg_max(items, k) AS items FROM walk GROUP BY user_id))
+  SELECT user_id, item.q AS query, item.n AS frequency, CAST(i - 1 AS INT) AS place FROM ends""")
 def history_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's history of 20, where a search that comes again stays where it is; checked by walking the log."""
+    """Each user's history of 20, where a search that comes again stays where it is."""
     log = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.concat("event_type", F.lit("-"), F.get_json_object("props", "$.k")).alias("query"))
     return logs.bounded_history(log, "user_id", ["ts", "event_id"], "query")
 

@@ -72,6 +72,12 @@ def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
+def op11_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovex.llm.repeats import removed
+
+    return removed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_forest_quality": op2_forest_quality,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_swap_packing": op8_swap_packing,
     "op9_parity_sketch_join": op9_parity_sketch_join,
     "op10_trie_token_counts": op10_trie_token_counts,
+    "op11_fm_substring_dedup": op11_fm_substring_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.

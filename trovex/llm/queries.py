@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trovex.llm.common import scratch, table
+from trovex.llm.manifest import SQL as MANIFEST_SQL
+from trovex.llm.repeats import SQL as REPEATS_SQL
 from trovex.llm.revisits import SQL as REVISITS_SQL
 
 
@@ -78,6 +80,12 @@ def op11_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovex.llm.manifest import verified
+
+    return verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_forest_quality": op2_forest_quality,
@@ -90,7 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_parity_sketch_join": op9_parity_sketch_join,
     "op10_trie_token_counts": op10_trie_token_counts,
     "op11_fm_substring_dedup": op11_fm_substring_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {"op5_revisits": REVISITS_SQL}
+SQL: dict[str, str] = {"op5_revisits": REVISITS_SQL, "op11_fm_substring_dedup": REPEATS_SQL, "op13_merkle_manifest": MANIFEST_SQL}

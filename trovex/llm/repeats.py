@@ -233,3 +233,16 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bounded(docs.sparkSession)
     rows = with_runs(renamed, window, (private(renamed, "_doc"), private(renamed, "_hash")))
     return rows.withColumn("text", cut("text", "runs")).select([F.col(f"`{r}`").alias(c) for c, r in zip(docs.columns, renamed.columns, strict=True)])
+
+
+#: The same for DuckDB, with every window's words as a text.
+SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+places AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, words FROM texts),
+windows AS (SELECT doc_id, i, words[i] AS word, CASE WHEN i + 19 <= len(words) THEN array_to_string(words[i:i + 19], ' ') END AS win FROM places),
+again AS (SELECT doc_id, i, word, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS repeated FROM windows),
+gone AS (SELECT doc_id, i, word, bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM again),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS words FROM gone GROUP BY doc_id)
+SELECT t.doc_id, len(t.words)::BIGINT AS n_words, coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""

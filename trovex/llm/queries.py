@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trovex.llm.common import scratch, table
+from trovex.llm.divergence import SQL as DIVERGENCE_SQL
 from trovex.llm.manifest import SQL as MANIFEST_SQL
 from trovex.llm.repeats import SQL as REPEATS_SQL
 from trovex.llm.revisits import SQL as REVISITS_SQL
@@ -80,6 +81,12 @@ def op11_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents"))
 
 
+def op12_systolic_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovex.llm.divergence import divergences
+
+    return divergences(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovex.llm.manifest import verified
 
@@ -98,8 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_parity_sketch_join": op9_parity_sketch_join,
     "op10_trie_token_counts": op10_trie_token_counts,
     "op11_fm_substring_dedup": op11_fm_substring_dedup,
+    "op12_systolic_divergence": op12_systolic_divergence,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {"op5_revisits": REVISITS_SQL, "op11_fm_substring_dedup": REPEATS_SQL, "op13_merkle_manifest": MANIFEST_SQL}
+SQL: dict[str, str] = {"op5_revisits": REVISITS_SQL, "op11_fm_substring_dedup": REPEATS_SQL, "op12_systolic_divergence": DIVERGENCE_SQL, "op13_merkle_manifest": MANIFEST_SQL}

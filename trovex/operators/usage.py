@@ -6,13 +6,12 @@ in place.  Lists are top-k by count and last use, with the key as the last tie b
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trovex.functions.times import time_band
+from trovex.operators import containment
 from trovex.sources.shared import stored
 
 
@@ -52,20 +51,27 @@ def fuzzy_max(counts: DataFrame, text: str) -> DataFrame:
 
 
 def exact_or_fuzzy(wanted: DataFrame, counts: DataFrame, bound: int = 10_000) -> DataFrame:
-    """(text, usage): the count of the query that equals text, else the greatest count of a query alike.
+    """(text, usage): the count of the query that equals text, else the greatest count of a query alike, 0 without one.
 
-    Texts without an equal are held against every query, in blocks of about bound texts, so what is broadcast stays
-    small however many there are.
+    Texts without an equal are looked up by grams in both directions: as patterns among the queries, and the queries as
+    patterns among them.  Null texts have usage 0.  bound: grams that are broadcast at most.
     """
     asked = wanted.select("text").distinct()
     exact = stored(asked.join(counts.select(F.col("query").alias("text"), F.col("count").alias("usage")), "text", "left"), "asked")
     rest = exact.where("usage is null").select("text")
-    blocks = max(1, -(-rest.count() // bound))
-    parts = [rest.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) for b in range(blocks)]
-    like = reduce(DataFrame.union, [counts.join(F.broadcast(p), alike("query", "text")).select("text", "count") for p in parts])
-    best = like.groupBy("text").agg(F.max("count").alias("usage"))
-    found = rest.join(best, "text", "left").select("text", F.coalesce("usage", F.lit(0)).alias("usage"))
-    return exact.where("usage is not null").unionByName(found)
+    texts = rest.where("text is not null")
+    known = stored(counts.where("query is not null").groupBy("query").agg(F.max("count").alias("count")), "queries")
+    inside = containment.matches(known.select(F.col("query").alias("text")), texts.select(F.col("text").alias("pattern")), bound)
+    around = containment.matches(texts, known.select(F.col("query").alias("pattern")), bound)
+    found = inside.select(F.col("pattern").alias("text"), F.col("text").alias("query")).union(around.select("text", F.col("pattern").alias("query")))
+    best = found.join(known, "query").select("text", F.col("count").alias("value"))
+    lengths = known.select(F.length(F.lower("query")).alias("at"), F.col("count").alias("value"))
+    wild = containment.best_by_length(lengths, containment.blanks(texts.withColumn("pattern", F.col("text")), "text"), longer=True)
+    wild_queries = containment.blanks(known.select(F.col("query").alias("pattern"), F.col("count").alias("value")), "value")
+    by_wild = containment.best_by_length(wild_queries, texts.select(F.length(F.lower("text")).alias("at"), "text"), longer=False)
+    best = best.union(wild.select("text", "value")).union(by_wild.select("text", "value")).groupBy("text").agg(F.max("value").alias("usage"))
+    rest = rest.join(best, "text", "left").select("text", F.coalesce("usage", F.lit(0)).alias("usage"))
+    return exact.where("usage is not null").unionByName(rest)
 
 
 def most_recent_list(log: DataFrame, k: int = 20) -> DataFrame:

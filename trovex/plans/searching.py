@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovex.functions import text as T
-from trovex.operators import hierarchy, index, logs, ranking, rules, usage
+from trovex.operators import bitmaps, hierarchy, index, logs, ranking, rules, usage
 from trovex.plans.registry import Plans
 from trovex.sources.shared import scratch
-from trovex.sources.entities import BROWSING, CLICKS, EDGES, FILES, NOW_SQL, browsing, clicks, edges, files, now, table, with_
+from trovex.streaming import cdc
+from trovex.sources.entities import BROWSING, CHANGES, CLICKS, EDGES, FILES, NOW_SQL, browsing, changes, clicks, edges, files, now, table, with_
 
 PLANS = Plans()
 QUERY = "small"
@@ -110,6 +111,39 @@ def delta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.posting_counts(index.with_delta(index.postings(base), index.postings(delta), removed))
 
 
+@PLANS.query(with_(FILES, GRAMS, AND_SQL.format(rows="gram_rows")) + "SELECT file_id FROM hits")
+def bitmap_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = bitmaps.bitmap_postings(index.postings(files(spark, sf_dir)))
+    return bitmaps.file_ids(bitmaps.search_and(maps, index.query_grams(QUERY)))
+
+
+@PLANS.query(with_(FILES, GRAMS) + "SELECT DISTINCT file_id FROM gram_rows WHERE gram IN ('bol', 'olt', 'nut')")
+def bitmap_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = bitmaps.bitmap_postings(index.postings(files(spark, sf_dir)))
+    return bitmaps.file_ids(bitmaps.search_or(maps, ["bol", "olt", "nut"]))
+
+
+@PLANS.query(with_(FILES, GRAMS) + "SELECT gram, count(*) AS n_files FROM gram_rows WHERE file_id % 20 <> 3 GROUP BY gram")
+def bitmap_delta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """delta_merge on bitmaps: base and delta are joined bucket by bucket, and the removed files are bitmaps, too."""
+    base, delta = (bitmaps.bitmap_postings(index.postings(x)) for x in split(spark, sf_dir))
+    removed = bitmaps.bitmap_postings(index.postings(files(spark, sf_dir).where("file_id % 20 = 3")))
+    return bitmaps.posting_counts(bitmaps.with_delta(base, delta), removed)
+
+
+@PLANS.query(with_(CHANGES) + """SELECT frn, name FROM (SELECT *, row_number() OVER (PARTITION BY frn ORDER BY seq DESC) AS k FROM changes WHERE (reason & 4864) <> 0)
+  WHERE k = 1 AND (reason & 512) = 0 AND contains(lower(name), 'up_') AND contains(lower(name), 'p_1')""")
+def journal_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal in four micro-batches, with a merge after the second, searched by what base index and later postings hold."""
+    journal, at = changes(spark, sf_dir), scratch(spark, "journal")
+    last = journal.agg(F.max("seq")).first()[0] or 0
+    for number in range(4):
+        cdc.append_changes(journal.where((F.col("seq") * 4 / (last + 1)).cast("int") == number), at, number)
+        if number == 1:
+            cdc.compact(spark, at)
+    return cdc.search(spark, at, "UP_1")
+
+
 @PLANS.query(with_(FILES) + "SELECT file_id, name FROM files WHERE contains(lower(name), 'bolt')")
 def filter_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).where(T.contains(F.col("name"), "BOLT")).select("file_id", "name")

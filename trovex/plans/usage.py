@@ -11,6 +11,8 @@ from trovex.operators import logs, ranking, usage
 from trovex.plans.registry import Plans
 from trovex.plans.searching import RECENCY, fuzzy_sql
 from trovex.sources.entities import BROWSING, CLICKS, HISTORY, NOW_SQL, SEARCHES, browsing, clicks, now, search_history, searches, table, with_
+from trovex.sources.shared import scratch
+from trovex.streaming.counters import Counters
 
 PLANS = Plans()
 
@@ -28,6 +30,18 @@ def upsert_click_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.counters(clicks(spark, sf_dir), "result_id", "plugin_id", latest=("title",))
 
 
+@PLANS.query(with_(CLICKS, CLICK_COUNTS) + "SELECT * FROM click_counts")
+def stream_click_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counters from micro-batches: the log in three, the second one twice, and a merge in between."""
+    log = clicks(spark, sf_dir)
+    counted = Counters(spark, scratch(spark, "counters"), log.schema, ["result_id", "plugin_id"], latest=("title",))
+    for number in (0, 1, 1, 2):
+        counted.append(log.where(F.pmod("event_id", F.lit(3)) == number), number)
+        if number == 0:
+            counted.compact()
+    return counted.read()
+
+
 @PLANS.query(with_(CLICKS) + "SELECT plugin_id, count(*) AS count, max(ts) AS last_used, min(ts) AS created_at FROM clicks GROUP BY plugin_id")
 def upsert_plugin_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.counters(clicks(spark, sf_dir), "plugin_id")

@@ -221,3 +221,37 @@ def test_no_vectors(spark):
     assert vector_dedup.linked(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     one = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in vector_dedup.linked(one).collect()] == [(1, 0, 1, True)]
+
+
+@pytest.mark.parametrize(("rank", "width"), [(6, 512), (8, 768), (64, 64)])
+def test_links_of_vectors_in_few_directions(spark, monkeypatch, rank, width):
+    """Differences of near vectors point where the vectors do, not anywhere: nearly all links are found by index and probes."""
+    monkeypatch.setattr(vector_dedup, "DIRECT", 0)
+    rng = np.random.default_rng(rank)
+    base = rng.normal(size=(2000, rank))
+    near = base[rng.integers(0, 2000, 1500)]
+    step = rng.normal(size=near.shape)
+    near = near + step * (np.linalg.norm(near, axis=1) / np.linalg.norm(step, axis=1) * rng.uniform(0.05, 0.34, 1500))[:, None]
+    x = np.concatenate([base, near]) @ np.linalg.qr(rng.normal(size=(width, rank)))[0].T
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in vector_dedup.linked(df).collect()}
+    assert all(got[i] <= want[i] + 1 for i in got)
+    assert sum(got.values()) >= 0.98 * want.sum() > 1000
+
+
+@pytest.mark.parametrize("direct", [0, 1 << 21])
+def test_vectors_of_several_lengths(spark, monkeypatch, direct):
+    """Each length links within itself, by an index of its own or directly; no vector links with one of another length."""
+    monkeypatch.setattr(vector_dedup, "DIRECT", direct)
+    rng = np.random.default_rng(7)
+    rows = []
+    for width, n in ((5, 300), (24, 200), (3, 1), (7, 2)):
+        base = rng.normal(size=(n, width))
+        base[n // 2 :] = base[: n - n // 2] + rng.normal(size=(n - n // 2, width)) * 0.05
+        rows += [(len(rows) + i, v) for i, v in enumerate(base)]
+    rows += [(1000, rows[0][1]), (1001, rows[305][1])]
+    near = {i: {j for j, w in rows if i != j and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.95} for i, v in rows}
+    got = {r.vec_id: r.n_links for r in vector_dedup.linked(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: len(n) for i, n in near.items()}

@@ -206,13 +206,17 @@ class Sums:
 
 
 def by_time(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts, longest first, step by step: all classes at step 0, then at step 1, ...; where a step begins; its texts."""
+    """Texts, longest first, step by step: all classes at step 0, then at step 1, ...; where a step begins; its texts.
+
+    Step t of the i-th text stands i places from where step t begins, so memory follows the tokens, however uneven the texts are.
+    """
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    table = np.zeros((len(texts), lens[0]), np.int32)
-    table[np.arange(lens[0]) < lens[:, None]] = np.concatenate(texts)
     live = len(lens) - np.searchsorted(lens[::-1], np.arange(lens[0]), "right")
-    flat = np.ascontiguousarray(table.T)[np.arange(len(lens)) < live[:, None]]
-    return flat, np.concatenate([[0], np.cumsum(live)]), live
+    begins = np.concatenate([[0], np.cumsum(live)])
+    step = np.arange(begins[-1]) - np.repeat(np.cumsum(lens) - lens, lens)
+    flat = np.empty(begins[-1], np.int32)
+    flat[begins[step] + np.repeat(np.arange(len(lens)), lens)] = np.concatenate(texts)
+    return flat, begins, live
 
 
 def forward(model: Model, emitted: np.ndarray, begins: np.ndarray, live: np.ndarray) -> np.ndarray:

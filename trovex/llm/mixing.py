@@ -2,14 +2,16 @@
 
 Targets: the sources share a total by their weights; no target passes MOST times its source's size, and what is over
 goes to the others by weight.  Documents are dealt to shards by the hash of their doc_id and text.  In a shard, each source's
-documents, in seeded order, make one stream, cut into blocks of equal length.  The blocks that a shard gives out are
-apportioned to its sources by the highest quotients of what they should give over 1, 3, 5, ...; each source's quota is
-met with whole passes over its stream and, for the rest, with blocks drawn by seeded hashes.  A document gives the
-words that its chosen blocks cover.
+documents, in seeded order, make one stream, cut into blocks of equal length.  All blocks that are given out are
+apportioned to the sources by the highest quotients of what they should give over 1, 3, 5, ..., so remainders do not
+add up over the shards.  A source's blocks are apportioned to its groups of GROUP shards in the same way, by the blocks
+that they hold, and a group's to its shards.  Each shard's quota of a source is met with whole passes over the stream
+and, for the rest, with blocks drawn by seeded hashes.  A document gives the words that its chosen blocks cover.
 
 Documents are cut at block edges, so a document may give a part of its words, and in a second pass another part.
 Null texts and texts without words have size 0 and give nothing.  Very long texts give blocks like others, from several
-places.  A null source is a source, the last one.  Ties of the quotients go to the earlier source.  Repeated rows are
+places.  A null source is a source, the last one.  Ties of the quotients go to the earlier source, and
+within a source by seeded hashes.  Repeated rows are
 documents of their own, each with its other columns; which of them gives which words is not said.  Empty tables give
 empty results; other columns are ignored by mixed() and pass through chosen_texts().
 """
@@ -30,8 +32,8 @@ from trovex.llm.common import BATCH_ROWS, WORD, WORD_SQL, bounded, private, slic
 
 #: Words of one block, about; each stream has the nearest whole number of them.
 BLOCK = 128
-#: Documents of one shard, about.
-SHARD = 2000
+#: Documents of one shard, about; shards of one group.
+SHARD, GROUP = 2000, 1024
 MOST = 2.0
 
 
@@ -114,20 +116,39 @@ def placed(sizes: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("start", F.col("end") - F.col("size"))
 
 
-def streams(place: DataFrame, goal: DataFrame) -> DataFrame:
-    """(source, shard, length, blocks, quota) of each stream."""
-    rows = place.groupBy("source", "shard").agg(F.max("end").alias("length"))
-    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("length") / BLOCK)).cast("long"))
-    rows = rows.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")))
-    votes = (F.col("g.target") / F.col("g.source_size") * F.col("s.blocks")).alias("votes")
-    rows = rows.select("s.source", "s.shard", "s.length", "s.blocks", votes)
+def shared_out(rows: DataFrame, key: list[str], order: list[str], columns: str) -> DataFrame:
+    """columns and quota of rows that share seats by votes, within each key; ties to the first in order, null last.
+
+    seats: what all rows of a key share, a null for the sum of their votes; most: seats that a row takes at most.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def apportion(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("source", na_position="last", ignore_index=True, key=lambda c: c.map(lambda x: None if x is None else x.encode()))
-        votes = group["votes"].tolist()
-        return group.assign(quota=quotas(votes, round(sum(votes)), [int(MOST * b) for b in group["blocks"]])).drop(columns="votes")
+        text = lambda c: c.map(lambda x: None if x is None else x.encode() if isinstance(x, str) else x)
+        group = group.sort_values(order, na_position="last", ignore_index=True, key=text)
+        votes, seats = group["votes"].tolist(), group["seats"].iat[0]
+        return group[names].assign(quota=quotas(votes, round(sum(votes)) if pd.isna(seats) else int(seats), group["most"].tolist()))
 
-    return rows.groupBy("shard").applyInPandas(apportion, "source string, shard long, length long, blocks long, quota long")
+    return rows.groupBy(*key).applyInPandas(apportion, f"{columns}, quota long")
+
+
+def streams(place: DataFrame, goal: DataFrame, seed: int = 1) -> DataFrame:
+    """(source, shard, length, blocks, quota) of each stream: the sources share all blocks, then their groups of shards, then the shards."""
+    rows = place.groupBy("source", "shard").agg(F.max("end").alias("length"))
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("length") / BLOCK)).cast("long")).withColumn("part", F.floor(F.col("shard") / GROUP))
+    rows = stored(rows.withColumn("draw", hashed(F.coalesce("source", F.lit("")), "shard", F.lit(f"shards{seed}"))), "shards")
+    most = (F.col("blocks") * int(MOST)).alias("most")
+    same = F.col("s.source").eqNullSafe(F.col("g.source"))
+    of_source = rows.groupBy("source").agg(F.sum("blocks").alias("blocks")).alias("s").join(goal.alias("g"), same)
+    votes = (F.col("g.target") / F.col("g.source_size") * F.col("s.blocks")).alias("votes")
+    of_source = of_source.select("s.source", "s.blocks", votes, most, F.lit(None).cast("long").alias("seats"), F.lit(0).alias("all"))
+    of_source = shared_out(of_source, ["all"], ["source"], "source string")  # a row for each source
+    of_part = rows.groupBy("source", "part").agg(F.sum("blocks").alias("blocks"), F.min("draw").alias("draw")).alias("s").join(of_source.alias("g"), same)
+    of_part = of_part.select("s.source", "s.part", "s.draw", F.col("s.blocks").cast("double").alias("votes"), most, F.col("g.quota").alias("seats"))
+    of_part = shared_out(of_part, ["source"], ["draw", "part"], "source string, part long")  # a row for each group of shards
+    of_shard = rows.alias("s").join(of_part.alias("g"), same & (F.col("s.part") == F.col("g.part")))
+    of_shard = of_shard.select("s.source", "s.part", "s.shard", "s.draw", "s.length", "s.blocks", F.col("s.blocks").cast("double").alias("votes"), most, F.col("g.quota").alias("seats"))
+    return shared_out(of_shard, ["source", "part"], ["draw", "shard"], "source string, shard long, length long, blocks long")
 
 
 def chosen(stream: DataFrame, seed: int) -> DataFrame:
@@ -157,7 +178,7 @@ def plan(docs: DataFrame, weights: list[float], share: float, seed: int) -> tupl
     sizes = stored(sized(docs), "sizes")
     goal = stored(targets(sizes, weights, share), "targets")
     place = stored(placed(sizes, seed), "places")
-    stream = stored(streams(place, goal), "streams")
+    stream = stored(streams(place, goal, seed), "streams")
     return sizes, goal, spans(place, stream, chosen(stream, seed))
 
 

@@ -12,12 +12,14 @@ All numbers are little-endian.  Spark's text sink writes the frames (its line fe
 by the output committer, whole or not at all, in any store that Spark can write.  The index is a Parquet table beside
 them: file_no, record, offset, length, doc_id, n_ids, ids_before (ids of the file's earlier records).
 
-The number of files follows from the bytes of all texts (FILE_BYTES of text a file, about), as a reader takes a file whole.
+The number of files follows from the bytes of all texts, FILE_BYTES of text a file, about, as a reader takes a file
+whole; smaller tables have a file for each of the cluster's cores, of LEAST_BYTES at least.
 Frames go through the text sink as strings that need not be valid UTF-8: Spark keeps a string's bytes and writes them as
 they are, and reading back checks every byte.
 
-Null texts count as empty (one end id).  Very long texts are one record each, whatever their length.  Rows with the same doc_id keep a fixed order among themselves (by the hash of
-their text); null doc_ids come first.  An empty table gives no files and an empty index.  Other columns are ignored.
+Null texts count as empty (one end id).  Very long texts are one record each, whatever their length.  Rows with the same doc_id
+keep a fixed order among themselves (by the hash of their text), and equal rows may stand in several files; null
+doc_ids come first.  An empty table gives no files and an empty index.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ END = 0x0A
 ROTATE, MOVE = 15, 0xA282EAD8
 
 #: Bytes of the texts of one data file, about.
-FILE_BYTES = 32 << 20
+FILE_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
 INDEX_SCHEMA = "file_no int, record int, offset long, length long, doc_id long, n_ids long, ids_before long"
 
 
@@ -95,9 +97,11 @@ def encoded_frames(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         out = [frame(d, np.append(x, np.uint32(end_id))) for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
         return pa.record_batch([batch.column(0), binaries(out)], ["doc_id", "frame"])
 
-    order = [F.col("doc_id"), F.xxhash64("text")]
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("_at")]  # equal rows are alike, and may be cut apart
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(max(1, -(-size // FILE_BYTES)), *order).sortWithinPartitions(*order)
+    count = max(1, -(-size // FILE_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.monotonically_increasing_id()).alias("_at"))
+    dealt = rows.repartitionByRange(count, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return mapped(dealt, encode, "doc_id long, frame binary")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from datetime import datetime
@@ -12,8 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trovex.llm import hmm, mixing, quality, revisits, sharding
-from trovex.llm.common import drawn
+from trovex.llm import hmm, mixing, quality, records, revisits, sharding
+from trovex.llm.common import drawn, numbered
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -421,3 +422,45 @@ def test_pipeline_stages_take_odd_rows(spark, docs, no_docs, sf_dir):
     for _, stage in p.STAGES:
         assert stage(spark, docs, sf_dir).count() > 0
         assert stage(spark, no_docs, sf_dir).count() == 0
+
+
+def test_a_long_text_among_short_ones_takes_memory_of_its_tokens():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 50, n) for n in (300_000, *[20] * 5000)]
+    emit = np.zeros((hmm.OWN + hmm.BUCKETS, hmm.STATES))
+    emit[:50] = rng.random((50, hmm.STATES))
+    model = hmm.model_of(hmm.Sums(rng.random(hmm.STATES), rng.random((hmm.STATES, hmm.STATES)), emit), np.full(len(emit), 1 / len(emit)))
+    whole, parts = hmm.Sums.zero(), hmm.Sums.zero()
+    tracemalloc.start()
+    hmm.posterior(model, texts, whole)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6
+    hmm.posterior(model, texts[:1], parts)
+    hmm.posterior(model, texts[1:], parts)
+    assert whole.log == pytest.approx(parts.log, rel=1e-5)
+    assert whole.move == pytest.approx(parts.move, rel=1e-3) and whole.emit == pytest.approx(parts.emit, rel=1e-3, abs=1e-2)
+
+
+def test_many_small_sources_meet_their_targets(spark):
+    """300 sources of one block a shard or less: what each takes is within one block of its target, or 5 percent."""
+    rows = [(i, " ".join(["w"] * 60), f"s{i % 300:03}") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    goal, took = {}, Counter()
+    source = {r[0]: r[2] for r in rows}
+    for r in mixing.mixed(df).collect():
+        goal[source[r.doc_id]] = r.target
+        took[source[r.doc_id]] += r.taken
+        assert r.taken <= 2 * r.size
+    assert max(abs(took[s] - t) / t for s, t in goal.items()) < 0.05
+
+
+def test_equal_rows_are_dealt_to_many_buckets(spark, monkeypatch):
+    """Half of all rows are one row: no bucket of the numbering and no range of records holds most of them."""
+    rows = spark.range(4000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit(1).alias("g"))
+    seen = numbered(rows.repartition(4), ["g"], [F.col("doc_id")], "n", rows_each=250, at_least=16)
+    assert sorted(r.n for r in seen.collect()) == list(range(4000))
+    monkeypatch.setattr(records, "FILE_BYTES", 4000)
+    docs = rows.select("doc_id", F.lit("some words that repeat").alias("text")).repartition(4)
+    sizes = [r.n for r in records.encoded_frames(docs, "word_bpe_49k.json", 1).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 15 and max(sizes) < 2.5 * 4000 / len(sizes)

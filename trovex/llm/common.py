@@ -18,6 +18,8 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 UPPER_TO_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Documents and bytes of one Arrow batch, so that a batch of long documents fits a Python worker.
 BATCH_ROWS = 1000
+#: Buckets, blocks or ranges that rows equal in every column are dealt to, at most.
+REPEATS = 64
 BATCH_BYTES = 4 << 20
 
 
@@ -93,10 +95,14 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], name: str, ro
     """Adds name: a gapless number from 0 in each group, without one task for a group.
 
     Rows are dealt to buckets by the hash of their whole row, numbered in each (group, bucket), and moved up by the
-    sizes of the buckets before, a small table.  The numbers depend on the rows and their count only.
+    sizes of the buckets before, a small table.  Rows that are equal in every column are dealt by their place in the
+    table as well, so they don't share a bucket; as they are alike, the numbers depend on the rows and their count only
+    where none repeats.
     """
+    df = stored(df.withColumn("_at", F.monotonically_increasing_id()), "rows")
     buckets = max(at_least, -(-df.count() // rows_each))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*df.columns), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("_bucket", F.pmod(F.pmod(F.xxhash64(*[c for c in df.columns if c != "_at"]), F.lit(buckets)) + F.pmod(F.xxhash64("_at"), F.lit(REPEATS)), F.lit(buckets)).cast("int")).drop("_at")
+    df = df.drop("_at")
     from pyspark.sql import Window as W
 
     sizes = dealt.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -7,8 +7,9 @@ into fuller ones.  Each step raises the sum of squared fills, and a bin that run
 no two bins of the block have such a step, or when no packing needs fewer bins.  A block of BLOCK pieces fits a task at
 any input size; blocks do not exchange pieces.
 
-Null texts count as empty: a piece with the end id alone.  Repeated rows are packed as often as they stand.  Empty
-tables give empty results; other columns are ignored.
+Null texts count as empty: a piece with the end id alone.  Repeated rows are packed as often as they stand, and are
+dealt to as many blocks as there are rows of them, REPEATS at most.  Pieces of one length are taken in the order of
+their columns.  Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovex.llm.common import longs, mapped, stored, strings
+from trovex.llm.common import REPEATS, longs, mapped, stored, strings
 from trovex.llm.encoding import crc_of, encoder
 
 #: Pieces of one block.
@@ -271,7 +272,8 @@ def pack(pieces: DataFrame, capacity: int, block: int = BLOCK) -> DataFrame:
                 at += lengths[i]
         return rows[names].assign(sequence_id=sequence, offset=offset)
 
-    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64(*names, F.lit("block")), F.lit(count)).cast("long"))
+    repeat = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(REPEATS))  # equal pieces are alike, so it doesn't matter which goes where
+    dealt = pieces.withColumn("_block", F.pmod(F.pmod(F.xxhash64(*names, F.lit("block")), F.lit(count)) + repeat, F.lit(count)).cast("long"))
     return dealt.groupBy("_block").applyInPandas(one, schema)
 
 

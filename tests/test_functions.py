@@ -187,3 +187,10 @@ def test_units_agree_with_the_sizes_of_units():
             assert factor == pytest.approx(3.6 if source == "ms" else 1 / 3.6)
         else:
             assert shift == 0 and factor == pytest.approx(sizes[source] / sizes[target], rel=1e-5), (source, target)
+
+
+@MANY
+@given(st.lists(st.text("0123456789.+-*/() \t", max_size=12), min_size=1, max_size=20))
+def test_literal_columns_are_literal_values(spark, texts):
+    want = [numbers.literal_value(x) if x and not set(x) - set("0123456789.+-*/() \t") else None for x in texts]
+    assert column(spark, texts, numbers.literal_column) == want

@@ -270,3 +270,39 @@ def test_delete_by_key(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (3, "b")], "id int, v string")
     assert {r.id for r in logs.without(rows, spark.createDataFrame([(3,), (None,), (9,)], "id int")).collect()} == {1, 2}
     assert {r.id for r in logs.without(rows, spark.createDataFrame([("a",), (None,)], "v string")).collect()} == {2, 3}
+
+
+def test_a_backslash_is_itself(spark):
+    rows = spark.createDataFrame([(1, "a\\b"), (2, "ab"), (3, None), (4, "A\\B c"), (5, "a_b")], "id int, v string")
+    found = lambda text: {r.id for r in logs.like_any(rows, text, "v").collect()}
+    assert [found("a\\b"), found("\\"), found("a_b"), found("%"), found("\\\\")] == [{1, 4}, {1, 4}, {1, 4, 5}, {1, 2, 4, 5}, set()]
+
+
+def test_kinds_and_signs(spark):
+    rows = spark.createDataFrame([("a.JSON", False), ("b.jsx", False), ("c.webp", False), ("d.bat", False), ("e", False), ("f.zip", False), ("g.log", True), ("x.dockerfile", False)], "p string, folder boolean")
+    assert [r[0] for r in rows.select(rules.file_type(F.col("p"))).collect()] == ["json", "code", "image", "binary", "binary", "binary", "text", "text"]
+    assert [r[0] for r in rows.select(rules.icon(F.col("p"), F.col("folder"))).collect()] == ["📄", "📄", "📄", "📄", "📄", "📦", "📁", "📄"]
+
+
+def test_drives_come_from_the_table(spark, tmp_path):
+    """More matches than a drive gives, on drives of any name."""
+    rows = spark.range(300).select(F.col("id").alias("p_partkey"), F.lit("bee").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = [tuple(r) for r in QUERIES["per_drive_cap"](spark, str(tmp_path)).select("drive", "file_id").collect()]
+    by = {d: [i for i in range(300) if "CDE"[i % 3] == d][:20] for d in "CDE"}
+    assert sorted(got) == sorted([(d, i) for d in "CDE" for i in by[d]][:50])
+
+
+def test_a_delta_takes_the_place_of_base_postings(spark):
+    base = spark.createDataFrame([("abc", 1), ("bcd", 1), ("abc", 2), ("abc", 3)], "gram string, file_id long")
+    added = spark.createDataFrame([("xyz", 1), ("abc", 4), ("xyz", 5)], "gram string, file_id long")
+    removed = spark.createDataFrame([(2,), (5,)], "file_id long")
+    assert sorted(map(tuple, index.with_delta(base, added, removed).collect())) == [("abc", 3), ("abc", 4), ("xyz", 1)]
+
+
+@pytest.mark.parametrize("query", ["Abc", "ABCD", "ab", "", "öl", "日本語"])
+def test_a_scan_finds_what_the_index_finds(spark, query):
+    names = ["abc", "xabcd", "bcdabc", "ab", "AB", "a", "öl", "日本語", "日本", ""]
+    df = spark.createDataFrame(list(enumerate(names)), "file_id long, name string")
+    want = {r.file_id for r in index.search_and(index.postings(df), query).collect()}
+    assert {r.file_id for r in index.scan_and(df, query).collect()} == want

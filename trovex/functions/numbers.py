@@ -142,12 +142,29 @@ def exact_value(expr: str) -> float | None:
         return None
 
 
+def literal_column(text: Column) -> Column:
+    """literal_value by built-in functions: terms between + and -, factors between * and /, each added up from the left."""
+    clean = F.replace(text, F.lit(" "), F.lit(""))
+
+    def folded(whole: Column, signs: str, inner, step) -> Column:
+        parts = F.transform(F.split(whole, f"[{signs}]"), inner)
+        rest = F.arrays_zip(F.slice(parts, F.lit(2), F.size(parts)).alias("v"), F.regexp_extract_all(whole, F.lit(f"([{signs}])"), F.lit(1)).alias("sign"))
+        return F.aggregate(rest, F.element_at(parts, 1), step)
+
+    number = lambda x: F.when(F.rlike(x, F.lit(r"^(\d+\.?\d*|\.\d+)$")), x.try_cast("double"))
+    times = lambda total, x: F.when(x["sign"] == "*", total * x["v"]).otherwise(F.try_divide(total, x["v"]))
+    plus = lambda total, x: F.when(x["sign"] == "+", total + x["v"]).otherwise(total - x["v"])
+    value = folded(clean, "+\\-", lambda term: folded(term, "*/", number, times), plus)
+    return F.when(F.rlike(text, F.lit(r"^[\d+\-*/().\s]+$")), value)
+
+
 def calculated(requests: DataFrame, text: str = "text", literal: bool = True) -> DataFrame:
     """requests with a column value (null where a text is no expression): as literal_value, else as exact_value."""
-    own = literal_value if literal else exact_value
+    if literal:
+        return requests.withColumn("value", literal_column(F.col(text)))
 
     @F.pandas_udf("double")
     def value(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: own(x) if x is not None and re.fullmatch(r"[\d+\-*/().\s]+", x) else None).astype("float64")
+        return texts.map(lambda x: exact_value(x) if x is not None and re.fullmatch(r"[\d+\-*/().\s]+", x) else None).astype("float64")
 
     return requests.withColumn("value", F.nanvl(value(F.col(text)), F.lit(None).cast("double")))

@@ -49,6 +49,16 @@ def search_and(posts: DataFrame, query: str) -> DataFrame:
     return hits.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(grams)).select("file_id")
 
 
+def scan_and(files: DataFrame, query: str, name: str = "name") -> DataFrame:
+    """The files whose name has every gram of query, without an index: each name is looked at once, and nothing is shuffled."""
+    text = F.lower(name)
+    own = len(query.lower().encode()) < 3  # a name so short is its own gram
+    test = F.lit(bool(query_grams(query)))
+    for gram in query_grams(query):
+        test = test & (text == gram if own else F.contains(text, F.lit(gram)))
+    return files.where(test)
+
+
 def search_exact(files: DataFrame, posts: DataFrame, query: str) -> DataFrame:
     """The files whose name contains query, looked up among the index's candidates.
 
@@ -60,9 +70,15 @@ def search_exact(files: DataFrame, posts: DataFrame, query: str) -> DataFrame:
 
 
 def with_delta(base: DataFrame, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
-    """Postings of base and delta, without the removed file_ids; each once."""
-    live = base.join(removed.select("file_id"), "file_id", "left_anti").select("gram", "file_id") if removed is not None else base.select("gram", "file_id")
-    return live.union(added.select("gram", "file_id")).distinct()
+    """Postings of base and delta, without the removed file_ids; each once.
+
+    What the delta has of a file takes the place of what the base has, so the two share no posting, and only the
+    file_ids of the delta meet the base's postings.
+    """
+    gone = added.select("file_id").distinct()
+    live = base.join(gone if removed is None else gone.union(removed.select("file_id")), "file_id", "left_anti")
+    added = added if removed is None else added.join(removed.select("file_id"), "file_id", "left_anti")
+    return live.select("gram", "file_id").union(added.select("gram", "file_id"))
 
 
 def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:

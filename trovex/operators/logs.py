@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 
 def like_any(rows: DataFrame, text: str, *columns: str) -> DataFrame:
-    """Rows with a column like %text%, whatever the case; a null column is not."""
-    test = F.lit(False)
+    """Rows with a column like %text%, whatever the case; a null column is not.  % and _ in text are wild, a backslash is itself."""
+    test, pattern = F.lit(False), "%" + text.replace("\\", "\\\\") + "%"
     for c in columns:
-        test = test | F.coalesce(F.col(c).ilike(f"%{text}%"), F.lit(False))
+        test = test | F.coalesce(F.col(c).ilike(pattern), F.lit(False))
     return rows.where(test)
 
 

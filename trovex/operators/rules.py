@@ -9,14 +9,24 @@ from trovex.functions.text import extension
 
 # What the scanner leaves out.
 IGNORED = ["$Recycle.Bin", "System Volume Information", "\\$"]
-# Kinds of files by extension.
+# The preview's kinds of files by extension; every other file is binary.
 FILE_TYPES = {
-    "code": ["rs", "js", "ts", "tsx", "py", "java", "c", "cpp", "go", "bat", "sh", "sql"],
-    "text": ["txt", "log", "csv"],
-    "markdown": ["md"],
-    "image": ["png", "jpg", "gif", "bmp", "ico"],
-    "binary": ["exe", "dll", "lnk", "zip"],
-}
+    "image": ["png", "jpg", "jpeg", "gif", "webp", "svg", "bmp", "ico"],
+    "markdown": ["md", "markdown"],
+    "json": ["json"],
+    "code": [
+        "rs", "js", "jsx", "ts", "tsx", "py", "go", "java", "cpp", "c", "cs", "php", "rb", "sh", "bash", "zsh",
+        "yml", "yaml", "toml", "xml", "html", "css", "scss", "sass", "less", "sql", "r", "swift", "kt", "scala",
+    ],
+    "text": ["txt", "log", "csv", "ini", "cfg", "conf", "properties", "env", "gitignore", "dockerfile"],
+}
+# The sign shown for a file by its extension, for any other file, and for a folder.
+ICONS = {
+    "txt": "📄", "md": "📄", "log": "📄", "pdf": "📕", "doc": "📘", "docx": "📘", "xls": "📊", "xlsx": "📊", "ppt": "📊", "pptx": "📊", "zip": "📦", "rar": "📦", "7z": "📦",
+    "jpg": "🖼️", "jpeg": "🖼️", "png": "🖼️", "gif": "🖼️", "bmp": "🖼️", "mp3": "🎵", "wav": "🎵", "flac": "🎵", "mp4": "🎬", "avi": "🎬", "mkv": "🎬",
+    "exe": "⚙️", "msi": "⚙️", "js": "💻", "ts": "💻", "py": "💻", "rs": "💻", "go": "💻", "java": "💻",
+}
+FILE_ICON, FOLDER_ICON = "📄", "📁"
 # The beginnings of permissions.
 PERMISSIONS = ["network:", "filesystem:read:", "filesystem:write:", "clipboard:read", "clipboard:write", "system:info", "system:execute", "database:read", "database:write"]
 # The first words that send a query to one source.
@@ -43,10 +53,18 @@ def path_priority(path: Column) -> Column:
 
 
 def file_type(path: Column) -> Column:
+    """The preview's kind of a file."""
     out = F.when(F.lit(False), "")
     for name, ends in FILE_TYPES.items():
         out = out.when(extension(path).isin(ends), name)
-    return out.otherwise("other")
+    return out.otherwise("binary")
+
+
+def icon(path: Column, is_folder: Column | None = None) -> Column:
+    """The sign of a file or folder."""
+    signs = F.create_map(*[F.lit(x) for pair in ICONS.items() for x in pair])
+    sign = F.coalesce(F.try_element_at(signs, extension(path)), F.lit(FILE_ICON))
+    return sign if is_folder is None else F.when(is_folder, FOLDER_ICON).otherwise(sign)
 
 
 def valid_id(id_: Column) -> Column:

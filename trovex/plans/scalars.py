@@ -67,9 +67,14 @@ def uuid_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUMS = ["1+2*3", "10/4", "7", "2*3/4-1", "(1+2)*3", "-5+3", "1/0", "abc", "(4)", "1.5 + 2.25", ""]
 
 
-@PLANS.query()
+LITERALLY = [7.0, 2.5, 7.0, 0.5, None, None, None, None, None, 3.75, None]
+EXACTLY = [7.0, 2.5, 7.0, 0.5, 9.0, -2.0, None, None, 4.0, 3.75, None]
+
+
+@PLANS.query(with_(values("sums", "text, literal, exact", list(zip(SUMS, LITERALLY, EXACTLY, strict=True)))) + """SELECT text, CAST(literal AS DOUBLE) AS literal, CAST(exact AS DOUBLE) AS exact FROM sums
+  UNION ALL SELECT k || '*' || CAST(value AS VARCHAR) || '-' || user_id, CAST(k AS DOUBLE) * value - user_id, CAST(k AS DOUBLE) * value - user_id FROM (SELECT props->>'$.k' AS k, value, user_id FROM events)""")
 def calc_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The literal rules and the usual ones beside each other; tests hold both against Python."""
+    """The literal rules, by built-in functions, and the usual ones with brackets and signs, which take a parser's step for each row."""
     rows = inline(spark, [(x,) for x in SUMS], "text string")
     e = table(spark, sf_dir, "events").select(F.concat(F.get_json_object("props", "$.k"), F.lit("*"), F.col("value").cast("string"), F.lit("-"), F.col("user_id").cast("string")).alias("text"))
     both = rows.union(e)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trovex.functions import text as T
 from trovex.operators import bitmaps, hierarchy, index, logs, ranking, rules, usage
 from trovex.plans.registry import Plans
+from trovex.sources.entities import BROWSING, CHANGES, CLICKS, EDGES, FILES, NOW_SQL, browsing, changes, clicks, edges, files, now, table, with_
 from trovex.sources.shared import scratch
 from trovex.streaming import cdc
-from trovex.sources.entities import BROWSING, CHANGES, CLICKS, EDGES, FILES, NOW_SQL, browsing, changes, clicks, edges, files, now, table, with_
 
 PLANS = Plans()
 QUERY = "small"
@@ -50,8 +51,8 @@ AND_SQL = """hits AS (SELECT file_id FROM {rows} WHERE gram IN ('sma', 'mal', 'a
 
 @PLANS.query(with_(FILES, GRAMS, AND_SQL.format(rows="gram_rows")) + "SELECT f.file_id, name FROM files f JOIN hits h ON f.file_id = h.file_id")
 def trigram_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir)
-    return index.lookup(f, index.search_and(index.postings(f), QUERY)).select("file_id", "name")
+    """A search without an index reads the names once; stored_index_search has an index, bitmap_and one of bitmaps."""
+    return index.scan_and(files(spark, sf_dir), QUERY).select("file_id", "name")
 
 
 @PLANS.query(with_(FILES, GRAMS, AND_SQL.format(rows="gram_rows")) + "SELECT f.file_id, name FROM files f JOIN hits h ON f.file_id = h.file_id WHERE contains(lower(name), 'small')")
@@ -62,19 +63,14 @@ def stored_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search_exact(f, index.read_index(spark, path), QUERY).select("file_id", "name")
 
 
-# The sign shown for a file by its extension.
-ICONS = {
-    "📄": ["txt", "md", "log"], "📕": ["pdf"], "📘": ["doc", "docx"], "📊": ["xls", "xlsx", "ppt", "pptx"], "📦": ["zip", "rar", "7z"], "🖼️": ["jpg", "jpeg", "png", "gif", "bmp"],
-    "🎵": ["mp3", "wav", "flac"], "🎬": ["mp4", "avi", "mkv"], "⚙️": ["exe", "msi"], "💻": ["js", "ts", "py", "rs", "go", "java"],
-}
+ICON_SQL = r"""CASE WHEN e IN ('txt', 'md', 'log') THEN '📄' WHEN e = 'pdf' THEN '📕' WHEN e IN ('doc', 'docx') THEN '📘' WHEN e IN ('xls', 'xlsx', 'ppt', 'pptx') THEN '📊'
+  WHEN e IN ('zip', 'rar', '7z') THEN '📦' WHEN e IN ('jpg', 'jpeg', 'png', 'gif', 'bmp') THEN '🖼️' WHEN e IN ('mp3', 'wav', 'flac') THEN '🎵' WHEN e IN ('mp4', 'avi', 'mkv') THEN '🎬'
+  WHEN e IN ('exe', 'msi') THEN '⚙️' WHEN e IN ('js', 'ts', 'py', 'rs', 'go', 'java') THEN '💻' ELSE '📄' END"""
 
 
-@PLANS.query(with_(FILES) + "SELECT file_id, CASE WHEN ends_with(name, '.exe') THEN '⚙️' ELSE '📄' END AS icon FROM files")
+@PLANS.query(with_(FILES) + rf"SELECT file_id, {ICON_SQL} AS icon FROM (SELECT file_id, regexp_extract(lower(name), '\.([^.]+)$', 1) AS e FROM files)")
 def icon_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    icon = F.when(F.lit(False), "")
-    for sign, ends in ICONS.items():
-        icon = icon.when(T.extension(F.col("name")).isin(ends), sign)
-    return files(spark, sf_dir).select("file_id", icon.otherwise("📄").alias("icon"))
+    return files(spark, sf_dir).select("file_id", rules.icon(F.col("name")).alias("icon"))
 
 
 @PLANS.query(with_(FILES) + "SELECT file_id, name FROM (SELECT file_id, name, path FROM files ORDER BY path, file_id LIMIT 20) ORDER BY lower(name), file_id")
@@ -83,13 +79,6 @@ def take20_then_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).orderBy("path", "file_id").limit(20).orderBy(F.lower("name"), "file_id").select("file_id", "name")
 
 
-@PLANS.query(with_(CLICKS) + "SELECT result_id, score FROM (SELECT result_id, CAST(round(sum(length(title)) / 10.0) AS BIGINT) AS score FROM clicks GROUP BY result_id) WHERE score > 20 ORDER BY score DESC, result_id LIMIT 20")
-def score_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the results that score above 20, the first twenty."""
-    rows = clicks(spark, sf_dir).groupBy("result_id").agg(F.round(F.sum(F.length("title")) / 10.0).cast("long").alias("score"))
-    return rows.where("score > 20").orderBy(F.desc("score"), "result_id").limit(20)
-
-
 @PLANS.query(with_(FILES) + """SELECT drive, size_mb, estimated_files, count(*) OVER () AS drives, CAST(sum(estimated_files) OVER () AS BIGINT) AS total_files FROM (
   SELECT drive, CAST(sum(size * 1000) // 1048576 AS BIGINT) AS size_mb, CAST(sum(size * 1000) // 100 AS BIGINT) AS estimated_files FROM files GROUP BY drive)""")
 def status_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +154,8 @@ def path_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("file_id", rules.path_priority(F.col("path")).alias("priority"))
 
 
-@PLANS.query(with_(FILES) + r"""SELECT file_id, CASE regexp_extract(lower(path), '\.([^.\\/]+)$', 1) WHEN 'exe' THEN 'binary' WHEN 'lnk' THEN 'binary'
-  WHEN 'bat' THEN 'code' WHEN 'txt' THEN 'text' WHEN 'md' THEN 'markdown' ELSE 'other' END AS file_type FROM files""")
+@PLANS.query(with_(FILES) + r"""SELECT file_id, CASE regexp_extract(lower(path), '\.([^.\\/]+)$', 1) WHEN 'txt' THEN 'text' WHEN 'log' THEN 'text' WHEN 'csv' THEN 'text'
+  WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' WHEN 'json' THEN 'json' WHEN 'png' THEN 'image' WHEN 'py' THEN 'code' ELSE 'binary' END AS file_type FROM files""")
 def file_type_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("file_id", rules.file_type(F.col("path")).alias("file_type"))
 
@@ -203,10 +192,10 @@ def first50_then_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @PLANS.query(with_(FILES) + """SELECT drive, file_id, name FROM (SELECT drive, file_id, name, row_number() OVER (PARTITION BY drive ORDER BY file_id) AS k
   FROM files WHERE contains(lower(name), 'e')) WHERE k <= 20 ORDER BY drive, file_id LIMIT 50""")
 def per_drive_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """20 a drive and 50 in all; each drive is one top-k, so no drive's matches meet in one task."""
+    """20 a drive and 50 in all; each task cuts its drives to 20 before the shuffle, so no drive's matches meet in one task."""
     hits = files(spark, sf_dir).where(T.contains(F.col("name"), "e")).select("drive", "file_id", "name")
-    parts = [hits.where(F.col("drive") == d).orderBy("file_id").limit(20) for d in "CDE"]
-    return parts[0].union(parts[1]).union(parts[2]).orderBy("drive", "file_id").limit(50)
+    ranked = hits.withColumn("k", F.row_number().over(W.partitionBy("drive").orderBy("file_id")))
+    return ranked.where("k <= 20").drop("k").orderBy("drive", "file_id").limit(50)
 
 
 FUZZY = """list_reduce(list_prepend({{'c': '', 'at': 1, 'near': false, 'score': 0, 'first': true}}, list_transform(string_split(lower({t}), ''), lambda c: {{'c': c, 'at': 1, 'near': false, 'score': 0, 'first': true}})),
@@ -225,6 +214,18 @@ def app_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("file_id", "name", T.fuzzy_score(F.col("name"), F.lit("sbt")).cast("long").alias("score")).orderBy(F.desc("score"), "file_id").limit(10)
 
 
+BEST = "CASE WHEN r['at'] > {n} THEN r['score'] ELSE 0 END"
+
+
+@PLANS.query(with_(FILES) + f"""SELECT file_id, name, CAST(score AS BIGINT) AS score FROM (SELECT file_id, name, greatest(a, b) AS score FROM (
+  SELECT file_id, name, (SELECT {BEST.format(n=4)} FROM (SELECT {fuzzy_sql('name', 'bolt')} AS r)) AS a, (SELECT {BEST.format(n=4)} FROM (SELECT {fuzzy_sql('path', 'bolt')} AS r)) AS b FROM files))
+  WHERE score > 20 ORDER BY score DESC, file_id LIMIT 20""")
+def score_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as processes: the better match score of name and path; of those above 20 the first twenty."""
+    score = F.greatest(*[T.fuzzy_score(F.col(c), F.lit("bolt")) for c in ("name", "path")]).cast("long")
+    return files(spark, sf_dir).select("file_id", "name", score.alias("score")).where("score > 20").orderBy(F.desc("score"), "file_id").limit(20)
+
+
 @PLANS.query(with_(FILES) + "SELECT file_id, regexp_matches(lower(name), 's.*b.*t') AS matches FROM files")
 def subsequence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("file_id", T.subsequence(F.col("name"), "sbt").alias("matches"))

@@ -54,6 +54,7 @@ def test_divergences_with_many_sources_and_slices(spark, monkeypatch, sources, s
     """More sources than players, several slices, tasks that hand counts on early, groups and a language without kept terms."""
     monkeypatch.setattr(divergence, "SLICE_ROWS", slice_rows)
     monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "WORDS", held)
     rng = random.Random(sources)
     words = [f"{a}{b}" for a in "abcdeÉé" for b in "VWXYzñ"]
     rows = [(i, " ".join(rng.choice(words[: 6 + i % 37]) for _ in range(rng.randrange(30))), "en", f"s{i % sources}", 1, 2, 3, "x") for i in range(120)]

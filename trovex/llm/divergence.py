@@ -20,8 +20,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,48 +34,64 @@ from trovex.llm.common import BATCH_ROWS, bounded, longs, lower_ascii, slices, s
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Documents of its language that a kept term is in; parts of one in a share; terms that are told of a group.
 MIN_DOCS, SCALE, TOLD = 3, 1_000_000_000, 200
-#: Counts that a task holds before it hands them on; counts of one slice of a language, about; players of a language at most.
-HELD, SLICE_ROWS, PLAYERS = 300_000, 65_536, 8
+#: Counts (24 bytes each) and different words that a task holds before it hands them on.
+HELD, WORDS = 1_500_000, 500_000
+#: Counts of one slice of a language, about; players of a language at most.
+SLICE_ROWS, PLAYERS = 65_536, 8
+
+
+class Terms(dict):
+    """Word -> number of its term, for the words that this worker has met."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.numbers: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = self.numbers.setdefault(lower_ascii(word), len(self.numbers))
+        return number
+
+
+def added_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]]).nonzero()[0] if len(keys) else np.empty(0, np.int64)
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """Stored (lang, source, term, count, docs); the term '' stands for a group and has no count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low: dict[str, str] = {}
-        counts: dict[tuple[str, str], dict[str, list[int]]] = {}
-        held = 0
+        terms, groups = Terms(), {}
+        held: list[tuple[np.ndarray, ...]] = []  # keys (group and term), counts, documents
+
+        def told(keys: np.ndarray, n: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+            names = pa.array([*terms.numbers, ""], pa.string())
+            at, term = keys >> 32, keys & 0xFFFFFFFF
+            own = np.arange(len(groups))
+            at, term = np.concatenate([at, own]), np.concatenate([term, np.full(len(own), len(names) - 1)])
+            n, d = (np.concatenate([x, np.zeros(len(own), np.int64)]) for x in (n, d))
+            lang, source = (pa.array([g[k] for g in groups], pa.string()).take(pa.array(at)) for k in (0, 1))
+            return pa.record_batch([lang, source, names.take(pa.array(term)), longs(n), longs(d)], ["lang", "source", "term", "count", "docs"])
 
-        def told() -> pa.RecordBatch:
-            rows = [(*group, term, *n) for group, own in counts.items() for term, n in own.items()]
-            lang, source, term, n, d = zip(*rows, strict=True) if rows else ((),) * 5
-            return pa.record_batch([*(pa.array(x, pa.string()) for x in (lang, source, term)), longs(list(n)), longs(list(d))], ["lang", "source", "term", "count", "docs"])
+        def joined() -> tuple[np.ndarray, ...]:
+            return added_up(*map(np.concatenate, zip(*held, strict=True))) if held else (np.empty(0, np.int64),) * 3
 
         for batch in slices(batches, BATCH_ROWS):
-            for lang, source, text in zip(*map(strings, batch.columns), strict=True):
-                own = counts.setdefault((lang, source), {"": [0, 0]})
-                held -= len(own)
-                each: dict[str, int] = {}
-                for word, n in Counter(TERM.findall(text)).items():
-                    term = low.get(word)
-                    if term is None:
-                        low[word] = term = lower_ascii(word)
-                    each[term] = each.get(term, 0) + n
-                for term, n in each.items():
-                    at = own.get(term)
-                    if at is None:
-                        own[term] = [n, 1]
-                    else:
-                        at[0] += n
-                        at[1] += 1
-                held += len(own)
-                if len(low) > HELD:
-                    low.clear()
-                if held > HELD:
-                    yield told()
-                    counts.clear()
-                    held = 0
-        yield told()
+            found = [TERM.findall(t) for t in strings(batch.column(2))]
+            group = np.array([groups.setdefault(g, len(groups)) for g in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True)], np.int64)
+            sizes = [len(x) for x in found]
+            flat = np.fromiter(map(terms.__getitem__, chain.from_iterable(found)), np.int64, sum(sizes))
+            each, n = np.unique(np.repeat(np.arange(len(found)), sizes) << 32 | flat, return_counts=True)  # terms of one document
+            held.append(added_up(group[each >> 32] << 32 | each & 0xFFFFFFFF, n, np.ones(len(n), np.int64)))
+            if sum(len(h[0]) for h in held) > 2 * HELD or len(terms) > WORDS:
+                held = [joined()]
+                if len(held[0][0]) > HELD or len(terms) > WORDS:
+                    yield told(*held.pop())
+                    terms, groups = Terms(), {}
+        yield told(*joined())
 
     bounded(docs.sparkSession)
     rows = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, count long, docs long")

@@ -6,15 +6,20 @@ they are read, usage joins on id, and scores are columns, so only the rows that
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovex.functions.text import text_score
 from trovex.functions.times import recency_score
+from trovex.sources.shared import stored
 
 RESULT = ["id", "title", "subtitle", "score", "plugin_id"]
 #: Rows of usage that may be broadcast; more are shuffled.
@@ -65,6 +70,47 @@ class Sources:
             raise ValueError("no source can answer")
         return reduce(DataFrame.unionByName, parts)
 
+    def gathered(self, spark: SparkSession, query: str, seconds: float, disabled: tuple[str, ...] = (), failed: dict[str, Exception] | None = None) -> DataFrame:
+        """The union of what the sources return within a deadline, each run by itself and its rows written.
+
+        The jobs of a source that is late are cancelled by its tag, and it is in failed by its name, like one that
+        fails; the others answer.  Raises ValueError where none does.
+        """
+        failed = {} if failed is None else failed
+        found: dict[str, DataFrame] = {}
+        lock, closed = threading.Lock(), set()
+
+        def answer(name: str, source: Callable[[str], DataFrame], tag: str) -> None:
+            spark.sparkContext.addJobTag(tag)  # of this thread, as all jobs that it starts
+            try:
+                rows = stored(source(query).select(*RESULT), name)
+                with lock:
+                    if name not in closed:
+                        found[name] = rows
+            except Exception as error:  # noqa: BLE001  one source's failure is not the search's
+                with lock:
+                    if name not in closed:
+                        failed[name] = error
+
+        runs = {}
+        for name, source in self.known.items():
+            if name not in disabled:
+                tag = f"{name}-{uuid.uuid4().hex}".replace(",", "_")
+                runs[name] = tag, InheritableThread(target=answer, args=(name, source, tag), daemon=True)
+                runs[name][1].start()
+        end = time.monotonic() + seconds
+        for name, (tag, thread) in runs.items():
+            thread.join(max(0.0, end - time.monotonic()))
+            with lock:
+                late = name not in found and name not in failed
+                closed.add(name)
+            if late:
+                spark.sparkContext.cancelJobsWithTag(tag)
+                failed[name] = TimeoutError(f"{name} took more than {seconds} s")
+        if not found:
+            raise ValueError("no source can answer")
+        return reduce(DataFrame.unionByName, [found[name] for name in runs if name in found])
+
 
 def frequency_score(count: Column) -> Column:
     """0 to 100, by the logarithm of a count."""

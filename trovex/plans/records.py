@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovex.functions import text as T
-from trovex.operators import logs, rules
+from trovex.operators import logs, rules, workflows
 from trovex.plans.registry import Plans
 from trovex.sources.entities import AUDIT, CHANGES, CLIPBOARD, audit, changes, clipboard, inline, table, values, with_
 from trovex.streaming.cdc import latest_state
@@ -189,6 +189,39 @@ CONDITION = {
 }
 
 
+WORKFLOW = [
+    {"id": "name", "action": {"type": "SetVariable", "name": "label", "value": "${type}-${k}"}},
+    {"id": "sort", "action": {
+        "type": "If", "condition": {"type": "VariableEquals", "name": "type", "value": "purchase"},
+        "then_steps": [{"id": "tell", "action": {"type": "ShowNotification", "title": "Sold", "message": "${label} for ${value}"}}],
+        "else_steps": [{"id": "mark", "action": {"type": "SetVariable", "name": "label", "value": "other ${label}"}}],
+    }},
+    {"id": "dots", "action": {
+        "type": "Loop", "count": 5, "condition": {"type": "Not", "condition": {"type": "VariableContains", "name": "dots", "substring": "..."}},
+        "steps": [{"id": "dot", "action": {"type": "SetVariable", "name": "dots", "value": "${dots}."}}],
+    }},
+    {"id": "ask", "condition": {"type": "VariableEquals", "name": "type", "value": "error"}, "action": {"type": "PluginQuery", "plugin_id": "p", "query": "q"}, "on_error": {"type": "Fallback", "steps": [
+        {"id": "save", "action": {"type": "CopyToClipboard", "content": "${label}${dots}"}}]}},
+    {"id": "odd", "condition": {"type": "VariableContains", "name": "k", "substring": "9"}, "action": {"type": "HttpRequest", "method": "PATCH", "url": "x"}},
+    {"id": "end", "action": {"type": "SetVariable", "name": "done", "value": "yes"}},
+]
+
+
+@PLANS.query("""SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'purchase-' || k ELSE 'other ' || event_type || '-' || k END AS label, repeat('.', greatest(length(dots), 3)) AS dots,
+  NOT contains(k, '9') AS done, CASE WHEN contains(k, '9') THEN 'odd: unsupported method PATCH' END AS error,
+  CASE event_type WHEN 'purchase' THEN 'tell: purchase-' || k || ' for ' || v WHEN 'error' THEN 'save: other error-' || k || repeat('.', greatest(length(dots), 3)) END AS effect
+  FROM (SELECT event_id, event_type, props->>'$.k' AS k, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS v, repeat('.', CAST(event_id % 5 AS INT)) AS dots FROM events)""")
+def workflow_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workflow on every event, with its variables, its effect and the error that ends it."""
+    e = table(spark, sf_dir, "events")
+    columns = {"type": F.col("event_type"), "k": F.get_json_object("props", "$.k"), "value": F.floor("value").cast("string"), "dots": F.repeat(F.lit("."), (F.col("event_id") % 5).cast("int"))}
+    variables = F.create_map(*[x for name, c in columns.items() for x in (F.lit(name), c)])
+    run = workflows.executed(e, WORKFLOW, variables)
+    effect = F.try_element_at(F.transform("run.effects", lambda x: F.concat(x["step"], F.lit(": "), F.coalesce(x["detail"]["message"], x["detail"]["content"]))), F.lit(1))
+    end = F.col("run")["variables"]
+    return run.select("event_id", end["label"].alias("label"), end["dots"].alias("dots"), F.coalesce(end["done"] == "yes", F.lit(False)).alias("done"), F.col("run.error").alias("error"), effect.alias("effect"))
+
+
 @PLANS.query("SELECT event_id, (event_type = 'click' AND NOT contains(props->>'$.k', '7')) OR (props->>'$.k') = '42' OR strftime(ts, '%H:%M') >= '22:30' OR strftime(ts, '%H:%M') <= '04:15' AS holds FROM events")
 def workflow_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     variables = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"), F.lit("now"), F.date_format("ts", "HH:mm"))

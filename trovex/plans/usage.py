@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trovex.functions import text as T
 from trovex.functions import times
 from trovex.operators import logs, ranking, usage
+from trovex.operators.plugins import Plugins
 from trovex.plans.registry import Plans
 from trovex.plans.searching import RECENCY, fuzzy_sql
 from trovex.sources.entities import BROWSING, CLICKS, HISTORY, NOW_SQL, SEARCHES, browsing, clicks, now, search_history, searches, table, with_
@@ -68,6 +69,7 @@ def mru_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.most_recent_list(clicks(spark, sf_dir))
 
 
+FILES_BY_KIND = "kinds AS (SELECT split_part(p_type, ' ', 1) AS kind, count(*) AS n FROM part GROUP BY 1)"
 COUNTS = "counts AS (SELECT query, count(*) AS count FROM searches GROUP BY query)"
 
 
@@ -76,6 +78,28 @@ def fuzzy_usage_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.fuzzy_max(usage.counters(searches(spark, sf_dir), "query"), "click-1")
 
 
+class Words:
+    """A plugin in Python: the parts of a query between hyphens."""
+
+    def eval(self, query: str):
+        for i, part in enumerate(query.split("-")):
+            yield f"word-{i}", part, float(len(part))
+
+
+@PLANS.query(with_(SEARCHES, FILES_BY_KIND) + """SELECT query, 'kinds' AS plugin_id, kind AS id, kind || ' files' AS title, CAST(n AS DOUBLE) AS score FROM (SELECT DISTINCT query FROM searches) JOIN kinds ON starts_with(lower(query), substr(lower(kind), 1, 1))
+  UNION ALL SELECT query, 'echo', md5(query), 'Search for ' || query, 50 FROM (SELECT DISTINCT query FROM searches)
+  UNION ALL SELECT query, 'words', 'word-' || (i - 1), string_split(query, '-')[i], length(string_split(query, '-')[i]) FROM (SELECT query, unnest(range(1, len(string_split(query, '-')) + 1)) AS i FROM (SELECT DISTINCT query FROM searches))""")
+def plugin_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three plugins, of SQL over a table, of SQL alone and in Python, for all searches in one plan."""
+    kinds = table(spark, sf_dir, "part").groupBy(F.substring_index("p_type", " ", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    kinds.createOrReplaceTempView("plugin_kinds")
+    found = Plugins(spark)
+    found.register_sql("kinds", "SELECT kind, concat(kind, ' files'), double(n) FROM plugin_kinds WHERE startswith(lower(query), substr(lower(kind), 1, 1))")
+    found.register_sql("echo", "SELECT md5(query), concat('Search for ', query), 50D")
+    found.register_class("words", Words)
+    return found.answers(searches(spark, sf_dir))
+
+
 WANTED = "wanted AS (SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN 'click-' || n_nationkey ELSE 'k-' || n_nationkey END AS text FROM nation)"
 
 

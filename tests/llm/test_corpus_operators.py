@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import struct
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +13,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from trovex.llm import hmm, mixing, quality, records, revisits, sharding
@@ -464,3 +467,57 @@ def test_equal_rows_are_dealt_to_many_buckets(spark, monkeypatch):
     docs = rows.select("doc_id", F.lit("some words that repeat").alias("text")).repartition(4)
     sizes = [r.n for r in records.encoded_frames(docs, "word_bpe_49k.json", 1).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) > 15 and max(sizes) < 2.5 * 4000 / len(sizes)
+
+
+def plain_draw(*parts):
+    """A draw in (0, 1) of Spark's xxhash64: each part is hashed with the hash before as its seed."""
+    h = 42
+    for p in parts:
+        if p is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", p) if isinstance(p, int) else p.encode(), seed=h)
+    return ((h >> 11) + 0.5) / (1 << 53)
+
+
+def plain_descend(key, leaves):
+    """The child with the least exponential draw at each level of region, rack and shard."""
+    node, names = "", {f"{x.region}/{x.rack}/{x.shard}": x.shard for x in leaves}
+    for path in (lambda x: x.region, lambda x: f"{x.region}/{x.rack}", lambda x: f"{x.region}/{x.rack}/{x.shard}"):
+        weights = Counter()
+        for x in leaves:
+            if path(x).startswith(node):
+                weights[path(x)] += x.weight
+        node = min((-math.log(plain_draw(key, c)) / w, c) for c, w in weights.items() if w)[1] + "/"
+    return names[node[:-1]]
+
+
+@pytest.mark.parametrize("count", [24, 25])
+def test_draws_are_those_of_a_plain_descent(spark, count):
+    tree = sharding.even_tree(count)
+    tree[3] = sharding.Leaf(tree[3].region, tree[3].rack, 3, 2.5)
+    tree[7] = sharding.Leaf(tree[7].region, tree[7].rack, 7, 0.0)
+    keys = spark.createDataFrame([(None,), *[(i,) for i in range(-200, 200)]], "doc_id long")
+    got = {r.doc_id: r.shard for r in keys.select("doc_id", sharding.descend(F.col("doc_id"), tree).alias("shard")).collect()}
+    assert got == {k: plain_descend(k, tree) for k in got}
+    assert 7 not in got.values()
+
+
+def test_blocks_of_the_mix_are_those_of_a_plain_choice(spark):
+    """Quotas met with whole passes and the blocks of least seeded hashes; the words of each block counted one by one."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 700))), f"s{rng.integers(3)}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = mixing.stored(mixing.sized(df), "sizes")
+    place = mixing.stored(mixing.placed(sizes, 1), "places")
+    stream = mixing.stored(mixing.streams(place, mixing.targets(sizes, [5.0, 2.0, 1.0], 1.5)), "streams")
+    taken = Counter()
+    by_stream = defaultdict(list)
+    for p in place.collect():
+        by_stream[p.source, p.shard].append(p)
+    for s in stream.collect():
+        rank = lambda b, s=s: (int(hashlib.md5(f"{s.source}|{s.shard}|{b}|block1".encode()).hexdigest()[:8], 16), b)
+        first = sorted(range(s.blocks), key=rank)[: s.quota % s.blocks]
+        for p in by_stream[s.source, s.shard]:
+            for word in range(p.start, p.end):
+                block = next(b for b in range(s.blocks) if b * s.length // s.blocks <= word < (b + 1) * s.length // s.blocks)
+                taken[p.doc_id] += s.quota // s.blocks + (block in first)
+    assert {r.doc_id: r.taken for r in mixing.mixed(df).collect()} == {r[0]: taken[r[0]] for r in rows}

@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of documents.
+
+Odd input, stage by stage.  Null and empty texts have no words: the quality rules drop them, as all with few words; by
+themselves the near-duplicates would keep each of them, the mix would take nothing of them, and packing would give each
+a piece with the end id alone.  Very long texts are taken whole by every stage.  Repeated rows are copies: one of them
+stays after the near-duplicates.  A null doc_id, lang or source is a value like any other; of copies, one with a doc_id
+stays, the smallest.  Ties go to the smallest doc_id, the earlier source, or a seeded hash.  An empty table passes
+through all stages.  Columns beyond those of documents, whatever their names, pass through all but the last.
 """
 
 from __future__ import annotations

@@ -338,10 +338,10 @@ def federated_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = clicks(spark, sf_dir)
-    used = ranking.by_id(usage.counters(log, "result_id", "plugin_id"))
-    runs = usage.most_recent_list(log, 50).select(F.col("result_id").alias("id"))
-    return ranking.with_usage(sources(spark, sf_dir).search(RANKED), used, runs)
+    """One aggregate of the log by (result_id, plugin_id) gives the counters and, by their last uses, the last runs."""
+    counts = usage.counters(clicks(spark, sf_dir), "result_id", "plugin_id")
+    runs = counts.orderBy(F.desc("last_used"), "result_id", "plugin_id").limit(50).select(F.col("result_id").alias("id"))
+    return ranking.with_usage(sources(spark, sf_dir).search(RANKED), ranking.by_id(counts), runs)
 
 
 @PLANS.query(with_(*SEARCH) + "SELECT id, plugin_id, count FROM joined")

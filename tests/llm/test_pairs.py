@@ -255,3 +255,53 @@ def test_vectors_of_several_lengths(spark, monkeypatch, direct):
     near = {i: {j for j, w in rows if i != j and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.95} for i, v in rows}
     got = {r.vec_id: r.n_links for r in vector_dedup.linked(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect()}
     assert got == {i: len(n) for i, n in near.items()}
+
+
+def near_copies(n, seed):
+    """Texts of 100 words: most differ in 3 words of their own, so they link; each fifth in 12, so it is just under the limit."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k, at in enumerate(rng.sample(range(100), 12 if i % 5 == 4 else 3)):
+            own[at] = f"x{i}-{k}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_sets_of_a_cluster_travel_about_once(spark, monkeypatch):
+    """Near copies above and just under the limit: components by brute force, and copied sets about as the texts."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    plain, copied = jaccard_join.verified, []
+
+    def counted(rows, rule):
+        copied.append(rows.count())
+        return plain(rows, rule)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    sent = []
+    for n in (300, 600):
+        rows = near_copies(n, n)
+        copied.clear()
+        got = jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), Rule(1, 80))
+        assert Counter(map(tuple, got.collect())) == plain_components(rows, Rule(1, 80))
+        assert len(copied) == 3  # within blocks, one of each component, members of different components
+        sent.append(sum(copied))
+    assert sent[1] < 3 * sent[0]
+
+
+@pytest.mark.parametrize("block", [2, 5])
+def test_components_across_blocks(spark, docs, rows, monkeypatch, block):
+    """Every kind of link between blocks: within one, between representatives, and between other members of components."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(block)
+    chain = [f"c{i}" for i in range(40)]
+    texts = []
+    for _ in range(60):  # long chains, whose ends are far apart
+        chain[rng.randrange(40)] = f"c{rng.randrange(1000)}"
+        texts.append(" ".join(chain))
+    rng.shuffle(texts)
+    more = [*[(5000 + i, t) for i, t in enumerate(texts)], *near_copies(40, 1)]
+    assert Counter(map(tuple, jaccard_join.joined(spark.createDataFrame(more, "doc_id long, text string"), Rule(1, 90)).collect())) == plain_components(more, Rule(1, 90))
+    assert Counter(map(tuple, jaccard_join.joined(docs, Rule(3, 90)).collect())) == plain_components(rows, Rule(3, 90))

@@ -11,9 +11,11 @@ room for the empty parts that are to be expected.
 Parts with the same members count once.  The members of a part are compared in blocks by a bit sketch of the whole set,
 whose Hamming distance is again at most the symmetric difference.  A block gives a forest of the pairs that may link,
 never all of them: as many rows as it has members.  The forests join into clusters, outside which nothing links, and
-each cluster is verified once, whatever the number of parts that its members share: in blocks, on whole sets, by the
-counts of shared elements of all its pairs.  A block again gives a forest, of verified links.  So rows grow with the
-members; comparisons within a cluster are of all pairs, dealt to as many tasks as it has pairs of blocks.
+each cluster is verified on whole sets, by the counts of shared elements, whatever the number of parts that its members
+share.  A block of a cluster gives a forest of its own verified links.  Clusters of several blocks go on by components:
+first one set of each component is compared with those of the others, and only where components stay apart are their
+members compared, those of different components alone.  So sets that link travel once or twice, and pairs of blocks
+are made of what does not link, although its sketches could not rule it out.
 
 Null and empty texts have an empty set and link with nothing.  Very long texts are taken whole: their sketches have a
 bit an element, and a block of a cluster holds as many sets as ELEMENTS allows.  Repeated rows are copies.  A null
@@ -347,8 +349,8 @@ def links(sets: list[np.ndarray], lefts: int, rule: Rule) -> np.ndarray:
     return 100 * shared >= rule.percent * (both - shared)
 
 
-def verified(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): for each pair of blocks of a cluster, a forest of its links."""
+def verified(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): a forest of the links of each group (label, i, j) of dealt sets; links of block i with block j, or within i."""
 
     def compare(k: tuple[int, ...], group: pa.Table) -> list[tuple[int, int]]:
         node, block = np.asarray(group.column("node")), np.asarray(group.column("block"))
@@ -364,10 +366,61 @@ def verified(sets: DataFrame, rule: Rule) -> DataFrame:
         pairs = zip(node[left].tolist(), node[right + (0 if lefts == len(node) else lefts)].tolist(), strict=True)
         return [(a, b) if a < b else (b, a) for a, b in pairs if a != b]
 
-    rows = in_blocks(sets, "label")
     return rows.mapInArrow(lambda batches: grouped(batches, ("label", "i", "j"), compare), "a long, b long").distinct()
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+
+
+def blocks_of(rows: DataFrame, *key: str) -> DataFrame:
+    """Stored (key, blocks): how many blocks the members (node, size) of each key make."""
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / ELEMENTS))
+    return stored(rows.groupBy(*key).agg(count.alias("blocks")), "cluster-sizes")
+
+
+def apart(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Stored members (node, label, ...) of the clusters that edges leave in several components, with part: their component."""
+    part = components(edges).withColumnRenamed("label", "part")
+    rows = stored(members.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts-of-clusters")
+    several = stored(rows.groupBy("label").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("label"), "open")
+    return stored(rows.join(small(several), "label"), "apart")
+
+
+def cluster_links(docs: DataFrame, clusters: DataFrame, rule: Rule) -> DataFrame:
+    """Stored (a, b) that join what links in the stored clusters (node, label, doc_id, text_hash, size)."""
+    names = ["node", "label", "blocks", "doc_id", "text_hash"]
+    members = stored(clusters.join(small(blocks_of(clusters, "label")), "label"), "wanted")
+    own = node_sets(docs, members.select(names), rule).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    edges = stored(verified(dealt(own.drop("blocks").withColumns({"i": F.col("block"), "j": F.col("block")})), rule), "links")
+    several = members.where("blocks > 1").drop("blocks")
+    if several.isEmpty():
+        return edges
+    left = apart(several, edges)
+    if not left.isEmpty():  # one set of each component
+        first = left.groupBy("label", "part").agg(F.min(F.struct("node", "doc_id", "text_hash", "size")).alias("m")).select("label", "m.*")
+        first = stored(first, "first")
+        first = stored(first.join(small(blocks_of(first, "label")), "label").select(names), "wanted")
+        edges = stored(edges.union(verified(in_blocks(node_sets(docs, first, rule), "label"), rule)), "links")
+        left = apart(left.drop("part"), edges)
+    if not left.isEmpty():  # members of different components
+        large = blocks_of(left, "label", "part").where("blocks > 1").withColumnRenamed("blocks", "own")
+        rows = left.join(small(large), ["label", "part"], "left")
+        rest = blocks_of(rows.where("own is null").drop("own"), "label").withColumnRenamed("blocks", "shared")
+        rows = rows.join(small(rest), "label", "left")
+        # a large component has blocks of its own; the others share some, by component
+        place = F.when(F.col("own").isNotNull(), F.xxhash64("part", F.pmod(F.xxhash64("node"), "own"))).otherwise(F.pmod(F.xxhash64("part"), "shared"))
+        rows = stored(rows.withColumn("blocks", place), "placed")
+        each = rows.select("label", "blocks", F.when(F.col("own").isNotNull(), F.col("part")).alias("whole")).distinct()
+        x, y = stored(each, "blocks").alias("x"), each.alias("y")  # a row for each block of a cluster
+        both = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.blocks") <= F.col("y.blocks")) & F.coalesce(F.col("x.whole") != F.col("y.whole"), F.lit(True)))
+        both = both.where("NOT (x.blocks = y.blocks AND x.whole IS NOT NULL)").select("x.label", F.col("x.blocks").alias("i"), F.col("y.blocks").alias("j"))
+        turns = stored(both.select("label", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "turns")
+        sets = node_sets(docs, stored(rows.select(names), "wanted"), rule).withColumnRenamed("blocks", "block")
+        edges = stored(edges.union(verified(dealt(sets.join(small(turns), ["label", "block"])), rule)), "links")
+    return edges
+
+
 def bit_sketch(own: np.ndarray) -> bytes:
     """Each element toggles one bit of a power of two."""
     bits = max(BITS, 1 << (len(own) - 1).bit_length())
@@ -422,9 +475,7 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     classes = stored(classes.select("node", "least.doc_id", "least.text_hash", "size"), "classes")
     pairs = stored(near(shared_parts(sketched), sketched, rule), "near")
     clusters = stored(components(pairs).join(classes, "node"), "clusters")
-    sizes = clusters.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / ELEMENTS)).alias("blocks"))
-    wanted = stored(clusters.join(small(stored(sizes, "cluster-sizes")), "label").select("node", "label", "blocks", "doc_id", "text_hash"), "wanted")
-    labels = components(stored(verified(node_sets(docs, wanted, rule), rule), "links"))
+    labels = components(cluster_links(docs, clusters, rule))
     linked = stored(labels.join(classes.select("node", "doc_id"), "node"), "linked")
     named = stored(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")), "names")
     named = stored(linked.join(small(named), "label").select("node", "component_id"), "named")

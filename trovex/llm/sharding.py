@@ -4,8 +4,9 @@ At each node every child draws -ln(u) / weight, with u from the hash of key and
 child's draw falls as its weight grows and depends on nothing else, so a change of weights moves keys only into
 subtrees that gained and out of those that lost.  Where a new shard opens a region of its own, it alone gains.
 
-Null doc_ids draw like one key.  Null texts count as empty.  Repeated rows get slots of their own.  Empty tables give
-empty results; other columns are ignored.
+Null doc_ids draw like one key.  Null texts count as empty, and very long ones by their bytes, which are hashed where they
+are read.  Draws that tie go to the child whose name comes first, slots to the smaller checksum and size.  Repeated rows
+get slots of their own.  Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations

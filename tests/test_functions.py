@@ -119,6 +119,17 @@ def test_number_formats(spark):
     assert column(spark, [0.0, 0.0005, 12.0, 1.25, 2_000_000.0], numbers.converter_number, "double") == ["0.000000e0", "5.000000e-4", "12", "1.25", "2.000000e6"]
 
 
+def test_number_formats_round_exact_values(spark):
+    """0.00165 is a little less than it reads, 0.00125 a little more, 0.03125 is a tie; DuckDB's printf is the measure."""
+    import duckdb
+
+    some = [0.00105, 0.00125, 0.00165, 0.0100015, 0.03125, -0.00165, 0.0, 1e300, float("inf"), None]
+    assert column(spark, [0.0100015, 0.5000025, None], numbers.plain_number, "double") == ["0.010001", "0.500003", None]
+    assert column(spark, some[:6], numbers.converter_number, "double") == ["0.001", "0.0013", "0.0016", "0.01", "0.0312", "-0.0016"]
+    want = [duckdb.sql(f"SELECT printf('%.6e', CAST('{x}' AS DOUBLE))").fetchall()[0][0] for x in some[:-1]]
+    assert column(spark, some, lambda x: numbers.printed(x, "%.6e"), "double") == [*want, None]
+
+
 def test_bases(spark):
     assert column(spark, ["0xFF", "0b1011", "0o17", "12", "0x8000000000000000"], numbers.base_value) == [255, 11, 15, None, None]
     assert column(spark, [255], lambda c: numbers.based(c)["octal"], "long") == ["0o377"]

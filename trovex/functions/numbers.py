@@ -43,18 +43,28 @@ INLINE: list[tuple[str, str, float, float]] = [
 ]
 
 
+def printed(x: Column, form: str) -> Column:
+    """x as C's printf has it: rounded from the double's exact value, where format_string rounds its shortest decimal form."""
+
+    @F.pandas_udf("string")
+    def text(xs: pd.Series) -> pd.Series:
+        return pd.Series([form % v for v in xs], dtype=object)
+
+    return F.when(x.isNotNull(), text(x.cast("double")))
+
+
 def plain_number(x: Column) -> Column:
     """A whole number without decimals, else up to six of them."""
-    trimmed = F.regexp_replace(F.format_string("%.6f", x.cast("double")), r"0+$", "")
+    trimmed = F.regexp_replace(printed(x, "%.6f"), r"0+$", "")
     return F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(F.regexp_replace(trimmed, r"\.$", ""))
 
 
 def converter_number(x: Column) -> Column:
     """Scientific below 0.001 (zero too) and above a million, else whole, else up to four decimals; the exponent is not padded."""
-    science = F.regexp_replace(F.format_string("%.6e", x.cast("double")), r"e([+-])0*(\d)", "e$1$2")
+    science = F.regexp_replace(printed(x, "%.6e"), r"e([+-])0*(\d)", "e$1$2")
     science = F.regexp_replace(science, r"e\+", "e")
-    four = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", x.cast("double")), r"0+$", ""), r"\.$", "")
-    return F.when((F.abs(x) < 0.001) | (F.abs(x) > 1_000_000), science).when(x == F.floor(x), F.format_string("%.0f", x.cast("double"))).otherwise(four)
+    four = F.regexp_replace(F.regexp_replace(printed(x, "%.4f"), r"0+$", ""), r"\.$", "")
+    return F.when((F.abs(x) < 0.001) | (F.abs(x) > 1_000_000), science).when(x == F.floor(x), printed(x, "%.0f")).otherwise(four)
 
 
 def base_value(text: Column) -> Column:

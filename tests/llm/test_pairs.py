@@ -257,6 +257,24 @@ def test_vectors_of_several_lengths(spark, monkeypatch, direct):
     assert got == {i: len(n) for i, n in near.items()}
 
 
+def test_links_do_not_depend_on_the_number_of_vectors(spark, monkeypatch):
+    """Links of a rare kind, which the index may miss, are found or missed alike, whether one task has the index or many."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1500, 512))
+    base[:, 0] = rng.normal(size=1500) * 22
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    far = base[:150].copy()
+    far[:, 0] += 0.28
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, far]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+
+    def got(direct):
+        monkeypatch.setattr(vector_dedup, "DIRECT", direct)
+        return sorted(map(tuple, vector_dedup.linked(df).collect()))
+
+    assert got(1 << 21) == got(0)
+
+
 def near_copies(n, seed):
     """Texts of 100 words: most differ in 3 words of their own, so they link; each fifth in 12, so it is just under the limit."""
     rng = random.Random(seed)

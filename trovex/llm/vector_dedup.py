@@ -12,8 +12,9 @@ few directions are searched with exact bounds; nearly all pairs are found, and n
 A list is dealt to blocks of members and of probing vectors, so no task holds a whole list.  A task emits counts and
 a spanning forest of its links, never all pairs.  A pair whose vectors probe each other's lists is met in one of them.
 
-Vectors of each length link among themselves: lengths with few components in all are compared directly, a task for
-each; every other one has an index of its own.  Vectors that are null, empty, zero or hold null or non-finite components
+Vectors of each length link among themselves, by an index of their own, whatever their number.  An index of few vectors
+is fitted and searched within one task, so that many lengths need no jobs each; sample, index and search are the same,
+and so are the links.  Vectors that are null, empty, zero or hold null or non-finite components
 link with nothing.  Repeated rows with one vec_id are copies of each other.  Null vec_ids are ignored.  A vector as near
 to two lists has the first as its own.  Empty tables give empty results; other columns are ignored.
 """
@@ -21,6 +22,7 @@ to two lists has the first as its own.  Empty tables give empty results; other c
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovex.llm.common import binaries, drawn, longs, mapped, stored
+from trovex.llm.common import BATCH_ROWS, binaries, drawn, longs, mapped, stored
 from trovex.llm.components import components, forest
 
 #: Vectors for each list, about; fewest and most lists; rows of the sample that centres and codebooks are fitted on.
@@ -37,7 +39,7 @@ LIST, LEAST_LISTS, MOST_LISTS, SAMPLE = 2000, 16, 4096, 65_536
 SUBSPACES, CODES, ROUNDS, SEED = 8, 256, 8, 11
 #: Differences of the sample that tell how far near duplicates reach, and how many standard deviations count.
 DIFFERENCES, DEVIATIONS = 256, 4.0
-#: Components of all vectors of one length, up to which they are compared directly.
+#: Components of all vectors of one length, at most SAMPLE of them, up to which one task fits and searches their index.
 DIRECT = 1 << 21
 #: Members and probing vectors of one task.
 BLOCK, PROBING = 4096, 16_384
@@ -97,7 +99,14 @@ class Index:
         """The largest squared distance from a probing vector to a member's decoded vector, which is off by error, where they may link."""
         squared = (error * error).sum(1)
         along = self.reach(squared, [((error @ d.T) ** 2).mean(1) for d in self.differences], error.shape[1])
-        return self.apart**2 + squared + 2 * along + 1e-4  # distances are added up in single precision
+        return self.apart**2 + squared + 2 * along + 1e-4  # for rounding
+
+    def placed(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """Home, probed lists, codes and limit of each unit vector."""
+        home, probed = self.probes(x)
+        residual = x - self.lists[home]
+        codes = self.residual_codes(residual)
+        return home.astype(np.int32), [np.flatnonzero(p).astype(np.int32) for p in probed], codes, self.limit(residual - self.decoded(codes))
 
 
 def neighbours(sample: np.ndarray, home: np.ndarray, apart: float, rng: np.random.Generator) -> list[np.ndarray]:
@@ -116,9 +125,10 @@ def neighbours(sample: np.ndarray, home: np.ndarray, apart: float, rng: np.rando
     return [np.stack(x[:DIFFERENCES]) for x in (near, linked) if len(x) >= 16]
 
 
-def fitted(sample: np.ndarray, lists: int, cosine: float) -> Index:
+def fitted(sample: np.ndarray, n: int, cosine: float) -> Index:
+    """The index of n vectors, from a sample of them."""
     rng = np.random.default_rng(SEED)
-    coarse = centres(sample, lists, rng)
+    coarse = centres(sample, min(MOST_LISTS, max(LEAST_LISTS, n // LIST)), rng)
     home = nearest(sample, coarse)
     residual = sample - coarse[home]
     m = math.gcd(SUBSPACES, sample.shape[1])
@@ -127,9 +137,8 @@ def fitted(sample: np.ndarray, lists: int, cosine: float) -> Index:
     return Index(coarse, np.stack(books), apart, neighbours(sample, home, apart, rng))
 
 
-def unit_rows(column: pa.Array) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float64)
-    x = x.reshape(len(column), -1)
+def unit_rows(vectors: Sequence[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -150,13 +159,8 @@ def indexed(classes: DataFrame, index: Index) -> DataFrame:
     """Adds home, probes, codes and limit to each class."""
 
     def index_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = unit_rows(batch.column("vector"))
-        home, probed = index.probes(x)
-        residual = x - index.lists[home]
-        codes = index.residual_codes(residual)
-        limit = index.limit(residual - index.decoded(codes))
-        probes = pa.array([np.flatnonzero(p).astype(np.int32) for p in probed], pa.list_(pa.int32()))
-        extra = [pa.array(home.astype(np.int32)), probes, binaries([c.tobytes() for c in codes]), pa.array(limit)]
+        home, probes, codes, limit = index.placed(unit_rows(batch.column("vector").to_pylist()))
+        extra = [pa.array(home), pa.array(probes, pa.list_(pa.int32())), binaries([c.tobytes() for c in codes]), pa.array(limit)]
         return pa.record_batch([*batch.columns, *extra], [*batch.schema.names, "home", "probes", "codes", "limit"])
 
     return mapped(classes, index_batch, "vec_id long, size long, width long, vector binary, home int, probes array<int>, codes binary, limit double")
@@ -240,39 +244,33 @@ def found(items: DataFrame, index: Index, cosine: float) -> DataFrame:
     return stays.select(columns).union(comes.select(columns)).groupBy("list", "block", "turn").applyInPandas(task, "a long, b long, n long")
 
 
-def direct(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """(a, b, n) of vectors of one length, each compared with all others."""
-    raw = np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(len(rows), -1)
-    x = raw / np.linalg.norm(raw, axis=1)[:, None]
-    ids, sizes = rows["vec_id"].to_numpy(), rows["size"].to_numpy()
-    got, edges = np.zeros(len(x), np.int64), [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for s in range(0, len(x), 256):
-        i, j = (x[s : s + 256] @ x.T >= cosine - 1e-9).nonzero()
-        i, j = i[i + s < j], j[i + s < j]
-        same = np.einsum("ij,ij->i", x[i + s], x[j]) >= cosine
-        i, j = i[same], j[same]
-        got += np.bincount(i + s, sizes[j], len(x)).astype(np.int64) + np.bincount(j, sizes[i + s], len(x)).astype(np.int64)
-        links = np.zeros((min(256, len(x) - s), len(x)), bool)
-        links[i, j] = True
-        left, right = forest(links)
-        edges.append((left + s, right))
-    some = np.flatnonzero(got)
-    left, right = (np.concatenate(e) for e in zip(*edges, strict=True))
-    a, b = np.concatenate([ids[some], ids[left]]), [*[None] * len(some), *ids[right].tolist()]
-    return pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "n": np.concatenate([got[some], np.zeros(len(left), np.int64)])})
+def in_one_task(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """(a, b, n) of vectors of one length, from an index that is fitted and searched here."""
+    rows = rows.sort_values(["rank", "vec_id"], ignore_index=True)
+    x = unit_rows(rows["vector"])
+    index = fitted(x[:SAMPLE], len(x), cosine)
+    home, probes, codes, limit = zip(*[index.placed(x[s : s + BATCH_ROWS]) for s in range(0, len(x), BATCH_ROWS)], strict=True)
+    probes = [p for part in probes for p in part]
+    rows = rows.assign(home=np.concatenate(home), probes=probes, codes=[c.tobytes() for part in codes for c in part], limit=np.concatenate(limit))
+    at, own = np.concatenate(probes), np.repeat(np.arange(len(rows)), [len(p) for p in probes])
+    found = []
+    for k, members in rows.groupby("home"):
+        probing = rows.iloc[own[at == k]].reset_index(drop=True)
+        found += [links_of(members.iloc[s : s + BLOCK], probing, int(k), index, cosine) for s in range(0, len(members), BLOCK)]
+    return pd.concat(found)
 
 
 def links(classes: DataFrame, cosine: float) -> DataFrame:
     """Stored (a, b, n) of the links of stored classes, length by length."""
     lengths = classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("width").collect()  # lengths, not vectors
-    large = [(r.width, r.n) for r in lengths if r.width * r.n > DIRECT]
+    large = [(r.width, r.n) for r in lengths if r.width * r.n > DIRECT or r.n > SAMPLE]
     few = classes.where(~F.col("width").isin([w for w, _ in large])) if large else classes
-    rows = few.groupBy("width").applyInPandas(lambda rows: direct(rows, cosine), "a long, b long, n long")
+    rank = F.xxhash64(F.lit(SEED), "vec_id")
+    rows = few.withColumn("rank", rank).groupBy("width").applyInPandas(lambda rows: in_one_task(rows, cosine), "a long, b long, n long")
     for width, n in large:
         own = classes.where(F.col("width") == width)
-        draw = drawn(own, SAMPLE, F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").select("vector").collect()
-        sample = unit_rows(pa.array([bytes(x[0]) for x in draw], pa.binary()))
-        index = fitted(sample, min(MOST_LISTS, max(LEAST_LISTS, n // LIST)), cosine)
+        draw = drawn(own, SAMPLE, rank, "vec_id").select("vector").collect()
+        index = fitted(unit_rows([x[0] for x in draw]), n, cosine)
         rows = rows.union(found(stored(indexed(own, index), "index"), index, cosine))
     return stored(rows, "links")
 

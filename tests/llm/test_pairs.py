@@ -257,6 +257,27 @@ def test_vectors_of_several_lengths(spark, monkeypatch, direct):
     assert got == {i: len(n) for i, n in near.items()}
 
 
+@pytest.mark.parametrize("width", [5, 12, 64])
+def test_rounded_distances_lose_no_link(width):
+    """With limits that rule nothing out, and with exact ones, 16-bit sums over 1, 4 and 8 subspaces find every link."""
+    import pandas as pd
+
+    rng = np.random.default_rng(width)
+    base = rng.normal(size=(200, width))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.2])
+    rows = pd.DataFrame({"vec_id": np.arange(400), "size": 1, "vector": [v.tobytes() for v in x]})
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = vector_dedup.fitted(x, 400, 0.95)
+    index.lists = index.lists[:1]
+    residual = x - index.lists[0]
+    codes = index.residual_codes(residual)
+    error = np.linalg.norm(residual - index.decoded(codes), axis=1)
+    rows = rows.assign(home=0, probes=[[0]] * 400, codes=[c.tobytes() for c in codes])
+    for limit in ((index.apart + error) ** 2 + 1e-4, np.full(400, 9.0)):
+        got = vector_dedup.links_of(rows.assign(limit=limit), rows, 0, index, 0.95)
+        assert got["n"].sum() == (x @ x.T >= 0.95).sum() - 400 > 100
+
+
 def test_links_do_not_depend_on_the_number_of_vectors(spark, monkeypatch):
     """Links of a rare kind, which the index may miss, are found or missed alike, whether one task has the index or many."""
     rng = np.random.default_rng(5)

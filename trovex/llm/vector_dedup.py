@@ -3,8 +3,8 @@
 Equal vectors are one class, so copies cost one vector.  Coarse centres and the codebooks of residuals are fitted on a
 bounded sample; every class is indexed: its list, the codes of its residual in each subspace, and how far the decoded
 vector lies from it.  A vector probes the lists whose border with its own list lies within reach of a near duplicate.
-Table lookups give its distance to the decoded members of a list; those that may be within reach are compared by
-cosine in double precision.  How far a near duplicate's difference reaches along a direction is measured: on the
+Table lookups give its distance to the decoded members of a list, rounded down to 16 bits; those that may be within
+reach are compared by cosine in double precision.  How far a near duplicate's difference reaches along a direction is measured: on the
 sample's links and on its nearest neighbours within lists, and never taken to be less than that of differences that
 point no special way.  Four standard deviations are allowed, at most the whole length of a difference, so vectors in
 few directions are searched with exact bounds; nearly all pairs are found, and never a wrong one.
@@ -52,15 +52,18 @@ def centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     for _ in range(ROUNDS):
         at = nearest(x, c)
         n = np.bincount(at, minlength=k)
-        total = np.zeros_like(c)
-        np.add.at(total, at, x)
-        c[n > 0] = total[n > 0] / n[n > 0, None]
+        some, begins = n > 0, np.cumsum(n) - n
+        c[some] = np.add.reduceat(x[np.argsort(at, kind="stable")], begins[some]) / n[some, None]
     return c
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    half = (c * c).sum(1) / 2
-    return np.concatenate([np.argmin(half - x[i : i + 4096] @ c.T, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
+    x, c = x.astype(np.float32), c.astype(np.float32)
+    half, out = (c * c).sum(1) / 2, np.empty(len(x), np.int64)
+    for s in range(0, len(x), 1024):
+        far = x[s : s + 1024] @ c.T
+        np.subtract(half, far, out=far).argmin(axis=1, out=out[s : s + 1024])
+    return out
 
 
 @dataclass
@@ -168,30 +171,34 @@ def indexed(classes: DataFrame, index: Index) -> DataFrame:
 
 def links_of(members: pd.DataFrame, probing: pd.DataFrame, at: int, index: Index, cosine: float) -> pd.DataFrame:
     """Counts (a, n) and forest edges (a, b) of the links between members of a list and vectors that probe it."""
-    width = int(members["width"].iat[0])
-    raw = np.frombuffer(b"".join(members["vector"]), np.float64).reshape(-1, width)
-    base = raw / np.linalg.norm(raw, axis=1)[:, None]
-    codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(members), -1)
-    limit = members["limit"].to_numpy().astype(np.float32)[:, None]
+    base = unit_rows(members["vector"])
+    codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(members), -1).T.astype(np.intp)
     ids, sizes = members["vec_id"].to_numpy(), members["size"].to_numpy()
     probed = np.zeros((len(members), len(index.lists)), bool)
     for i, p in enumerate(members["probes"]):
         probed[i, p] = True
     m, _, w = index.books.shape
+    cap = 65_535 // m - 1  # m rounded distances, none above cap, add up in 16 bits
+    scale = (cap - m - 1) / members["limit"].max()
+    limit = (members["limit"].to_numpy() * scale + m).astype(np.uint16)[:, None]  # m: single precision may round up
+    books = np.concatenate([-2 * index.books, (index.books**2).sum(2)[:, :, None], np.ones((m, index.books.shape[1], 1))], axis=2)
+    books = (books * scale).astype(np.float32)
     count = {"a": [], "b": [], "n": []}
     got = np.zeros(len(members), np.int64)
     for s in range(0, len(probing), 256):
         part = probing.iloc[s : s + 256]
-        q = np.frombuffer(b"".join(part["vector"]), np.float64).reshape(-1, width)
-        q = q / np.linalg.norm(q, axis=1)[:, None]
+        q = unit_rows(part["vector"])
         home, own = part["home"].to_numpy(), part["vec_id"].to_numpy()
         ahead = q - index.lists[at]
-        far = np.zeros((len(base), len(q)), np.float32)
+        far = np.zeros((len(base), len(q)), np.uint16)
+        step = np.empty_like(far)
         for i in range(m):
             x = ahead[:, i * w : (i + 1) * w]
-            table = ((x * x).sum(1) - 2 * index.books[i] @ x.T + (index.books[i] ** 2).sum(1)[:, None]).astype(np.float32)
-            far += table[codes[:, i]]  # a row of the table for each member: its distances to all probing vectors
-        j, i = (far <= limit).nonzero()
+            x = np.column_stack([x, np.ones(len(x)), (x * x).sum(1)]).astype(np.float32)
+            table = books[i] @ x.T  # squared distances of codes and probing vectors
+            table = np.clip(table, 0, cap, out=table).astype(np.uint16)
+            far += np.take(table, codes[i], axis=0, out=step, mode="clip")  # a row of the table for each member: its distances to all probing vectors
+        j, i = np.divmod(np.flatnonzero(far <= limit), len(q))
         # at home each pair counts once; a pair that meets in both lists counts in the lower
         once = np.where(home[i] == at, own[i] < ids[j], ~(probed[j, home[i]] & (home[i] < at)))
         i, j = i[once], j[once]

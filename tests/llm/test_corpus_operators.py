@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -121,6 +122,16 @@ def test_bounded_draw(spark):
     assert drawn(df.limit(30), 50, F.xxhash64("id")).count() == 30
 
 
+def test_words_of_bytes():
+    """Words from UTF-8 bytes part at ASCII white space alone, and A-Z alone are lower-cased; a word's class is by its last three letters."""
+    texts = ["a\x1cb\x85C\xa0d \x0b\x0c\r\n\tE", "ÀÉ İ K ẞ ABCdef", "x　y\u2028Z \x00Q", "", None, " \n\t ", "日本語テキスト abcDEF"]
+    lowered = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x or "") for x in texts]
+    assert [[w.decode() for w in words] for words in hmm.words_of(pa.array(texts))] == [WORD.findall(x) for x in lowered]
+    words = ["日本語", "x日本語", "ab", "cab", "", "éab"]
+    got = hmm.hashes_of([w.encode() for w in words]) % hmm.BUCKETS
+    assert got.tolist() == [zlib.crc32(w[-3:].encode()) % hmm.BUCKETS for w in words]
+
+
 def test_language_model_base(docs, rows):
     got = hmm.scored(docs).collect()
     fold = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7

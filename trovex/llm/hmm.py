@@ -23,9 +23,11 @@ their hash.  Empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovex.llm.common import BATCH_ROWS, WORD, binaries, bounded, longs, lower_ascii, slices, stored, strings
+from trovex.llm.common import BATCH_ROWS, binaries, bounded, longs, slices, stored
 
 STATES, OWN, BUCKETS, HEAD = 8, 8192, 1024, 1 << 21
 #: Tokens as of which a state's first emissions are drawn; the gain of the last round, in natural logs a training token.
@@ -47,18 +49,20 @@ BATCH, SORTED = 400_000, 2_500_000
 TASK = 4_000_000
 #: Distinct words that a worker keeps.
 KEPT = 600_000
-END = ""
+END = b""
 STATE_NAMES = [f"s{k}" for k in range(STATES)]
 SUMS_SCHEMA = "kind int, i int, " + ", ".join(f"{n} double" for n in STATE_NAMES)
 
 
-def hash_of(word: str) -> int:
-    """A signed 64-bit hash whose low bits are the word's class among the rare words."""
+def hashes_of(words: Iterable[bytes]) -> np.ndarray:
+    """Signed 64-bit hashes whose low bits are the words' classes among the rare words."""
     from xxhash import xxh3_64_intdigest
 
-    bucket = zlib.crc32(word[-3:].encode("utf-8", "surrogatepass")) % BUCKETS
-    h = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) // BUCKETS * BUCKETS + bucket
-    return h - (1 << 64) if h >= 1 << 63 else h
+    words = list(words)
+    tails = [w[-3:] if w.isascii() else w.decode("utf-8", "replace")[-3:].encode() for w in words]
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    bucket = np.fromiter(map(zlib.crc32, tails), np.uint64, len(words))
+    return (h - h % BUCKETS + bucket % BUCKETS).view(np.int64)
 
 
 class Codes(dict):
@@ -66,18 +70,17 @@ class Codes(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.fresh: list[str] = []
+        self.fresh: list[bytes] = []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.fresh.append(word)
         return n
 
 
-def tokens_of(text: str) -> list[str]:
-    words = WORD.findall(lower_ascii(text))
-    words.append(END)
-    return words
+def words_of(texts: pa.Array) -> list[list[bytes]]:
+    """The words of each text in UTF-8: of bytes, split parts at ASCII white space and lower changes A-Z, nothing else."""
+    return [(x or b"").lower().split() for x in texts.cast(pa.binary()).to_pylist()]
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -85,25 +88,19 @@ def counted(docs: DataFrame) -> DataFrame:
     bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = Codes(), np.zeros(0, np.int64)
+        counts: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
-            return pa.record_batch([longs([hash_of(w) for w in codes]), longs(counts[: len(codes)])], ["word", "c"])
+            return pa.record_batch([longs(hashes_of(counts)), longs(list(counts.values()))], ["word", "c"])
 
         for batch in slices(batches, BATCH_ROWS):
-            for text in strings(batch.column(0)):
-                words = tokens_of(text)
-                at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-                if len(codes) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(codes), np.int64)])
-                if len(at) * 20 > len(codes):
-                    counts[: len(codes)] += np.bincount(at, minlength=len(codes))
-                else:
-                    np.add.at(counts, at, 1)
-            if len(codes) > KEPT:
+            counts[END] += batch.num_rows
+            for words in words_of(batch.column(0)):
+                counts.update(words)
+            if len(counts) > KEPT:
                 yield flush()
-                codes, counts = Codes(), np.zeros(0, np.int64)
-        if codes:
+                counts.clear()
+        if counts:
             yield flush()
 
     return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -156,29 +153,31 @@ def encoded(docs: DataFrame, shared) -> DataFrame:
             if len(codes) > KEPT:
                 codes = Codes()
                 word, kind, logs, norm = np.empty(0, np.int64), np.empty(0, np.uint16), np.empty(0), np.empty(0)
-            places = []
-            for text in strings(batch.column(1)):
-                words = tokens_of(text)
-                places.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
+            texts = words_of(batch.column(1))
+            n = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            begins = np.cumsum(n) - n
+            tokens = itertools.chain.from_iterable((*words, END) for words in texts)
+            at = np.fromiter(map(codes.__getitem__, tokens), np.int64, n.sum())
             if codes.fresh:
-                h = np.array([hash_of(w) for w in codes.fresh], np.int64)
+                h = hashes_of(codes.fresh)
                 codes.fresh.clear()
-                at = np.minimum(np.searchsorted(v.head, h), max(len(v.head) - 1, 0))
-                known = v.head[at] == h if len(v.head) else np.zeros(len(h), bool)
-                at = at[known]
+                place = np.minimum(np.searchsorted(v.head, h), max(len(v.head) - 1, 0))
+                known = v.head[place] == h if len(v.head) else np.zeros(len(h), bool)
+                place = place[known]
                 c, k = np.full(len(h), -1.0), OWN + h % BUCKETS
-                c[known], k[known] = v.counts[at], v.classes[at]
+                c[known], k[known] = v.counts[place], v.classes[place]
                 word, kind = np.concatenate([word, h]), np.concatenate([kind, k.astype(np.uint16)])
                 logs = np.concatenate([logs, np.log10(c + 1, out=np.full(len(h), np.nan), where=c >= 0)])
                 norm = np.concatenate([norm, np.where(k < OWN, 0.0, v.norms[np.maximum(k - OWN, 0)])])
-            rows = []
-            for at in places:
-                k, x = kind[at], logs[at]
-                rare = np.isnan(x)
-                x = np.where(rare, 0.0, x)
-                rows.append((len(at), int(len(at) - rare.sum()), x.sum(), x[k >= OWN].sum() - norm[at].sum(), k.astype("<u2").tobytes(), word[at[rare]]))
-            n, known, base, tied, classes, rare = zip(*rows, strict=True) if rows else ((),) * 6
-            columns = [longs(n), longs(known), pa.array(base, pa.float64()), pa.array(tied, pa.float64()), binaries(classes), pa.array(rare, pa.list_(pa.int64()))]
+            k, x = kind[at], logs[at]
+            rare = np.isnan(x)
+            x[rare] = 0.0
+            lacks = np.add.reduceat(rare.astype(np.int64), begins)
+            tied = np.add.reduceat(np.where(k >= OWN, x, 0.0) - norm[at], begins)
+            raw, cuts = k.astype("<u2").tobytes(), [*(2 * begins).tolist(), 2 * len(k)]
+            classes = binaries([raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
+            words = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lacks)]).astype(np.int32), longs(word[at[rare]]))
+            columns = [longs(n), longs(n - lacks), pa.array(np.add.reduceat(x, begins)), pa.array(tied), classes, words]
             yield pa.record_batch([batch.column(0), *columns, batch.column(2)], ["doc_id", "n_tokens", "n_known", "base", "tied", "classes", "rare", "held_out"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, tied double, classes binary, rare array<long>, held_out boolean")

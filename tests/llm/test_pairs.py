@@ -296,6 +296,14 @@ def test_links_do_not_depend_on_the_number_of_vectors(spark, monkeypatch):
     assert got(1 << 21) == got(0)
 
 
+def test_tiny_and_huge_vectors_link_and_leave_others_alone(spark):
+    x = np.random.default_rng(8).normal(size=(40, 12))
+    rows = [*enumerate(x), (100, x[0] * 1e-200), (101, x[1] * 1e200), (102, x[2] * 2.0), (103, np.array([*[0.0] * 11, 5e-324]))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.linked(df).collect()}
+    assert got == {i: (1, i % 100) if i < 3 or 99 < i < 103 else (0, i) for i, _ in rows}
+
+
 def near_copies(n, seed):
     """Texts of 100 words: most differ in 3 words of their own, so they link; each fifth in 12, so it is just under the limit."""
     rng = random.Random(seed)

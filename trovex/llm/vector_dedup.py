@@ -142,6 +142,7 @@ def fitted(sample: np.ndarray, n: int, cosine: float) -> Index:
 
 def unit_rows(vectors: Sequence[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])  # by a power of two, so that squares neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
